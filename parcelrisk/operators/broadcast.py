@@ -1,0 +1,31 @@
+"""Broadcast only behind a size check.
+
+``bounded_broadcast`` materialises at most ``max_rows + 1`` rows of a small,
+derived table (an aggregate whose size is not known in advance).  When the
+check passes, the rows become a local relation marked for broadcast, so the
+join needs no shuffle and the small side is not recomputed.  When it fails,
+the original DataFrame is returned and Spark plans a shuffle join (AQE may
+still broadcast it by measured size, and splits skewed partitions).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    rows = small.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return small
+    spark = small.sparkSession
+    local = spark.createDataFrame(rows, schema=small.schema)
+    return F.broadcast(local)
+
+
+def broadcast_fixed(small: DataFrame) -> DataFrame:
+    """Mark a side whose row count is bounded by a parameter (bucket
+    boundaries, bin edges, a fixed number of folds) for broadcast."""
+    return F.broadcast(small)
