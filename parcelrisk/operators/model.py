@@ -74,3 +74,23 @@ def holdout_score(df: DataFrame, features: str, label: str, split_col: str,
     scored = model.transform(data.where(F.col(split_col) == 0))
     return split_probability(scored).select(
         *dict.fromkeys([*keep, label]), F.col("prediction").cast("double"), "prob0", "prob1")
+
+
+def walk_forward_score(df: DataFrame, features: str, label: str, period: str,
+                       periods: Sequence, estimator: Estimator | None = None,
+                       keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+    """For each period p, fit on the rows of earlier periods and score the
+    rows of p (train on the past, score the next period)."""
+    est = estimator if estimator is not None else LogisticRegression(
+        featuresCol=features, labelCol=label, predictionCol="prediction")
+    data = df.select(*dict.fromkeys([*keep, label, period, features])) \
+        .withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(p):
+        return est.fit(data.where(F.col(period) < F.lit(p)))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(periods)))) as pool:
+        models = list(pool.map(fit, periods))
+    scored = [m.transform(data.where(F.col(period) == F.lit(p))) for p, m in zip(periods, models)]
+    return split_probability(union_all(scored)).select(
+        *dict.fromkeys([*keep, label, period]), F.col("prediction").cast("double"), "prob0", "prob1")

@@ -19,8 +19,6 @@ the Spark result and in the SQL text; types are cast alike on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +27,7 @@ from parcelrisk.functions.scalars import (
 )
 from parcelrisk.operators import clean, evaluate, folds, match, profile, reshape, schema
 from parcelrisk.plans.recipes import pending_permits
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-    return deco
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+from parcelrisk.plans.registry import query, t
 
 # --------------------------------------------------------------------- roles
 

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelrisk.functions.scalars import table_name
 
 DEFAULT_NULL_TOKENS = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "#N/A")
 
@@ -76,16 +75,34 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         .option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
+def directory_entries(spark: SparkSession, path: str, glob: str = "*.csv") -> list[tuple[str, list[str]]]:
+    """Top-level entries below ``path`` with their data files: a plain file
+    is its own entry; a folder written by Spark (``name.csv/part-*``) is one
+    entry holding all its parts.  Metadata only (one row per file)."""
+    root = path.rstrip("/").replace("file:", "", 1)
+    files = [r["path"] for r in list_files(spark, path, glob).select("path").collect()]
+    groups: dict[str, list[str]] = {}
+    for f in sorted(files):
+        rel = f.replace("file:", "", 1)
+        rel = rel[rel.index(root) + len(root):].lstrip("/") if root in rel else rel.rsplit("/", 1)[-1]
+        top = rel.split("/", 1)[0]
+        groups.setdefault(top, []).append(f)
+    return sorted(groups.items())
+
+
+def entry_table_name(entry: str, prefix: str = "EXTR_") -> str:
+    """File name -> table name: prefix stripped, cut at the first dot,
+    lower case (the Column version is ``functions.table_name``)."""
+    base = entry[len(prefix):] if entry.startswith(prefix) else entry
+    return base.split(".", 1)[0].lower()
+
+
 def read_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix: str = "EXTR_",
                    schema=None, **opts) -> dict[str, DataFrame]:
-    """One DataFrame per file of a directory, keyed by the table name made
-    from the file name (prefix stripped, cut at the first dot, lower case).
-    The file list is metadata; each table is a lazy read of its file."""
-    files = list_files(spark, path, glob).select("path", table_name(F.col("path"), prefix).alias("t"))
-    out: dict[str, DataFrame] = {}
-    for row in files.orderBy("path").collect():
-        out.setdefault(row["t"], read_delimited(spark, row["path"], schema=schema, **opts))
-    return out
+    """One DataFrame per top-level entry of a directory, keyed by the table
+    name made from the entry name.  Each table is a lazy read of its files."""
+    return {entry_table_name(e, prefix): read_delimited(spark, files, schema=schema, **opts)
+            for e, files in directory_entries(spark, path, glob)}
 
 
 def _zip_rows(schema_names: list[str], header: bool, encoding: str, sep: str, batch_rows: int):

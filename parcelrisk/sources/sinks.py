@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from parcelrisk.sources.readers import list_files, read_delimited
-from parcelrisk.functions.scalars import table_name
+from parcelrisk.sources.readers import directory_entries, entry_table_name, read_delimited
 
 
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True,
@@ -39,24 +38,24 @@ def write_run(df: DataFrame, base: str, run_id: str | None = None, fmt: str = "p
 
 def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix: str = "EXTR_",
                        database: str | None = None, schema=None, **read_opts) -> DataFrame:
-    """Create one catalog table per file, named from the file name; a table
-    that exists already is left alone and reported (``if_exists='fail'``,
-    then continue).  Returns (table_name, path, status)."""
-    files = list_files(spark, path, glob) \
-        .select("path", table_name(F.col("path"), prefix).alias("table_name")).orderBy("path")
+    """Create one catalog table per top-level entry of ``path`` (a file, or
+    a folder of part files), named from the entry; an existing table is
+    left alone and reported (fail on exists, then continue).  Returns
+    (table_name, status) rows."""
     status = []
-    for row in files.collect():          # one row per file: metadata only
-        name = row["table_name"] if database is None else f"{database}.{row['table_name']}"
+    for entry, files in directory_entries(spark, path, glob):   # metadata only
+        name = entry_table_name(entry, prefix)
+        full = name if database is None else f"{database}.{name}"
         try:
-            read_delimited(spark, row["path"], schema=schema, **read_opts) \
-                .write.mode("errorifexists").saveAsTable(name)
-            status.append((row["table_name"], row["path"], "created"))
+            read_delimited(spark, files, schema=schema, **read_opts) \
+                .write.mode("errorifexists").saveAsTable(full)
+            status.append((name, "created"))
         except AnalysisException as e:
             if "ALREADY_EXISTS" in str(e) or "already exists" in str(e):
-                status.append((row["table_name"], row["path"], "exists"))
+                status.append((name, "exists"))
             else:
                 raise
-    return spark.createDataFrame(status, "table_name string, path string, status string")
+    return spark.createDataFrame(status, "table_name string, status string")
 
 
 def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
