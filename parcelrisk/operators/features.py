@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -74,11 +75,19 @@ def _prepare(df: DataFrame, roles: ColumnRoles) -> DataFrame:
 
 def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
                    keep_raw: bool = False, fit_on: DataFrame | None = None,
-                   handle_invalid: str = "keep") -> tuple[DataFrame, PipelineModel]:
+                   handle_invalid: str = "keep", persist: bool = True) -> tuple[DataFrame, PipelineModel]:
     """Fit the feature pipeline (on ``fit_on`` or all rows) and return the
-    table reduced to key, identity, label, fold, passthrough and ``out``."""
+    table reduced to key, identity, label, fold, passthrough and ``out``.
+
+    With ``persist`` the input, projected to the role columns, is kept
+    (memory and disk) so that the fit passes (level counts, standard
+    deviations) and the transform read it once from the source."""
     roles.validate(df)
-    prepared = _prepare(df, roles)
+    named = [roles.key, *roles.identity, *roles.passthrough, *roles.numeric,
+             *roles.categorical, *roles.binary] + [c for c in (roles.label, roles.fold) if c]
+    prepared = _prepare(df.select(*dict.fromkeys(named)), roles)
+    if persist:
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     model = feature_pipeline(roles, out, keep_raw, handle_invalid) \
         .fit(_prepare(fit_on, roles) if fit_on is not None else prepared)
     keep = [roles.key, *roles.identity, *roles.passthrough]

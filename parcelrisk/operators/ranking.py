@@ -25,6 +25,7 @@ _B = "_pr_bucket"
 
 def _splits(df: DataFrame, col: str, buckets: int, rel_err: float) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
+    rel_err = min(rel_err, 0.25 / buckets)
     qs = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, rel_err)
     inner = sorted({q for q in qs if q is not None and q == q})
     return [float("-inf")] + inner + [float("inf")]
@@ -32,18 +33,25 @@ def _splits(df: DataFrame, col: str, buckets: int, rel_err: float) -> list[float
 
 def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
                 group_cols: Sequence[str] = (), descending: bool = False,
-                buckets: int = 64, rel_err: float = 0.001) -> DataFrame:
+                buckets: int = 64, rel_err: float = 0.001,
+                rows_per_bucket: int = 2_000_000) -> DataFrame:
     """Add ``_cum_<w>`` (inclusive running sum of ``w`` in the order of
     ``order_col`` within ``group_cols``) and ``_tot_<w>`` (group total).
 
     Rows must be unique per (group_cols, order_col), e.g. an aggregate by
     distinct value; ``order_col`` must be numeric and not null / NaN.
+
+    The number of ranges is at least ``buckets`` and grows with the row
+    count so that a range holds about ``rows_per_bucket`` rows at most; the
+    split points (one number per range) are the only thing the driver sees.
     """
     group_cols = list(group_cols)
     # the splits pass and the main pass both read df: keep it (it is an
     # aggregate by distinct value, smaller than its input) instead of
     # recomputing it from the scan
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = df.count()
+    buckets = max(buckets, -(-n // rows_per_bucket))
     splits = _splits(df, order_col, buckets, rel_err)
     tagged = Bucketizer(splits=splits, inputCol="_pr_order", outputCol=_B,
                         handleInvalid="keep") \

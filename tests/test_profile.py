@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelrisk.operators import clean, profile, reshape
 from parcelrisk.operators.ranking import exact_quantiles, prefix_sums
@@ -73,3 +74,10 @@ def test_prefix_sums_equal_a_global_running_sum(spark):
     cum = dict(zip(vals[order], np.cumsum(w[order])))
     assert all(r._cum_w == cum[r.v] and r._tot_w == w.sum() for r in out)
     assert not math.isnan(out[0].v)
+
+
+def test_prefix_sums_many_buckets_for_large_input(spark):
+    df = spark.range(3000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("w"))
+    out = prefix_sums(df, "v", ["w"], buckets=2, rows_per_bucket=100)
+    assert out.select("_pr_bucket").distinct().count() >= 25
+    assert all(r._cum_w == int(r.v) + 1 for r in out.collect())
