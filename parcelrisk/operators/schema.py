@@ -65,3 +65,10 @@ def schema_report(df: DataFrame) -> DataFrame:
         for i, f in enumerate(df.schema.fields)])
     return df.agg(F.count(F.lit(1)).alias("n_rows")) \
         .select(F.inline(meta), "n_rows")
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str] | str) -> DataFrame:
+    """Key values held by more than one row, with their row count (a key
+    column meant to be an index should return nothing)."""
+    ks = [keys] if isinstance(keys, str) else list(keys)
+    return df.groupBy(*ks).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from parcelrisk.functions.scalars import (
     bool_to_int, composite_key, numeric_key_to_string, safe_ratio,
 )
-from parcelrisk.operators import clean, evaluate, folds, match, profile, reshape, schema
+from parcelrisk.operators import clean, evaluate, folds, grid, match, profile, reshape, schema
 from parcelrisk.plans.recipes import pending_permits
 from parcelrisk.plans.registry import query, t
 
@@ -640,3 +640,55 @@ FROM scored"""))
 def q_log_loss(spark, sf):
     return evaluate.log_loss(scored(spark, sf), "score", "label") \
         .select(F.round("log_loss", 9).alias("log_loss"))
+
+
+@query("key_uniqueness", """
+SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_key_uniqueness(spark, sf):
+    return schema.duplicate_keys(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("pending_filter_variant", _w(PERMITS_SQL, """
+SELECT o_orderkey, o_custkey, address, status, o_orderpriority, o_totalprice FROM permits
+WHERE permit_class = 'Residential' AND coalesce(type_desc = '1-URGENT', false)
+  AND status IS DISTINCT FROM 'F' AND address IS NOT NULL"""))
+def q_pending_filter_variant(spark, sf):
+    """The variant that tests the detailed type only."""
+    return pending_permits(permits(t(spark, sf, "orders")), class_col="permit_class",
+                           class_value="Residential", type_cols=["type_desc"], type_value="1-URGENT",
+                           status_col="status", closed_values=["F"], address_col="address",
+                           keep=PENDING_COLS)
+
+
+@query("auc_evaluator", _w(CURVE_SQL, """
+SELECT round(CAST(sum(CAST(neg AS HUGEINT) * CAST(2 * tps - pos AS HUGEINT)) AS DOUBLE)
+       / (2.0 * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)), 9) AS auc FROM w"""))
+def q_auc_evaluator(spark, sf):
+    """Area under ROC from MLlib's evaluator on the score column."""
+    v = evaluate.auc_roc(scored(spark, sf), "score", "label")
+    return spark.createDataFrame([(round(v, 9),)], "auc double")
+
+
+@query("heat_map", _w(SCORED_SQL.replace("FROM lineitem", "FROM lineitem").replace(
+    "l_returnflag,\n", "l_returnflag, l_quantity, l_discount,\n"), """
+SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS cell_x, CAST(floor(l_discount / 0.02) AS BIGINT) AS cell_y,
+       count(*) AS n_rows, round(avg(score), 9) AS mean_value, round(sum(score), 6) AS sum_value
+FROM scored GROUP BY ALL"""))
+def q_heat_map(spark, sf):
+    li = t(spark, sf, "lineitem").select(
+        "l_quantity", "l_discount", (F.floor(F.col("l_extendedprice") / 105) / 1000).alias("score"))
+    h = grid.heat_map(li, "l_quantity", "l_discount", 5, 0.02, "score")
+    return h.select("cell_x", "cell_y", "n_rows", F.round("mean_value", 9).alias("mean_value"),
+                    F.round("sum_value", 6).alias("sum_value"))
+
+
+@query("neighbours", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+       sqrt(power(l_quantity - 25.0, 2) + power(l_discount * 100 - 5.0, 2)) AS distance
+FROM lineitem
+WHERE sqrt(power(l_quantity - 25.0, 2) + power(l_discount * 100 - 5.0, 2)) <= 1.5""")
+def q_neighbours(spark, sf):
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
+                                         (F.col("l_discount") * 100).alias("_y"))
+    return grid.neighbours(li, "l_quantity", "_y", 25.0, 5.0, 1.5).drop("_y")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelrisk.functions.scalars import run_stamp
 from parcelrisk.operators.clean import union_all
-from parcelrisk.plans.catalog import SCORED_SQL, _w, scored
+from parcelrisk.plans.catalog import LABELS_SQL, SCORED_SQL, _w, pending, scored
 from parcelrisk.plans.registry import query, t
 from parcelrisk.session import scratch_dir
 from parcelrisk.sources.readers import read_delimited, read_table, read_zipped_delimited
@@ -97,3 +97,18 @@ def q_year_snapshot(spark, sf):
     first = o.groupBy("o_custkey").agg(F.min("y").alias("first_year"))
     return first.select("o_custkey",
                         F.explode(F.sequence(F.col("first_year"), F.lit(last))).alias("year"))
+
+
+@query("label_refresh_stream", _w(LABELS_SQL, "SELECT c_custkey FROM labelled WHERE TARGET = 1"))
+def q_label_refresh_stream(spark, sf):
+    """Orders arriving as a file stream; customers that get a pending order
+    are appended to a Parquet sink (stream-static join, first-seen
+    de-duplication); the sink is read back."""
+    from parcelrisk.streaming import label_refresh_stream
+    base = scratch_dir(spark, "stream")
+    orders = t(spark, sf, "orders")
+    q = label_refresh_stream(
+        spark, sf, orders.schema, t(spark, sf, "customer"), pending, "address", "c_name",
+        "c_custkey", f"{base}/sink", f"{base}/checkpoint", glob="orders.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")

@@ -157,3 +157,10 @@ def read_zipped_delimited(spark: SparkSession, path: str, schema: T.StructType,
          else F.try_to_timestamp(F.col(f.name))).alias(f.name)
         for f in schema.fields])
     return _post(typed, None, timestamp_cols, None)
+
+
+def synthetic_binary(spark: SparkSession, n: int, cols: Sequence[str], seed: int = 0) -> DataFrame:
+    """Random 0/1 table, ``n`` rows x ``cols`` (smoke data for a learner),
+    generated on the executors."""
+    return spark.range(n).select(
+        F.col("id"), *[(F.rand(seed + i) < 0.5).cast("int").alias(c) for i, c in enumerate(cols)])

@@ -9,6 +9,7 @@ import time
 import uuid
 import zipfile
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -73,13 +74,19 @@ def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
                 n += 1
         if n == 0:
             return
-        target = f"{out_dir}/part-{uuid.uuid4().hex}.zip"
-        filesystem, p = pafs.FileSystem.from_uri(target if "://" in target else "file://" + target)
+        # named by partition: a retried or speculative attempt rewrites the
+        # same archive instead of adding a second copy of the rows
+        pid = TaskContext.get().partitionId()
+        target = f"{out_dir}/part-{pid:05d}.zip"
+        uri = target if "://" in target else "file://" + target
+        filesystem, final = pafs.FileSystem.from_uri(uri)
+        tmp = f"{final}.{uuid.uuid4().hex}.tmp"
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", compression=zipfile.ZIP_DEFLATED) as zf:
             zf.writestr(member, buf.getvalue().encode(encoding))
-        with filesystem.open_output_stream(p) as fh:
+        with filesystem.open_output_stream(tmp) as fh:
             fh.write(data.getvalue())
+        filesystem.move(tmp, final)
         yield pd.DataFrame({"path": [target], "rows": [n]})
     return run
 
