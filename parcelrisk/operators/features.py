@@ -66,30 +66,40 @@ def feature_pipeline(roles: ColumnRoles, out: str = "features", keep_raw: bool =
     return Pipeline(stages=stages)
 
 
-def _prepare(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+def _prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = None) -> DataFrame:
     cast = {c: F.col(c).cast("string") for c in roles.categorical}
-    cast.update({c: F.col(c).cast("double") for c in roles.numeric})
+    if fill_numeric is None:
+        cast.update({c: F.col(c).cast("double") for c in roles.numeric})
+    else:
+        # null, NaN and infinite numerics (e.g. ratios over a zero) -> the fill value
+        cast.update({c: F.when(F.col(c).cast("double").isin(float("inf"), float("-inf"))
+                               | F.isnan(F.col(c).cast("double")), F.lit(fill_numeric))
+                     .otherwise(F.coalesce(F.col(c).cast("double"), F.lit(fill_numeric)))
+                     for c in roles.numeric})
     cast.update({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in roles.binary})
     return df.withColumns(cast)
 
 
 def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
                    keep_raw: bool = False, fit_on: DataFrame | None = None,
-                   handle_invalid: str = "keep", persist: bool = True) -> tuple[DataFrame, PipelineModel]:
+                   handle_invalid: str = "keep", persist: bool = True,
+                   fill_numeric: float | None = None) -> tuple[DataFrame, PipelineModel]:
     """Fit the feature pipeline (on ``fit_on`` or all rows) and return the
     table reduced to key, identity, label, fold, passthrough and ``out``.
 
     With ``persist`` the input, projected to the role columns, is kept
     (memory and disk) so that the fit passes (level counts, standard
-    deviations) and the transform read it once from the source."""
+    deviations) and the transform read it once from the source.
+    ``fill_numeric`` replaces null / NaN / infinite numerics (the assembler
+    rejects them); without it such a value is an error."""
     roles.validate(df)
     named = [roles.key, *roles.identity, *roles.passthrough, *roles.numeric,
              *roles.categorical, *roles.binary] + [c for c in (roles.label, roles.fold) if c]
-    prepared = _prepare(df.select(*dict.fromkeys(named)), roles)
+    prepared = _prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
     if persist:
         prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     model = feature_pipeline(roles, out, keep_raw, handle_invalid) \
-        .fit(_prepare(fit_on, roles) if fit_on is not None else prepared)
+        .fit(_prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared)
     keep = [roles.key, *roles.identity, *roles.passthrough]
     keep += [c for c in (roles.label, roles.fold) if c]
     return model.transform(prepared).select(*dict.fromkeys(keep), out), model

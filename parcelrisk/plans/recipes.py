@@ -123,7 +123,7 @@ def attribute_table(parcels: DataFrame, city: str = CITY) -> DataFrame:
 
 
 def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,
-                      keep_raw: bool = False) -> DataFrame:
+                      keep_raw: bool = False, fill_numeric: float = 0.0) -> DataFrame:
     """Entity and attribute feature blocks joined on PIN into one vector
     ``all_features``, with the label and a hash fold per PIN."""
     e = entities.withColumn("PIN", F.col("PIN").cast("string"))
@@ -135,7 +135,8 @@ def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, s
                       if c in j.columns),
         categorical=tuple(c for c in ENTITY_CATEGORICAL + ATTRIBUTE_CATEGORICAL if c in j.columns),
         binary=tuple(c for c in ATTRIBUTE_BINARY + ["Unbuildable"] if c in j.columns))
-    feats, _ = build_features(j, roles, out="all_features", keep_raw=keep_raw)
+    feats, _ = build_features(j, roles, out="all_features", keep_raw=keep_raw,
+                              fill_numeric=fill_numeric)
     return assign_folds(feats, "PIN", k, seed)
 
 

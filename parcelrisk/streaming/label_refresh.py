@@ -37,7 +37,8 @@ def label_refresh_stream(spark: SparkSession, events_dir: str, events_schema, en
     """Start the refresh query; newly positive entity keys are appended to
     ``sink_dir``.  ``available_now`` processes what is there and stops
     (scheduled runs); otherwise it keeps running."""
-    reader = spark.readStream.schema(events_schema).format(fmt)
+    reader = spark.readStream.schema(events_schema).format(fmt) \
+        .option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if max_files_per_trigger:
