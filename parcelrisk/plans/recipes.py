@@ -148,3 +148,38 @@ def score_entities(entities: DataFrame, attributes: DataFrame, k: int = 10, seed
     data = labelled_features(entities, attributes, k, seed)
     return oof_score(data, "all_features", "TARGET", "fold", k,
                      keep=["PIN", *ENTITY_IDENTITY], parallelism=parallelism, seed=seed)
+
+
+# Value-history extract columns.
+VALUE_KEY = ("Major", "Minor")
+VALUE_YEAR = "TaxYr"
+VALUE_PARTS = ("LandVal", "ImpsVal")
+VALUE_REASON = "Reason"
+
+
+def value_history_wide(values: DataFrame, reason: str | None = None, agg: str = "sum",
+                       years: Sequence[int] | None = None, round_to: int | None = None) -> DataFrame:
+    """Value history keyed by PIN, one column per tax year holding the
+    total value (land + improvements), optionally only rows of one
+    ``reason`` (e.g. revaluations).  Pass ``years`` to skip the job that
+    finds them."""
+    from parcelrisk.operators.reshape import pivot_by
+    v = values.withColumn("PIN", composite_key(list(VALUE_KEY), PIN_WIDTHS)) \
+        .withColumn("TotalVal", F.col(VALUE_PARTS[0]) + F.col(VALUE_PARTS[1]))
+    if reason is not None:
+        v = v.where(F.col(VALUE_REASON) == F.lit(reason))
+    return pivot_by(v, "PIN", VALUE_YEAR, "TotalVal", agg, years, round_to).orderBy("PIN")
+
+
+def units_table(spark, path: str, schema=None, **opts) -> DataFrame:
+    """Unit breakdown extract as it is (plain or zipped CSV)."""
+    from parcelrisk.sources.readers import read_delimited, read_zipped_delimited
+    if path.endswith(".zip"):
+        return read_zipped_delimited(spark, path, schema, **opts)
+    return read_delimited(spark, path, schema=schema, **opts)
+
+
+def residential_buildings(spark, path: str, schema=None, **opts) -> DataFrame:
+    """Residential building extract as it is; the path argument is used."""
+    from parcelrisk.sources.readers import read_delimited
+    return read_delimited(spark, path, schema=schema, **opts)

@@ -66,3 +66,12 @@ def test_score_entities_scores_each_pin_once(spark):
     assert len(pins) == 58 and len(set(pins)) == 58
     assert all(0 <= r.prob1 <= 1 for r in out)
     assert set(out[0].asDict()) >= {"PIN", "MAJOR", "MINOR", "ADDR_FULL", "TARGET", "fold", "prob0", "prob1"}
+
+
+def test_value_history_wide(spark):
+    rows = [(335240, 1605, 2018, 100, 50, "REVALUE"), (335240, 1605, 2019, 120, 60, "REVALUE"),
+            (335240, 1605, 2019, 1, 1, "NEW PARCEL"), (12, 3, 2019, 7, 0, "REVALUE")]
+    df = spark.createDataFrame(rows, "Major long, Minor long, TaxYr int, LandVal long, "
+                                     "ImpsVal long, Reason string")
+    out = recipes.value_history_wide(df, reason="REVALUE", years=[2018, 2019]).collect()
+    assert [tuple(r) for r in out] == [("0000120003", None, 7), ("3352401605", 150, 180)]
