@@ -18,15 +18,28 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelrisk.operators.broadcast import bounded_broadcast, broadcast_fixed
+from parcelrisk.operators.broadcast import broadcast_fixed
 
 _B = "_pr_bucket"
 
 
-def _splits(df: DataFrame, col: str, buckets: int, rel_err: float) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    rel_err = min(rel_err, 0.25 / buckets)
-    qs = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, rel_err)
+def _splits(df: DataFrame, col: str, buckets: int, rows_per_bucket: int,
+            rel_err: float) -> list[float]:
+    """Split points of ``buckets`` ranges of about equal row count.  Row
+    count and approximate quantiles come from one aggregate; when the rows
+    need more ranges than asked, the quantiles are taken again for them."""
+    x = F.col(col).cast("double")
+
+    def quantiles(b: int):
+        probs = [i / b for i in range(1, b)]
+        acc = int(max(1.0 / rel_err, 4.0 * b))
+        return F.percentile_approx(x, probs, acc) if probs else F.array()
+
+    row = df.agg(F.count(F.lit(1)).alias("n"), quantiles(buckets).alias("q")).first()
+    need = -(-row["n"] // rows_per_bucket)
+    qs = row["q"] or []
+    if need > buckets:
+        qs = df.agg(quantiles(need).alias("q")).first()["q"] or []
     inner = sorted({q for q in qs if q is not None and q == q})
     return [float("-inf")] + inner + [float("inf")]
 
@@ -50,9 +63,7 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
     # aggregate by distinct value, smaller than its input) instead of
     # recomputing it from the scan
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    buckets = max(buckets, -(-n // rows_per_bucket))
-    splits = _splits(df, order_col, buckets, rel_err)
+    splits = _splits(df, order_col, buckets, rows_per_bucket, rel_err)
     tagged = Bucketizer(splits=splits, inputCol="_pr_order", outputCol=_B,
                         handleInvalid="keep") \
         .transform(df.withColumn("_pr_order", F.col(order_col).cast("double"))) \
@@ -69,8 +80,12 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
         *group_cols, _B,
         *[F.coalesce(F.sum(f"_bt_{w}").over(wprev), F.lit(0)).alias(f"_off_{w}") for w in weights],
         *[F.sum(f"_bt_{w}").over(wall).alias(f"_tot_{w}") for w in weights])
-    # groups x (buckets + 1) rows: fixed by the parameter when there are no groups
-    offsets = broadcast_fixed(offsets) if not group_cols else bounded_broadcast(offsets)
+    # without groups: one row per range, bounded by the split count -> broadcast.
+    # with groups: AQE broadcasts the offsets when their measured size is
+    # small; otherwise the join shuffles by (group, range), the partitioning
+    # the window below needs anyway.
+    if not group_cols:
+        offsets = broadcast_fixed(offsets)
 
     ocol = F.col(order_col).desc() if descending else F.col(order_col).asc()
     win = Window.partitionBy(*group_cols, _B).orderBy(ocol) \
