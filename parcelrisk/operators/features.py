@@ -33,6 +33,27 @@ def cap_levels(df: DataFrame, cols: Sequence[str], top_n: int, other: str = "__o
     return out
 
 
+def spread_for_fitting(df: DataFrame, min_rows_per_partition: int = 50_000) -> DataFrame:
+    """Persist ``df`` for repeated fit passes, spread over enough partitions.
+
+    The table is persisted and counted (the count fills the cache the fits
+    read anyway).  When it holds fewer partitions than
+    ``min(default parallelism, rows / min_rows_per_partition)`` -- a source
+    stored in few files or row groups -- it is repartitioned round robin and
+    persisted again; otherwise it is returned as it is, without a shuffle.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    target = min(df.sparkSession.sparkContext.defaultParallelism,
+                 max(1, -(-n // min_rows_per_partition)))
+    if kept.rdd.getNumPartitions() >= target:
+        return kept
+    spread = kept.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+    spread.count()
+    kept.unpersist()
+    return spread
+
+
 def feature_pipeline(roles: ColumnRoles, out: str = "features", keep_raw: bool = False,
                      handle_invalid: str = "keep", scale: bool = True) -> Pipeline:
     """Assemble numerics (scaled by sample std, not centred), index and
@@ -97,7 +118,7 @@ def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
              *roles.categorical, *roles.binary] + [c for c in (roles.label, roles.fold) if c]
     prepared = _prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
     if persist:
-        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = spread_for_fitting(prepared)
     model = feature_pipeline(roles, out, keep_raw, handle_invalid) \
         .fit(_prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared)
     keep = [roles.key, *roles.identity, *roles.passthrough]
