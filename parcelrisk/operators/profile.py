@@ -113,25 +113,22 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(bins - 1)).cast("int")
     counts = df.where((x >= lo) & (x <= hi)).groupBy(*by, b.alias("bin")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    # every bin appears: bins is a parameter, groups come from the counts
-    if by:
-        grid = counts.select(*by).distinct() \
-            .select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    else:
-        grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    grid = grid.withColumns({
-        "bin_lo": F.lit(lo) + F.col("bin") * F.lit(w),
-        "bin_hi": F.lit(lo) + (F.col("bin") + 1) * F.lit(w)})
-    out = grid.join(counts, on=[*by, "bin"], how="left") \
-        .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
+    # every bin appears: fold each group's counts (at most ``bins`` entries,
+    # a parameter) into a map, then expand 0..bins-1 -- no join, no rescan
+    per = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("_m"),
+        F.sum("count").alias("_n"))
+    out = per.select(*by, "_m", "_n",
+                     F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    out = out.select(
+        *by, "bin",
+        (F.lit(lo) + F.col("bin") * F.lit(w)).alias("bin_lo"),
+        (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("bin_hi"),
+        F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
+        "_n")
     if density:
-        if by:
-            w_tot = Window.partitionBy(*by)
-            out = out.withColumn("_n", F.sum("count").over(w_tot))
-        else:
-            out = out.withColumn("_n", F.sum("count").over(Window.partitionBy()))
-        out = out.withColumn("density", F.col("count") / (F.col("_n") * F.lit(w))).drop("_n")
-    return out
+        out = out.withColumn("density", F.col("count") / (F.col("_n") * F.lit(w)))
+    return out.drop("_n")
 
 
 def date_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
