@@ -101,11 +101,27 @@ def staged_match(df: DataFrame, universes: Sequence[DataFrame], left_on, right_o
     return _with_keys(df, lo, normalise).join(first, on=ks, how="left").drop(*ks)
 
 
-def match_report(staged: DataFrame, stage_col: str = "stage", n_stages: int | None = None) -> DataFrame:
-    """Counts per stage (null = never matched): rows and cumulative matched."""
+def match_report(staged: DataFrame, stage_col: str = "stage") -> DataFrame:
+    """Rows per stage (null = never matched)."""
     return staged.groupBy(stage_col).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def match_summary(staged: DataFrame, n_stages: int, stage_col: str = "stage") -> DataFrame:
+    """For each stage 1..n: rows matched at that stage and rows still
+    unmatched after it (the counts printed after each matching pass).  One
+    aggregate of the staged rows; the output has ``n_stages`` rows."""
+    s = F.col(stage_col)
+    aggs = []
+    for i in range(1, n_stages + 1):
+        aggs += [F.sum((s == i).cast("int")).cast("bigint").alias(f"m{i}"),
+                 F.sum((s.isNull() | (s > i)).cast("int")).cast("bigint").alias(f"u{i}")]
+    one = staged.agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(i).alias("stage"), F.coalesce(F.col(f"m{i}"), F.lit(0)).alias("matched"),
+                              F.coalesce(F.col(f"u{i}"), F.lit(0)).alias("unmatched_after"))
+                     for i in range(1, n_stages + 1)])
+    return one.select(F.inline(rows))
+
+
 def batch_lookup(keys_df: DataFrame, df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Rows of ``df`` (projected to ``key`` + ``cols``) for every key in
     ``keys_df``: one semi join instead of one point lookup per key."""

@@ -204,6 +204,14 @@ def q_staged_match_report(spark, sf):
     return match.match_report(_staged(spark, sf), "stage")
 
 
+@query("staged_match_summary", _w(STAGED_SQL, """
+SELECT s.stage, CAST(count(CASE WHEN st.stage = s.stage THEN 1 END) AS BIGINT) AS matched,
+       CAST(count(CASE WHEN st.stage IS NULL OR st.stage > s.stage THEN 1 END) AS BIGINT) AS unmatched_after
+FROM (SELECT 1 AS stage UNION ALL SELECT 2) s CROSS JOIN staged st GROUP BY s.stage"""))
+def q_staged_match_summary(spark, sf):
+    return match.match_summary(_staged(spark, sf), 2)
+
+
 @query("lookup_retyped_key", """
 SELECT o.o_orderkey, CAST(CAST(CAST(o.o_custkey AS DOUBLE) AS BIGINT) AS VARCHAR) AS cust_key,
        c.c_name

@@ -24,3 +24,13 @@ def test_staged_match(spark):
     u2 = spark.createDataFrame([("a",), ("b",)], "k string")
     got = {r.k: r.stage for r in staged_match(left, [u1, u2], "k").collect()}
     assert got == {"a": 1, "b": 2, "c": None}
+
+
+def test_match_summary_counts(spark):
+    from parcelrisk.operators.match import match_summary
+    left = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    u1 = spark.createDataFrame([("a",)], "k string")
+    u2 = spark.createDataFrame([("a",), ("b",)], "k string")
+    staged = staged_match(left, [u1, u2], "k")
+    got = [tuple(r) for r in match_summary(staged, 2).orderBy("stage").collect()]
+    assert got == [(1, 1, 2), (2, 1, 1)]

@@ -9,7 +9,7 @@ def gis_table(spark, n=60):
     cols = {
         "PIN": F.format_string("%06d%04d", c + 100, c), "MAJOR": c + 100, "MINOR": c,
         "SITETYPE": F.when(c % 2 == 0, "R1").otherwise("C1"),
-        "ADDR_FULL": F.concat(c.cast("string"), F.lit(" ALOHA ST")),
+        "ADDR_FULL": F.concat(c.cast("string"), F.lit(" MAIN ST")),
         "LAT": 47.6 + c / 1000, "LON": -122.3 - c / 1000,
         "KCTP_STATE": F.lit("WA"), "LOTSQFT": 4000.0 + c * 10, "LEVYCODE": (c % 3).cast("string"),
         "NEW_CONSTR": F.lit("N"), "TAXVAL_RSN": F.lit("A"),
@@ -36,9 +36,9 @@ def parcel_table(spark, n=60):
 
 
 def permit_table(spark):
-    rows = [("Residential", "Demolition", "Demolition", "Issued", f"{i} aloha st")
+    rows = [("Residential", "Demolition", "Demolition", "Issued", f"{i} main st")
             for i in range(0, 60, 4)]
-    rows.append(("Residential", "Demolition", "Demolition", "Closed", "5 ALOHA ST"))
+    rows.append(("Residential", "Demolition", "Demolition", "Closed", "5 MAIN ST"))
     return spark.createDataFrame(
         rows, "PermitClassMapped string, PermitTypeDesc string, PermitTypeMapped string, "
               "StatusCurrent string, OriginalAddress1 string") \
