@@ -9,7 +9,6 @@ archive per task (a zip is not splittable), rows yielded in bounded batches.
 
 from __future__ import annotations
 
-import csv
 import io
 import zipfile
 from collections.abc import Sequence
@@ -116,19 +115,14 @@ def _zip_rows(schema_names: list[str], header: bool, encoding: str, sep: str, ba
                         if member.endswith("/"):
                             continue
                         with zf.open(member) as fh:
-                            text = io.TextIOWrapper(fh, encoding=encoding, newline="")
-                            reader = csv.reader(text, delimiter=sep)
-                            if header:
-                                next(reader, None)
-                            buf = []
-                            for rec in reader:
-                                rec = (rec + [None] * len(schema_names))[:len(schema_names)]
-                                buf.append(rec)
-                                if len(buf) >= batch_rows:
-                                    yield pd.DataFrame(buf, columns=schema_names)
-                                    buf = []
-                            if buf:
-                                yield pd.DataFrame(buf, columns=schema_names)
+                            # C parser, text kept as text, quotes and quoted
+                            # newlines respected, bounded chunks per batch
+                            chunks = pd.read_csv(
+                                fh, sep=sep, header=0 if header else None, names=schema_names,
+                                dtype=str, keep_default_na=False, na_filter=False,
+                                encoding=encoding, chunksize=batch_rows, index_col=False)
+                            for chunk in chunks:
+                                yield chunk
     return run
 
 
