@@ -46,7 +46,9 @@ def oof_score(df: DataFrame, features: str, label: str, fold: str, k: int,
     includes the feature stages fits them on the training folds only.
     """
     est = estimator if estimator is not None else default_forest(features, label, seed)
-    data = df.select(*dict.fromkeys([*keep, label, fold, features])) \
+    # a Pipeline that builds ``features`` itself needs the raw columns
+    cols = [*keep, label, fold, features] if features in df.columns else df.columns
+    data = df.select(*dict.fromkeys(cols)) \
         .withColumn(label, F.col(label).cast("double")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
 

@@ -20,8 +20,10 @@ from parcelrisk.functions.scalars import (
 from parcelrisk.operators.clean import fill_null, flag_columns
 from parcelrisk.operators.folds import assign_folds
 from parcelrisk.operators.match import flag_membership
-from parcelrisk.operators.model import oof_score
-from parcelrisk.operators.features import build_features
+from pyspark.ml import Pipeline
+
+from parcelrisk.operators.model import default_forest, oof_score
+from parcelrisk.operators.features import _prepare, build_features, feature_pipeline
 from parcelrisk.operators.schema import ColumnRoles
 
 # ---------------------------------------------------------------------------
@@ -122,32 +124,56 @@ def attribute_table(parcels: DataFrame, city: str = CITY) -> DataFrame:
     return flag_columns(p, [c for c in ATTRIBUTE_BINARY if c in p.columns])
 
 
-def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,
-                      keep_raw: bool = False, fill_numeric: float = 0.0) -> DataFrame:
-    """Entity and attribute feature blocks joined on PIN into one vector
-    ``all_features``, with the label and a hash fold per PIN."""
+def _joined(entities: DataFrame, attributes: DataFrame) -> tuple[DataFrame, ColumnRoles]:
     e = entities.withColumn("PIN", F.col("PIN").cast("string"))
     a = attributes.withColumn("PIN", F.col("PIN").cast("string"))
     j = e.join(a, on="PIN", how="inner")
     roles = ColumnRoles(
-        key="PIN", identity=tuple(ENTITY_IDENTITY), label="TARGET",
+        key="PIN", identity=tuple(ENTITY_IDENTITY), label="TARGET", fold="fold",
         numeric=tuple(c for c in ENTITY_NUMERIC + ["improvement_over_total"] + ATTRIBUTE_NUMERIC
                       if c in j.columns),
         categorical=tuple(c for c in ENTITY_CATEGORICAL + ATTRIBUTE_CATEGORICAL if c in j.columns),
         binary=tuple(c for c in ATTRIBUTE_BINARY + ["Unbuildable"] if c in j.columns))
+    return j, roles
+
+
+def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,
+                      keep_raw: bool = False, fill_numeric: float = 0.0) -> DataFrame:
+    """Entity and attribute feature blocks joined on PIN into one vector
+    ``all_features``, with the label and a hash fold per PIN."""
+    j, roles = _joined(entities, attributes)
+    j = assign_folds(j, "PIN", k, seed)
     feats, _ = build_features(j, roles, out="all_features", keep_raw=keep_raw,
                               fill_numeric=fill_numeric)
-    return assign_folds(feats, "PIN", k, seed)
+    return feats
 
 
 def score_entities(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,
-                   parallelism: int = 4) -> DataFrame:
+                   parallelism: int = 4, fit_scope: str = "all",
+                   fill_numeric: float = 0.0) -> DataFrame:
     """The batch job: label, features, k-fold out-of-fold random forest.
     Returns PIN, MAJOR, MINOR, ADDR_FULL, TARGET, fold, prediction, prob0,
-    prob1 -- every entity exactly once."""
-    data = labelled_features(entities, attributes, k, seed)
-    return oof_score(data, "all_features", "TARGET", "fold", k,
-                     keep=["PIN", *ENTITY_IDENTITY], parallelism=parallelism, seed=seed)
+    prob1 -- every entity exactly once.
+
+    ``fit_scope='all'`` fits the scaler and indexers on every row (the
+    original method); ``'train'`` fits them inside each fold on the
+    training folds only, so the held-out fold never shapes its features."""
+    keep = ["PIN", *ENTITY_IDENTITY]
+    if fit_scope == "all":
+        data = labelled_features(entities, attributes, k, seed, fill_numeric=fill_numeric)
+        return oof_score(data, "all_features", "TARGET", "fold", k,
+                         keep=keep, parallelism=parallelism, seed=seed)
+    if fit_scope != "train":
+        raise ValueError("fit_scope must be 'all' or 'train'")
+    j, roles = _joined(entities, attributes)
+    j = assign_folds(j, "PIN", k, seed)
+    named = [roles.key, *roles.identity, *roles.numeric, *roles.categorical, *roles.binary,
+             roles.label, roles.fold]
+    prepared = _prepare(j.select(*dict.fromkeys(named)), roles, fill_numeric)
+    stages = feature_pipeline(roles, out="all_features").getStages()
+    pipe = Pipeline(stages=[*stages, default_forest("all_features", "TARGET", seed)])
+    return oof_score(prepared, "all_features", "TARGET", "fold", k, estimator=pipe,
+                     keep=keep, parallelism=parallelism, seed=seed)
 
 
 # Value-history extract columns.

@@ -75,3 +75,11 @@ def test_value_history_wide(spark):
                                      "ImpsVal long, Reason string")
     out = recipes.value_history_wide(df, reason="REVALUE", years=[2018, 2019]).collect()
     assert [tuple(r) for r in out] == [("0000120003", None, 7), ("3352401605", 150, 180)]
+
+
+def test_score_entities_fit_on_training_folds(spark):
+    pend = recipes.pending_permits(permit_table(spark))
+    ent = recipes.entity_table(gis_table(spark), pend)
+    att = recipes.attribute_table(parcel_table(spark))
+    out = recipes.score_entities(ent, att, k=3, parallelism=2, fit_scope="train").collect()
+    assert len({r.PIN for r in out}) == len(out) == 58
