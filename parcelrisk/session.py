@@ -76,3 +76,23 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     if path.startswith("/") or path.startswith("file:"):
         os.makedirs(path.replace("file:", "", 1), exist_ok=True)
     return path
+
+
+def recommended_conf(input_bytes: int, total_cores: int,
+                     target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores``.
+
+    Shuffle partitions start at max(3 x cores, input / 256 MiB) and AQE
+    coalesces them toward the advisory size, so small stages shrink and large
+    ones stay spill-free; scans split files at the same size; skewed join
+    partitions above 5 x the median (and 512 MiB) are split."""
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
