@@ -79,6 +79,18 @@ def nan_to_null(c) -> Column:
     return F.when(F.isnan(_c(c)), F.lit(None)).otherwise(_c(c))
 
 
+def epoch_seconds(c, ntz: bool = True) -> Column:
+    """Seconds since 1970-01-01 00:00 as double.  For a wall-clock
+    (``timestamp_ntz``) column the value is computed from its date and time
+    parts, so it does not depend on the session time zone."""
+    col = _c(c)
+    if not ntz:
+        return F.unix_micros(col.cast("timestamp")).cast("double") / F.lit(1_000_000.0)
+    days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("double")
+    return days * F.lit(86400.0) + F.hour(col) * F.lit(3600.0) + F.minute(col) * F.lit(60.0) \
+        + F.second(col).cast("double")
+
+
 def run_stamp() -> Column:
     """Run stamp ``yyyyMMdd-HHmmss`` of the query start time."""
     return F.date_format(F.current_timestamp(), "yyyyMMdd-HHmmss")

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelrisk.functions.scalars import epoch_seconds
 from parcelrisk.operators.broadcast import bounded_broadcast
 from parcelrisk.operators.ranking import exact_quantiles
 
@@ -132,8 +133,10 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
 
 
 def date_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Histogram of a timestamp column over its range (nulls dropped)."""
-    t = df.where(F.col(col).isNotNull()).withColumn("_pr_t", F.unix_timestamp(F.col(col)).cast("double"))
+    """Histogram of a timestamp column over its range (nulls dropped); bin
+    edges in epoch seconds are also returned as timestamps."""
+    ntz = dict(df.dtypes)[col] == "timestamp_ntz"
+    t = df.where(F.col(col).isNotNull()).withColumn("_pr_t", epoch_seconds(col, ntz))
     h = histogram(t, "_pr_t", bins)
     return h.withColumns({"bin_lo": F.timestamp_seconds("bin_lo"),
                           "bin_hi": F.timestamp_seconds("bin_hi")})
