@@ -56,10 +56,11 @@ def roc_points(df: DataFrame, score: str, label: str, buckets: int = 64,
     return start.unionByName(pts.drop("pos", "neg"))
 
 
-def _drop_collinear(pts: DataFrame) -> DataFrame:
-    """Keep a point when its step (pos, neg) differs from the next point's
-    step; the first and the last point are always kept.  The next point is found by joining
-    on the cumulative position, which is unique per point."""
+def _keep_flags(pts: DataFrame) -> DataFrame:
+    """Add ``_keep`` = 1 for the points scikit-learn keeps with
+    ``drop_intermediate``: the first and the last point, and every point
+    whose step (pos, neg) differs from the next point's step.  The next
+    point is found by joining on the cumulative position, unique per point."""
     nxt = pts.select(
         (F.col("tps") - F.col("pos")).alias("_ptps"), (F.col("fps") - F.col("neg")).alias("_pfps"),
         F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
@@ -67,19 +68,30 @@ def _drop_collinear(pts: DataFrame) -> DataFrame:
     first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
     keep = first | F.col("_npos").isNull() | (F.col("_npos") != F.col("pos")) \
         | (F.col("_nneg") != F.col("neg"))
-    return j.where(keep).drop("_ptps", "_pfps", "_npos", "_nneg")
+    return j.withColumn("_keep", keep.cast("int")).drop("_ptps", "_pfps", "_npos", "_nneg")
+
+
+def _drop_collinear(pts: DataFrame) -> DataFrame:
+    return _keep_flags(pts).where(F.col("_keep") == 1).drop("_keep")
 
 
 def auc(df: DataFrame, score: str, label: str, rule: str = "trapezoid",
-        buckets: int = 64) -> DataFrame:
+        buckets: int = 64, drop_intermediate: bool = False) -> DataFrame:
     """Area under the ROC curve, one row ``auc``.
 
     trapezoid: sum over thresholds of neg_i * (2 tps_i - pos_i) / (2 P N);
     right rectangle (``sum(diff(fpr) * tpr[1:])``): sum neg_i * tps_i / (P N).
     The sums are exact integers (decimal(38,0)), divided once.
+
+    ``drop_intermediate`` evaluates the rule on the reduced curve (collinear
+    points dropped, as scikit-learn's default ``roc_curve`` returns it).
+    The trapezoid is the same either way; the right rectangle is not: each
+    kept point then spans the whole run of equal steps before it.
     """
     c = curve_table(df, score, label, buckets)
     d = lambda e: e.cast("decimal(38,0)")
+    if drop_intermediate and rule == "right":
+        return _auc_right_reduced(c, buckets)
     if rule == "trapezoid":
         term, scale = d(F.col("neg")) * d(F.lit(2) * F.col("tps") - F.col("pos")), 2.0
     elif rule == "right":
@@ -91,6 +103,24 @@ def auc(df: DataFrame, score: str, label: str, rule: str = "trapezoid",
                                                * F.col("_N").cast("double"))).alias("auc"))
 
 
+def _auc_right_reduced(c: DataFrame, buckets: int) -> DataFrame:
+    """Right-rectangle area over the kept points.  A running count of kept
+    points (distributed, ``prefix_sums``) numbers the segments: a kept point
+    closes its segment, a dropped one belongs to the next kept point.  Per
+    segment: negatives added and the closing point's tps."""
+    flagged = _keep_flags(c)
+    cum = prefix_sums(flagged, "threshold", ["_keep"], descending=True, buckets=buckets)
+    seg = F.when(F.col("_keep") == 1, F.col("_cum__keep")).otherwise(F.col("_cum__keep") + 1)
+    per = cum.groupBy(seg.alias("_seg")).agg(
+        F.sum("neg").alias("dneg"), F.max("tps").alias("tps"),
+        F.max("P").alias("P"), F.max("N").alias("N"))
+    d = lambda e: e.cast("decimal(38,0)")
+    return per.agg(F.sum(d(F.col("dneg")) * d(F.col("tps"))).alias("_s"),
+                   F.max("P").alias("_P"), F.max("N").alias("_N")) \
+        .select((F.col("_s").cast("double") / (F.lit(1.0) * F.col("_P").cast("double")
+                                               * F.col("_N").cast("double"))).alias("auc"))
+
+
 def curve_summary(points: DataFrame) -> DataFrame:
     """Mean TPR over all curve points, and mean of TPR x threshold with the
     start point contributing 0 (its threshold is above every score)."""

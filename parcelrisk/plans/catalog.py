@@ -631,6 +631,38 @@ def q_auc_right(spark, sf):
     return evaluate.auc(scored(spark, sf), "score", "label", "right")
 
 
+KEPT_SQL = """
+, flagged AS (SELECT *, lead(pos) OVER (ORDER BY threshold DESC) AS npos,
+                     lead(neg) OVER (ORDER BY threshold DESC) AS nneg,
+                     row_number() OVER (ORDER BY threshold DESC) AS rn FROM w),
+kept AS (SELECT threshold, tps, fps, P, N FROM flagged
+         WHERE rn = 1 OR npos IS NULL OR npos <> pos OR nneg <> neg),
+kept_pts AS (
+  SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0.0 AS DOUBLE) AS tpr
+  UNION ALL SELECT threshold, CAST(tps AS DOUBLE) / P FROM kept)"""
+
+
+@query("auc_right_dropped", _w(CURVE_SQL, KEPT_SQL + """
+, steps AS (SELECT tps, P, N, fps - coalesce(lag(fps) OVER (ORDER BY threshold DESC), 0) AS dfps FROM kept)
+SELECT CAST(sum(CAST(dfps AS HUGEINT) * CAST(tps AS HUGEINT)) AS DOUBLE)
+       / (1.0 * CAST(max(P) AS DOUBLE) * CAST(max(N) AS DOUBLE)) AS auc FROM steps"""))
+def q_auc_right_dropped(spark, sf):
+    """The right-rectangle area on the reduced curve (the default curve of
+    the evaluation notebooks)."""
+    return evaluate.auc(scored(spark, sf), "score", "label", "right", drop_intermediate=True)
+
+
+@query("curve_summary_dropped", _w(CURVE_SQL, KEPT_SQL + """
+SELECT round(avg(tpr), 9) AS mean_tpr,
+       round(sum(coalesce(tpr * threshold, 0.0)) / count(*), 9) AS mean_tpr_x_threshold,
+       count(*) AS n_points FROM kept_pts"""))
+def q_curve_summary_dropped(spark, sf):
+    s = evaluate.curve_summary(evaluate.roc_points(scored(spark, sf), "score", "label",
+                                                   drop_intermediate=True))
+    return s.select(F.round("mean_tpr", 9).alias("mean_tpr"),
+                    F.round("mean_tpr_x_threshold", 9).alias("mean_tpr_x_threshold"), "n_points")
+
+
 @query("curve_summary", _w(CURVE_SQL, """
 SELECT round(avg(tpr), 9) AS mean_tpr,
        round(sum(coalesce(tpr * threshold, 0.0)) / count(*), 9) AS mean_tpr_x_threshold,

@@ -40,3 +40,35 @@ def test_drop_intermediate_keeps_corners(spark):
     pts = sorted((r.fpr, r.tpr) for r in
                  evaluate.roc_points(df, "s", "y", drop_intermediate=True).collect())
     assert pts == [(0.0, 0.0), (0.0, 1 / 3), (0.0, 1.0), (1.0, 1.0)]
+
+
+def _sk_roc(y, s, drop=True):
+    """scikit-learn's roc_curve, written out with numpy (brute force)."""
+    order = np.argsort(-s, kind="mergesort")
+    y, s = y[order], s[order]
+    idx = np.r_[np.where(np.diff(s))[0], len(s) - 1]
+    tps = np.cumsum(y)[idx]
+    fps = 1 + idx - tps
+    if drop and len(fps) > 2:
+        keep = np.where(np.r_[True, np.logical_or(np.diff(fps, 2), np.diff(tps, 2)), True])[0]
+        fps, tps = fps[keep], tps[keep]
+    tps, fps = np.r_[0, tps], np.r_[0, fps]
+    return fps / fps[-1], tps / tps[-1]
+
+
+def test_right_rectangle_on_reduced_curve_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    # long runs of single-class distinct scores: many collinear points
+    s = np.round(rng.random(3000), 3)
+    y = (s > 0.4).astype(int) ^ (rng.random(3000) < 0.1)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int")
+    for drop in (False, True):
+        fpr, tpr = _sk_roc(y, s, drop)
+        want = float((np.diff(fpr) * tpr[1:]).sum())
+        got = evaluate.auc(df, "s", "y", "right", buckets=5, drop_intermediate=drop).first().auc
+        assert abs(got - want) < 1e-12, (drop, got, want)
+    fpr, tpr = _sk_roc(y, s, True)
+    pts = evaluate.roc_points(df, "s", "y", buckets=5, drop_intermediate=True).collect()
+    assert len(pts) == len(fpr)
+    summ = evaluate.curve_summary(spark.createDataFrame(pts)).first()
+    assert abs(summ.mean_tpr - tpr.mean()) < 1e-12
