@@ -38,18 +38,21 @@ def write_run(df: DataFrame, base: str, run_id: str | None = None, fmt: str = "p
 
 
 def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix: str = "EXTR_",
-                       database: str | None = None, schema=None, **read_opts) -> DataFrame:
+                       database: str | None = None, schema=None, schema_only: bool = False,
+                       **read_opts) -> DataFrame:
     """Create one catalog table per top-level entry of ``path`` (a file, or
     a folder of part files), named from the entry; an existing table is
-    left alone and reported (fail on exists, then continue).  Returns
-    (table_name, status) rows."""
+    left alone and reported (fail on exists, then continue).  With
+    ``schema_only`` the tables are created empty, with the columns (and
+    types) of the files, and no rows are loaded.  Returns (table_name,
+    status) rows."""
     status = []
     for entry, files in directory_entries(spark, path, glob):   # metadata only
         name = entry_table_name(entry, prefix)
         full = name if database is None else f"{database}.{name}"
         try:
-            read_delimited(spark, files, schema=schema, **read_opts) \
-                .write.mode("errorifexists").saveAsTable(full)
+            src = read_delimited(spark, files, schema=schema, **read_opts)
+            (src.limit(0) if schema_only else src).write.mode("errorifexists").saveAsTable(full)
             status.append((name, "created"))
         except AnalysisException as e:
             if "ALREADY_EXISTS" in str(e) or "already exists" in str(e):

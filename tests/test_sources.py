@@ -66,3 +66,15 @@ def test_attribute_table_flags_twice_listed_stay(spark):
     assert out["3352401605"].OtherProblems == 1 and out["3352401605"].WfntProximityInfluence == 1
     assert out["0000120003"].Unbuildable == 0 and out["0000120003"].OtherProblems == 0
     assert "Major" not in recipes.attribute_table(df).columns and names
+
+
+def test_register_schema_only(spark):
+    base = scratch_dir(spark, "reg-schema")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    write_delimited(df, f"{base}/EXTR_Empty.csv")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS regempty LOCATION '{base}/db'")
+    st = register_directory(spark, base, database="regempty", schema="k int, v string",
+                            schema_only=True).collect()
+    assert [tuple(r) for r in st] == [("empty", "created")]
+    t = spark.table("regempty.empty")
+    assert t.count() == 0 and t.dtypes == [("k", "int"), ("v", "string")]
