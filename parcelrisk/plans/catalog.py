@@ -710,11 +710,11 @@ def q_auc_evaluator(spark, sf):
     return spark.createDataFrame([(round(v, 9),)], "auc double")
 
 
-@query("heat_map", _w(SCORED_SQL.replace("FROM lineitem", "FROM lineitem").replace(
-    "l_returnflag,\n", "l_returnflag, l_quantity, l_discount,\n"), """
+@query("heat_map", """
+WITH s AS (SELECT l_quantity, l_discount, floor(l_extendedprice / 105) / 1000 AS score FROM lineitem)
 SELECT CAST(floor(l_quantity / 5) AS BIGINT) AS cell_x, CAST(floor(l_discount / 0.02) AS BIGINT) AS cell_y,
        count(*) AS n_rows, round(avg(score), 9) AS mean_value, round(sum(score), 6) AS sum_value
-FROM scored GROUP BY ALL"""))
+FROM s GROUP BY ALL""")
 def q_heat_map(spark, sf):
     li = t(spark, sf, "lineitem").select(
         "l_quantity", "l_discount", (F.floor(F.col("l_extendedprice") / 105) / 1000).alias("score"))
