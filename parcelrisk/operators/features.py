@@ -15,6 +15,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelrisk.operators.broadcast import broadcast_fixed
 from parcelrisk.operators.schema import ColumnRoles
 
 
@@ -27,7 +28,7 @@ def cap_levels(df: DataFrame, cols: Sequence[str], top_n: int, other: str = "__o
         top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")) \
             .orderBy(F.col("_n").desc(), F.col(c).asc()).limit(top_n) \
             .select(c, F.lit(True).alias(f"_keep_{c}"))
-        out = out.join(F.broadcast(top), on=c, how="left") \
+        out = out.join(broadcast_fixed(top), on=c, how="left") \
             .withColumn(c, F.when(F.col(f"_keep_{c}") | F.col(c).isNull(), F.col(c))
                         .otherwise(F.lit(other))).drop(f"_keep_{c}")
     return out
@@ -104,7 +105,8 @@ def _prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = Non
 def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
                    keep_raw: bool = False, fit_on: DataFrame | None = None,
                    handle_invalid: str = "keep", persist: bool = True,
-                   fill_numeric: float | None = None) -> tuple[DataFrame, PipelineModel]:
+                   fill_numeric: float | None = None,
+                   top_n: int | None = None) -> tuple[DataFrame, PipelineModel]:
     """Fit the feature pipeline (on ``fit_on`` or all rows) and return the
     table reduced to key, identity, label, fold, passthrough and ``out``.
 
@@ -112,11 +114,16 @@ def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
     (memory and disk) so that the fit passes (level counts, standard
     deviations) and the transform read it once from the source.
     ``fill_numeric`` replaces null / NaN / infinite numerics (the assembler
-    rejects them); without it such a value is an error."""
+    rejects them); without it such a value is an error.  ``top_n`` keeps the
+    most frequent levels of each categorical and maps the rest to one
+    'other' level (continuous codes or very many levels would otherwise make
+    the one-hot vector as wide as the data is varied)."""
     roles.validate(df)
     named = [roles.key, *roles.identity, *roles.passthrough, *roles.numeric,
              *roles.categorical, *roles.binary] + [c for c in (roles.label, roles.fold) if c]
     prepared = _prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
+    if top_n is not None and roles.categorical:
+        prepared = cap_levels(prepared, list(roles.categorical), top_n)
     if persist:
         prepared = spread_for_fitting(prepared)
     model = feature_pipeline(roles, out, keep_raw, handle_invalid) \

@@ -45,3 +45,10 @@ def test_oof_scores_every_row_once(spark):
     rows = out.collect()
     assert len(rows) == n and len({r.key for r in rows}) == n
     assert all(0.0 <= r.prob1 <= 1.0 and abs(r.prob0 + r.prob1 - 1) < 1e-9 for r in rows)
+
+
+def test_build_features_top_n(spark):
+    df = spark.createDataFrame([(i, str(i % 7)) for i in range(70)], "k int, c string")
+    out, model = feat.build_features(df, ColumnRoles(key="k", categorical=("c",)), top_n=3)
+    width = len(out.select(vector_to_array("features").alias("v")).first().v)
+    assert width == 3          # 3 kept levels + 'other', minus the dropped last level
