@@ -49,6 +49,7 @@ def test_oof_scores_every_row_once(spark):
 
 def test_build_features_top_n(spark):
     df = spark.createDataFrame([(i, str(i % 7)) for i in range(70)], "k int, c string")
-    out, model = feat.build_features(df, ColumnRoles(key="k", categorical=("c",)), top_n=3)
+    out, model = feat.build_features(df, ColumnRoles(key="k", categorical=("c",)), top_n=3,
+                                     handle_invalid="error")
     width = len(out.select(vector_to_array("features").alias("v")).first().v)
     assert width == 3          # 3 kept levels + 'other', minus the dropped last level
