@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.functions.scalars import bool_to_int, flag, nan_to_null
+from parcelrisk.operators.ranking import row_numbers
 
 
 def flag_columns(df: DataFrame, cols: Sequence[str], true_value="Y") -> DataFrame:
@@ -59,10 +60,23 @@ def top_k(df: DataFrame, col: str, k: int, tie_break: Sequence[str],
     return fixed.orderBy(*_order([col], ascending), *_order(tie_break, True)).limit(k)
 
 
-def row_at(df: DataFrame, order_cols: Sequence[str], n: int) -> DataFrame:
+HEAD_ROWS = 100_000     # largest offset served by a bounded per-partition head
+
+
+def row_at(df: DataFrame, order_cols: Sequence[str], n: int,
+           head_rows: int = HEAD_ROWS) -> DataFrame:
     """The row at 0-based position ``n`` of a total order (``iloc[n]``;
-    file order is not defined in Spark, so the order is explicit)."""
-    return df.orderBy(*_order(order_cols, True)).offset(n).limit(1)
+    file order is not defined in Spark, so the order is explicit).
+
+    Near the head (``n < head_rows``) every partition keeps its first n + 1
+    rows and one task merges them -- at most (n + 1) x partitions rows.
+    Further in, the rows are numbered by a distributed sort
+    (``row_numbers``) and the one position is filtered out, so no task ever
+    holds more than a sorted range."""
+    order = _order(order_cols, True)
+    if n < head_rows:
+        return df.orderBy(*order).offset(n).limit(1)
+    return row_numbers(df, order, "_pr_pos").where(F.col("_pr_pos") == F.lit(n)).drop("_pr_pos")
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

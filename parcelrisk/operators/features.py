@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.operators.broadcast import broadcast_fixed
+from parcelrisk.operators.ranking import row_numbers
 from parcelrisk.operators.schema import ColumnRoles
 
 
@@ -142,13 +143,13 @@ def combine_vectors(df: DataFrame, cols: Sequence[str], out: str, drop: bool = T
 def one_hot_levels(df: DataFrame, col: str) -> DataFrame:
     """The index a ``StringIndexer`` gives each level (frequency desc, ties
     alphabetical), its count, and whether one-hot encodes it as all zeros
-    (the last index, ``dropLast``) -- computed as a plain aggregate."""
+    (the last index, ``dropLast``) -- computed as a plain aggregate.  The
+    level order is numbered by a distributed sort (``row_numbers``), so a
+    high-cardinality column never meets a single-partition window."""
     counts = df.where(F.col(col).isNotNull()) \
         .groupBy(F.col(col).cast("string").alias("level")) \
         .agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("n").desc(), F.col("level").asc())
-    # one row per level: the window sees the level table, not the data
-    ranked = counts.withColumn("level_index", (F.row_number().over(w) - 1).cast("int"))
-    last = Window.partitionBy()
-    return ranked.withColumn("all_zero", (F.col("level_index") ==
-                                          F.max("level_index").over(last)).cast("int"))
+    ranked = row_numbers(counts, [F.col("n").desc(), F.col("level").asc()], "level_index")
+    last = ranked.agg(F.max("level_index")).first()[0]      # one number
+    return ranked.select("level", "n", F.col("level_index").cast("int").alias("level_index"),
+                         (F.col("level_index") == F.lit(last)).cast("int").alias("all_zero"))

@@ -7,6 +7,11 @@ so each range holds about the same number of rows, computes one total per
 (group, range) -- a table bounded by groups x buckets -- prefix-sums those
 totals, and adds the offset inside a window partitioned by (group, range).
 Each task therefore sorts about ``rows / buckets`` rows.
+
+``row_numbers`` gives every row its position in a total order without a
+single-partition window: a range-partitioned sort, one reliable checkpoint
+(so a recomputed partition cannot land in a different range), and an offset
+per sorted partition.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelrisk.operators.broadcast import broadcast_fixed
+from parcelrisk.session import checkpoint_dir
 
 _B = "_pr_bucket"
 
@@ -123,3 +129,32 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
     return res.select(*by, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
         for n in names])
+
+
+def row_numbers(df: DataFrame, order: Sequence, out: str = "row_number") -> DataFrame:
+    """Add ``out``: the 0-based position of each row in ``order`` (columns
+    or sort expressions; rows tied on all of them get distinct positions in
+    an arbitrary but fixed order, so pass a key for a reproducible result).
+
+    The sort range-partitions the rows over all tasks, so a value shared by
+    a third of the rows is spread over many ranges.  The sorted rows are
+    tagged with their partition and position and checkpointed to the shared
+    checkpoint folder: the range bounds come from a sample, and without the
+    checkpoint a re-run partition (lost executor, second read) could fall
+    into different ranges.  The per-partition counts -- one row per sorted
+    partition, bounded by the shuffle partition count -- are prefix-summed
+    and broadcast.
+    """
+    checkpoint_dir(df.sparkSession)
+    tagged = df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_pr_pid"),
+        F.monotonically_increasing_id().alias("_pr_mid")).checkpoint(eager=True)
+    per = tagged.groupBy("_pr_pid").agg(F.count(F.lit(1)).alias("_pr_n"),
+                                        F.min("_pr_mid").alias("_pr_first"))
+    before = Window.orderBy("_pr_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_pr_pid", "_pr_first",
+                         F.coalesce(F.sum("_pr_n").over(before), F.lit(0)).alias("_pr_off"))
+    pos = F.col("_pr_off") + F.col("_pr_mid") - F.col("_pr_first")
+    return tagged.join(broadcast_fixed(offsets), on="_pr_pid", how="inner") \
+        .withColumn(out, pos.cast("bigint")) \
+        .drop("_pr_pid", "_pr_mid", "_pr_first", "_pr_off")

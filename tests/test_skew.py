@@ -2,8 +2,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import evaluate, match, profile
-from parcelrisk.operators.ranking import exact_quantiles
+from parcelrisk.operators import clean, evaluate, features, match, profile
+from parcelrisk.operators.ranking import exact_quantiles, row_numbers
 
 
 def skewed(spark, n=30000):
@@ -35,3 +35,32 @@ def test_quantiles_and_curve_with_hot_group(spark):
     assert abs(auc - evaluate.auc_roc(df, "x", "g")) < 1e-9
     h = profile.histogram(df, "x", 10, by=["g"]).groupBy("g").agg(F.sum("count").alias("n")).collect()
     assert sorted(r.n for r in h) == sorted(pdf.g.value_counts().tolist())
+
+
+def test_row_numbers_with_hot_ties_match_a_full_sort(spark):
+    df = skewed(spark, 20000).repartition(5)
+    got = row_numbers(df, [F.col("k").desc(), F.col("id").asc()], "pos") \
+        .select("id", "pos").toPandas().sort_values("pos")
+    pdf = df.select("id", "k").toPandas().sort_values(["k", "id"], ascending=[False, True])
+    assert got.pos.tolist() == list(range(20000))
+    assert got.id.tolist() == pdf.id.tolist()
+
+
+def test_one_hot_levels_with_a_hot_count(spark):
+    # 3000 levels seen once (one tied count) and a few frequent ones
+    rare = spark.range(3000).select(F.format_string("r%05d", "id").alias("c"))
+    hot = spark.range(900).select(F.format_string("h%d", F.col("id") % 3).alias("c"))
+    lv = features.one_hot_levels(rare.unionByName(hot), "c").toPandas()
+    want = sorted([(-300, f"h{i}") for i in range(3)] + [(-1, f"r{i:05d}") for i in range(3000)])
+    assert lv.sort_values("level_index").level.tolist() == [w[1] for w in want]
+    assert sorted(lv.level_index) == list(range(3003))
+    assert lv.loc[lv.all_zero == 1, "level"].tolist() == ["r02999"]
+
+
+def test_row_at_far_from_the_head(spark):
+    df = skewed(spark, 5000).repartition(4)
+    near = clean.row_at(df, ["k", "id"], 4321).first()
+    far = clean.row_at(df, ["k", "id"], 4321, head_rows=0).first()
+    pdf = df.toPandas().sort_values(["k", "id"]).reset_index(drop=True)
+    assert near.id == far.id == pdf.id[4321]
+    assert clean.row_at(df, ["k", "id"], 5000, head_rows=0).count() == 0
