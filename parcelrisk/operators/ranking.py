@@ -30,22 +30,24 @@ _B = "_pr_bucket"
 
 
 def _splits(df: DataFrame, col: str, buckets: int, rows_per_bucket: int,
-            rel_err: float) -> list[float]:
-    """Split points of ``buckets`` ranges of about equal row count.  Row
-    count and approximate quantiles come from one aggregate; when the rows
-    need more ranges than asked, the quantiles are taken again for them."""
+            rel_err: float, samples_per_bucket: int = 100) -> list[float]:
+    """Split points of at least ``buckets`` ranges of about equal row count,
+    more when the rows need more ranges to stay under ``rows_per_bucket``.
+
+    The points only balance the ranges -- the sums are exact whatever they
+    are -- so they come from a Bernoulli sample of about
+    ``samples_per_bucket`` rows per range: the quantile summaries merged in
+    the final aggregate hold at most the sample, not the data."""
     x = F.col(col).cast("double")
-
-    def quantiles(b: int):
-        probs = [i / b for i in range(1, b)]
+    n = df.count()
+    b = max(buckets, -(-n // rows_per_bucket))
+    want = samples_per_bucket * b
+    src = df if n <= want else df.sample(fraction=want / n, seed=17)
+    probs = [i / b for i in range(1, b)]
+    qs = []
+    if probs and n:
         acc = int(max(1.0 / rel_err, 4.0 * b))
-        return F.percentile_approx(x, probs, acc) if probs else F.array()
-
-    row = df.agg(F.count(F.lit(1)).alias("n"), quantiles(buckets).alias("q")).first()
-    need = -(-row["n"] // rows_per_bucket)
-    qs = row["q"] or []
-    if need > buckets:
-        qs = df.agg(quantiles(need).alias("q")).first()["q"] or []
+        qs = src.agg(F.percentile_approx(x, probs, acc).alias("q")).first()["q"] or []
     inner = sorted({q for q in qs if q is not None and q == q})
     return [float("-inf")] + inner + [float("inf")]
 
@@ -53,7 +55,7 @@ def _splits(df: DataFrame, col: str, buckets: int, rows_per_bucket: int,
 def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
                 group_cols: Sequence[str] = (), descending: bool = False,
                 buckets: int = 64, rel_err: float = 0.001,
-                rows_per_bucket: int = 2_000_000) -> DataFrame:
+                rows_per_bucket: int = 2_000_000, samples_per_bucket: int = 100) -> DataFrame:
     """Add ``_cum_<w>`` (inclusive running sum of ``w`` in the order of
     ``order_col`` within ``group_cols``) and ``_tot_<w>`` (group total).
 
@@ -62,14 +64,15 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
 
     The number of ranges is at least ``buckets`` and grows with the row
     count so that a range holds about ``rows_per_bucket`` rows at most; the
-    split points (one number per range) are the only thing the driver sees.
+    split points (one number per range, from a bounded sample) are the only
+    thing the driver sees.
     """
     group_cols = list(group_cols)
     # the splits pass and the main pass both read df: keep it (it is an
     # aggregate by distinct value, smaller than its input) instead of
     # recomputing it from the scan
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    splits = _splits(df, order_col, buckets, rows_per_bucket, rel_err)
+    splits = _splits(df, order_col, buckets, rows_per_bucket, rel_err, samples_per_bucket)
     tagged = Bucketizer(splits=splits, inputCol="_pr_order", outputCol=_B,
                         handleInvalid="keep") \
         .transform(df.withColumn("_pr_order", F.col(order_col).cast("double"))) \

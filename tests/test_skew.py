@@ -64,3 +64,17 @@ def test_row_at_far_from_the_head(spark):
     pdf = df.toPandas().sort_values(["k", "id"]).reset_index(drop=True)
     assert near.id == far.id == pdf.id[4321]
     assert clean.row_at(df, ["k", "id"], 5000, head_rows=0).count() == 0
+
+
+def test_prefix_sums_from_sampled_splits_are_exact(spark):
+    from parcelrisk.operators.ranking import prefix_sums
+    # distinct values per group with weights; splits from a small sample
+    df = skewed(spark, 12000).groupBy("k", "x").agg(F.count(F.lit(1)).alias("w"))
+    out = prefix_sums(df, "x", ["w"], ["k"], descending=True, buckets=4,
+                      rows_per_bucket=500, samples_per_bucket=3).toPandas()
+    pdf = df.toPandas().sort_values(["k", "x"], ascending=[True, False])
+    pdf["cum"] = pdf.groupby("k").w.cumsum()
+    m = out.merge(pdf, on=["k", "x"])
+    assert len(m) == len(pdf) == len(out)
+    assert (m._cum_w == m.cum).all()
+    assert (m._tot_w == m.groupby("k").w_x.transform("sum")).all()
