@@ -514,6 +514,20 @@ def q_row_at(spark, sf):
     return clean.row_at(o, ["o_orderkey"], 4760)
 
 
+@query("row_at_far", """
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+                  row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos,
+                  count(*) OVER () AS n
+           FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM r WHERE pos = n * 2 // 3""")
+def q_row_at_far(spark, sf):
+    """The line two thirds of the way down the (order, line) order: a
+    position far from the head, numbered by a distributed sort."""
+    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    n = li.count()                                       # one number
+    return clean.row_at(li, ["l_orderkey", "l_linenumber"], n * 2 // 3, head_rows=0)
+
+
 @query("column_slice", "SELECT l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
 def q_column_slice(spark, sf):
     return schema.column_slice(t(spark, sf, "lineitem"), 2, 6)

@@ -59,6 +59,18 @@ def q_one_hot_levels(spark, sf):
     return feat.one_hot_levels(t(spark, sf, "customer"), "c_mktsegment")
 
 
+@query("one_hot_levels_wide", """
+WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS level, count(*) AS n FROM lineitem
+           WHERE l_partkey IS NOT NULL GROUP BY 1),
+r AS (SELECT level, n, CAST(row_number() OVER (ORDER BY n DESC, level) - 1 AS INTEGER) AS level_index
+      FROM c)
+SELECT level, n, level_index, CAST(level_index = max(level_index) OVER () AS INTEGER) AS all_zero
+FROM r""")
+def q_one_hot_levels_wide(spark, sf):
+    """Level indexes of a high-cardinality code (one level per part)."""
+    return feat.one_hot_levels(t(spark, sf, "lineitem"), "l_partkey")
+
+
 @query("oof_forest")
 def q_oof_forest(spark, sf):
     """Every customer scored once by a forest that did not see it."""

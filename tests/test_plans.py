@@ -40,3 +40,12 @@ def test_membership_key_side_is_deduplicated_before_the_join(spark):
     df = entry.queries()["label_membership"](spark, SF_SMALL)
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "LeftOuter" in p and "HashAggregate(keys=[_pr_k0" in p
+
+
+def test_level_index_has_no_single_partition_over_levels(spark):
+    df = entry.queries()["one_hot_levels_wide"](spark, SF_SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    # the levels are numbered by a range-partitioned sort; the only
+    # SinglePartition exchange carries one row per sorted partition
+    for chunk in p.split("Exchange SinglePartition")[1:]:
+        assert "_pr_pid" in chunk.split("\n")[0] or "_pr_pid" in chunk.split("\n")[1]
