@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.functions.scalars import bool_to_int, flag, nan_to_null
+from parcelrisk.operators.broadcast import broadcast_fixed
 from parcelrisk.operators.ranking import row_numbers
 
 
@@ -66,17 +67,23 @@ HEAD_ROWS = 100_000     # largest offset served by a bounded per-partition head
 def row_at(df: DataFrame, order_cols: Sequence[str], n: int,
            head_rows: int = HEAD_ROWS) -> DataFrame:
     """The row at 0-based position ``n`` of a total order (``iloc[n]``;
-    file order is not defined in Spark, so the order is explicit).
+    file order is not defined in Spark, so the order is explicit and must
+    include a key).
 
     Near the head (``n < head_rows``) every partition keeps its first n + 1
     rows and one task merges them -- at most (n + 1) x partitions rows.
-    Further in, the rows are numbered by a distributed sort
-    (``row_numbers``) and the one position is filtered out, so no task ever
-    holds more than a sorted range."""
+    Further in, only the order columns are numbered by a distributed sort
+    (``row_numbers``); the one key at position n is broadcast (one row) and
+    picks its row by a null-safe semi join, so no task ever holds more than
+    a sorted range and only the key columns are checkpointed."""
     order = _order(order_cols, True)
     if n < head_rows:
         return df.orderBy(*order).offset(n).limit(1)
-    return row_numbers(df, order, "_pr_pos").where(F.col("_pr_pos") == F.lit(n)).drop("_pr_pos")
+    at = row_numbers(df.select(*order_cols), order, "_pr_pos") \
+        .where(F.col("_pr_pos") == F.lit(n)).drop("_pr_pos")
+    at = broadcast_fixed(at.select(*[F.col(c).alias(f"_pr_at{i}") for i, c in enumerate(order_cols)]))
+    cond = [df[c].eqNullSafe(at[f"_pr_at{i}"]) for i, c in enumerate(order_cols)]
+    return df.join(at, on=cond, how="left_semi")
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -515,17 +515,19 @@ def q_row_at(spark, sf):
 
 
 @query("row_at_far", """
-WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
-                  row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos,
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+                  row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
                   count(*) OVER () AS n
            FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM r WHERE pos = n * 2 // 3""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM r WHERE pos = n * 2 // 3""")
 def q_row_at_far(spark, sf):
-    """The line two thirds of the way down the (order, line) order: a
-    position far from the head, numbered by a distributed sort."""
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    """The line two thirds of the way down a total order of the lines (the
+    four key columns): a position far from the head, numbered by a
+    distributed sort."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = t(spark, sf, "lineitem").select(*key, "l_quantity")
     n = li.count()                                       # one number
-    return clean.row_at(li, ["l_orderkey", "l_linenumber"], n * 2 // 3, head_rows=0)
+    return clean.row_at(li, key, n * 2 // 3, head_rows=0)
 
 
 @query("column_slice", "SELECT l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")
