@@ -66,29 +66,37 @@ def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
     import pandas as pd
     from pyarrow import fs as pafs
 
+    def cells(rec):
+        return ["" if v is None or (isinstance(v, float) and v != v) else v for v in rec]
+
     def run(batches):
-        buf = io.StringIO()
-        w = csv.writer(buf, lineterminator="\n")
-        w.writerow(names)
-        n = 0
-        for pdf in batches:
-            for rec in pdf.itertuples(index=False, name=None):
-                w.writerow(["" if v is None or (isinstance(v, float) and v != v) else v for v in rec])
-                n += 1
-        if n == 0:
+        batches = iter(batches)
+        first = next((b for b in batches if len(b)), None)
+        if first is None:                      # empty partition: no archive
             return
         # named by partition: a retried or speculative attempt rewrites the
-        # same archive instead of adding a second copy of the rows
+        # same archive (temp name, then rename) instead of adding a copy
         pid = TaskContext.get().partitionId()
         target = f"{out_dir}/part-{pid:05d}.zip"
         uri = target if "://" in target else "file://" + target
         filesystem, final = pafs.FileSystem.from_uri(uri)
         tmp = f"{final}.{uuid.uuid4().hex}.tmp"
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w", compression=zipfile.ZIP_DEFLATED) as zf:
-            zf.writestr(member, buf.getvalue().encode(encoding))
-        with filesystem.open_output_stream(tmp) as fh:
-            fh.write(data.getvalue())
+        filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
+        n = 0
+        # rows stream batch by batch through the CSV writer into the deflated
+        # member on the output stream: memory holds one batch, not the partition
+        with filesystem.open_output_stream(tmp) as fh, \
+                zipfile.ZipFile(fh, "w", compression=zipfile.ZIP_DEFLATED) as zf, \
+                zf.open(member, "w", force_zip64=True) as raw:
+            text = io.TextIOWrapper(raw, encoding=encoding, newline="")
+            w = csv.writer(text, lineterminator="\n")
+            w.writerow(names)
+            for pdf in ([first], batches):
+                for b in pdf:
+                    w.writerows(cells(rec) for rec in b.itertuples(index=False, name=None))
+                    n += len(b)
+            text.flush()
+            text.detach()
         filesystem.move(tmp, final)
         yield pd.DataFrame({"path": [target], "rows": [n]})
     return run
