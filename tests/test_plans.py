@@ -49,3 +49,17 @@ def test_level_index_has_no_single_partition_over_levels(spark):
     # SinglePartition exchange carries one row per sorted partition
     for chunk in p.split("Exchange SinglePartition")[1:]:
         assert "_pr_pid" in chunk.split("\n")[0] or "_pr_pid" in chunk.split("\n")[1]
+
+
+def test_single_partition_exchanges_only_carry_bounded_tables(spark):
+    """Across every SQL-checked query, an ``Exchange SinglePartition`` sits
+    directly on a global partial aggregate (one row per task), on range
+    totals (one row per range) or on per-partition counts of a sort."""
+    import re
+    bounded = re.compile(r"(Object)?HashAggregate\(keys=\[(\]|_pr_bucket|_pr_pid)")
+    qs = entry.queries()
+    for name in entry.oracle_sql():
+        p = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        for chunk in p.split("Exchange SinglePartition")[1:]:
+            child = chunk.split("\n")[1]
+            assert bounded.search(child), (name, child.strip()[:120])
