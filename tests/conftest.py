@@ -18,6 +18,7 @@ def spark():
         "spark.sql.warehouse.dir": f"{work}/warehouse",
         "spark.driver.extraJavaOptions": f"-Dderby.system.home={work}/derby",
     })
-    s.sparkContext.setCheckpointDir(f"{work}/ckpt")
+    if not s.sparkContext.getCheckpointDir():      # a configured shared folder wins
+        s.sparkContext.setCheckpointDir(f"{work}/ckpt")
     yield s
     s.stop()
