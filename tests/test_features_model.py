@@ -53,3 +53,64 @@ def test_build_features_top_n(spark):
                                      handle_invalid="error")
     width = len(out.select(vector_to_array("features").alias("v")).first().v)
     assert width == 3          # 3 kept levels + 'other', minus the dropped last level
+
+
+def _toy(spark, n=600):
+    return spark.range(n).select(
+        F.col("id").alias("key"), (F.col("id") % 6).alias("period"),
+        ((F.col("id") * 37) % 101 / 101.0).alias("x"),
+        (((F.col("id") * 37) % 101) > 40).cast("int").alias("y"))
+
+
+def _flip(df, cond):
+    return df.withColumn("y", F.when(cond, 1 - F.col("y")).otherwise(F.col("y")))
+
+
+def _scores(out, key="key"):
+    return {r[key]: round(r.prob1, 12) for r in out.collect()}
+
+
+def test_holdout_scores_test_rows_only_and_never_sees_their_labels(spark):
+    roles = ColumnRoles(key="key", numeric=("x",), label="y")
+
+    def run(df):
+        data, _ = feat.build_features(df, roles)
+        return model.holdout_score(folds.hash_split(data, "key", 0.7, seed=5), "features", "y",
+                                   "is_train", keep=["key"])
+    base = _toy(spark)
+    split = {r.key: r.is_train for r in folds.hash_split(base, "key", 0.7, seed=5).collect()}
+    a = _scores(run(base))
+    assert set(a) == {k for k, t in split.items() if t == 0}
+    b = _scores(run(_flip(base, ~F.col("key").isin([k for k, t in split.items() if t == 1]))))
+    assert a == b
+
+
+def test_walk_forward_uses_only_earlier_periods(spark):
+    roles = ColumnRoles(key="key", passthrough=("period",), numeric=("x",), label="y")
+
+    def run(df):
+        data, _ = feat.build_features(df, roles)
+        return model.walk_forward_score(data, "features", "y", "period", [2, 3, 4, 5],
+                                        keep=["key"], parallelism=2)
+    base = _toy(spark)
+    a = run(base)
+    assert a.count() == base.where("period >= 2").count()
+    # labels of period 4 and later cannot move the scores of periods 2-4
+    b = run(_flip(base, F.col("period") >= 4))
+    early = lambda out: _scores(out.where("period <= 4"))
+    assert early(a) == early(b)
+
+
+def test_oof_never_sees_the_labels_of_the_scored_fold(spark):
+    roles = ColumnRoles(key="key", numeric=("x",), label="y")
+
+    def run(df):
+        data, _ = feat.build_features(df, roles)
+        data = folds.assign_folds(data, "key", 3, seed=9)
+        return model.oof_score(data, "features", "y", "fold", 3, keep=["key"], parallelism=3)
+    base = _toy(spark, 450)
+    fold0 = [r.key for r in folds.assign_folds(base, "key", 3, seed=9).where("fold = 0").collect()]
+    a = run(base)
+    b = run(_flip(base, F.col("key").isin(fold0)))
+    pick = lambda out: _scores(out.where("fold = 0"))
+    assert pick(a) == pick(b) and len(pick(a)) == len(fold0)
