@@ -112,3 +112,22 @@ def q_label_refresh_stream(spark, sf):
         "c_custkey", f"{base}/sink", f"{base}/checkpoint", glob="orders.parquet")
     q.awaitTermination()
     return spark.read.parquet(f"{base}/sink")
+
+
+@query("label_refresh_bucketed", _w(LABELS_SQL, "SELECT c_custkey FROM labelled WHERE TARGET = 1"))
+def q_label_refresh_bucketed(spark, sf):
+    """The label refresh stream joined through a bucketed address index of
+    the customers: each micro-batch shuffles only its new orders to the
+    buckets, the index is read in place."""
+    from parcelrisk.streaming import address_index, label_refresh_stream
+    base = scratch_dir(spark, "stream-indexed")
+    db = f"pr_{uuid.uuid4().hex[:10]}"
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{base}/db'")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = address_index(t(spark, sf, "customer"), "c_name", "c_custkey", f"{db}.addresses", buckets)
+    orders = t(spark, sf, "orders")
+    q = label_refresh_stream(
+        spark, sf, orders.schema, index, pending, "address", "c_name",
+        "c_custkey", f"{base}/sink", f"{base}/checkpoint", glob="orders.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/sink")

@@ -8,6 +8,7 @@ import io
 import time
 import uuid
 import zipfile
+from collections.abc import Sequence
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,15 @@ def write_run(df: DataFrame, base: str, run_id: str | None = None, fmt: str = "p
     return path
 
 
+def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
+                  mode: str = "errorifexists") -> DataFrame:
+    """Catalog table bucketed and sorted by ``keys``: a later equi-join on
+    the keys reads it without a shuffle (only the other side is shuffled to
+    match), which pays off when the table is joined again and again."""
+    df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix: str = "EXTR_",
                        database: str | None = None, schema=None, schema_only: bool = False,
                        **read_opts) -> DataFrame:

@@ -1,3 +1,5 @@
 """Structured Streaming: labels refreshed as new events arrive."""
 
-from parcelrisk.streaming.label_refresh import label_refresh_stream, new_positives  # noqa: F401
+from parcelrisk.streaming.label_refresh import (  # noqa: F401
+    address_index, label_refresh_stream, new_positives,
+)

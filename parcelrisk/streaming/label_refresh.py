@@ -7,6 +7,11 @@ event.  The stream-static join needs no state; the first-seen de-duplication
 keeps one key per labelled entity (bounded by the entity count).  Output is
 an append-only Parquet folder plus a checkpoint, both in shared storage, so
 a restarted query continues exactly where it stopped.
+
+A large entity table is better joined through ``address_index``: its
+(key, normalised address) pairs written once as a table bucketed by the
+address, so every micro-batch shuffles only its own new events to the
+buckets and never the entity table.
 """
 
 from __future__ import annotations
@@ -17,15 +22,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from parcelrisk.sources.sinks import save_bucketed
+
+
+ADDRESS = "_pr_addr"      # normalised address column of the entity index
+
+
+def address_index(entities: DataFrame, entity_address: str, entity_key: str, table: str,
+                  buckets: int) -> DataFrame:
+    """Entity keys with their normalised address, saved as a catalog table
+    bucketed and sorted by the address (``new_positives`` uses it as is).
+    Use at least ``spark.sql.shuffle.partitions`` buckets: with fewer, Spark
+    shuffles the index again rather than lose join parallelism."""
+    pairs = entities.select(entity_key, F.lower(F.col(entity_address)).alias(ADDRESS)) \
+        .where(F.col(ADDRESS).isNotNull())
+    return save_bucketed(pairs, table, [ADDRESS], buckets)
+
 
 def new_positives(events: DataFrame, entities: DataFrame, pending: Callable[[DataFrame], DataFrame],
                   event_address: str, entity_address: str, entity_key: str) -> DataFrame:
     """Entities matched by a pending event, one row per entity (works on a
-    batch or a streaming ``events``)."""
-    keys = pending(events).select(F.lower(F.col(event_address)).alias("_pr_addr")) \
-        .where(F.col("_pr_addr").isNotNull())
-    ents = entities.select(entity_key, F.lower(F.col(entity_address)).alias("_pr_addr"))
-    return keys.join(ents, on="_pr_addr", how="inner").select(entity_key).dropDuplicates([entity_key])
+    batch or a streaming ``events``).  ``entities`` is the entity table, or
+    an ``address_index`` of it (then ``entity_address`` is not used)."""
+    keys = pending(events).select(F.lower(F.col(event_address)).alias(ADDRESS)) \
+        .where(F.col(ADDRESS).isNotNull())
+    if ADDRESS in entities.columns:
+        ents = entities.select(entity_key, ADDRESS)
+    else:
+        ents = entities.select(entity_key, F.lower(F.col(entity_address)).alias(ADDRESS))
+    return keys.join(ents, on=ADDRESS, how="inner").select(entity_key).dropDuplicates([entity_key])
 
 
 def label_refresh_stream(spark: SparkSession, events_dir: str, events_schema, entities: DataFrame,
