@@ -1,5 +1,6 @@
 """Plan shape: the operators stay in the JVM, push filters and columns to
 the scan, and never put the scored rows in one partition."""
+import pytest
 from conftest import SF_SMALL
 
 import __spark_entry__ as entry
@@ -10,11 +11,17 @@ def plan(df):
         df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_no_python_udf_in_sql_checked_queries(spark):
-    # only the zip reader runs Python on executors (one archive per task)
+@pytest.fixture(scope="module")
+def sql_checked_plans(spark):
+    """Executed-plan text of every SQL-checked query, planned once."""
     qs = entry.queries()
-    for name in entry.oracle_sql():
-        p = plan(qs[name](spark, SF_SMALL))
+    return {name: qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+            for name in entry.oracle_sql()}
+
+
+def test_no_python_udf_in_sql_checked_queries(sql_checked_plans):
+    # only the zip reader runs Python on executors (one archive per task)
+    for name, p in sql_checked_plans.items():
         if name == "zip_scan":
             assert "MapInPandas" in p
             continue
@@ -54,15 +61,13 @@ def test_level_index_has_no_single_partition_over_levels(spark):
         assert "_pr_pid" in chunk.split("\n")[0] or "_pr_pid" in chunk.split("\n")[1]
 
 
-def test_single_partition_exchanges_only_carry_bounded_tables(spark):
+def test_single_partition_exchanges_only_carry_bounded_tables(sql_checked_plans):
     """Across every SQL-checked query, an ``Exchange SinglePartition`` sits
     directly on a global partial aggregate (one row per task), on range
     totals (one row per range) or on per-partition counts of a sort."""
     import re
     bounded = re.compile(r"(Object)?HashAggregate\(keys=\[(\]|_pr_bucket|_pr_pid)")
-    qs = entry.queries()
-    for name in entry.oracle_sql():
-        p = qs[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for name, p in sql_checked_plans.items():
         for chunk in p.split("Exchange SinglePartition")[1:]:
             child = chunk.split("\n")[1]
             assert bounded.search(child), (name, child.strip()[:120])
