@@ -1,0 +1,31 @@
+"""Intermediates the operators persist, and their release.
+
+Running sums, curve flags and model inputs are read by two or more passes,
+so the operators persist them (memory and disk: a lost executor recomputes
+only its blocks).  Each one is recorded here; ``release_intermediates``
+unpersists exactly those and leaves the caller's own cached tables alone
+(``spark.catalog.clearCache()`` would drop both)."""
+
+from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist ``df`` (memory and disk) and record it for release."""
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(out)
+    return out
+
+
+def release_intermediates(blocking: bool = False) -> int:
+    """Unpersist every intermediate kept so far; returns how many.  Call it
+    once the results that read them have been written."""
+    n = 0
+    while _KEPT:
+        _KEPT.pop().unpersist(blocking)
+        n += 1
+    return n

@@ -9,11 +9,11 @@ partition ever holds the curve.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelrisk.operators import cache
 from parcelrisk.operators.ranking import prefix_sums
 
 
@@ -63,7 +63,7 @@ def _keep_flags(pts: DataFrame) -> DataFrame:
     whose step (pos, neg) differs from the next point's step.  The next
     point is found by joining on the cumulative position, unique per point;
     the curve is kept so that both sides of the join read it once."""
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts = cache.keep(pts)
     nxt = pts.select(
         (F.col("tps") - F.col("pos")).alias("_ptps"), (F.col("fps") - F.col("neg")).alias("_pfps"),
         F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))

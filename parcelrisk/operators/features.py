@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelrisk.operators import cache
 from parcelrisk.operators.broadcast import broadcast_fixed
 from parcelrisk.operators.ranking import row_numbers
 from parcelrisk.operators.schema import ColumnRoles
@@ -44,13 +44,13 @@ def spread_for_fitting(df: DataFrame, min_rows_per_partition: int = 50_000) -> D
     stored in few files or row groups -- it is repartitioned round robin and
     persisted again; otherwise it is returned as it is, without a shuffle.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = cache.keep(df)
     n = kept.count()
     target = min(df.sparkSession.sparkContext.defaultParallelism,
                  max(1, -(-n // min_rows_per_partition)))
     if kept.rdd.getNumPartitions() >= target:
         return kept
-    spread = kept.repartition(target).persist(StorageLevel.MEMORY_AND_DISK)
+    spread = cache.keep(kept.repartition(target))
     spread.count()
     kept.unpersist()
     return spread

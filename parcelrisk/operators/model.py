@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelrisk.operators import cache
 from parcelrisk.operators.clean import union_all
 from parcelrisk.operators.folds import fold_test, fold_train
 
@@ -48,9 +48,8 @@ def oof_score(df: DataFrame, features: str, label: str, fold: str, k: int,
     est = estimator if estimator is not None else default_forest(features, label, seed)
     # a Pipeline that builds ``features`` itself needs the raw columns
     cols = [*keep, label, fold, features] if features in df.columns else df.columns
-    data = df.select(*dict.fromkeys(cols)) \
-        .withColumn(label, F.col(label).cast("double")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    data = cache.keep(df.select(*dict.fromkeys(cols))
+                      .withColumn(label, F.col(label).cast("double")))
 
     def fit(i: int):
         return est.fit(fold_train(data, i, fold))
@@ -85,8 +84,8 @@ def walk_forward_score(df: DataFrame, features: str, label: str, period: str,
     rows of p (train on the past, score the next period)."""
     est = estimator if estimator is not None else LogisticRegression(
         featuresCol=features, labelCol=label, predictionCol="prediction")
-    data = df.select(*dict.fromkeys([*keep, label, period, features])) \
-        .withColumn(label, F.col(label).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cache.keep(df.select(*dict.fromkeys([*keep, label, period, features]))
+                      .withColumn(label, F.col(label).cast("double")))
 
     def fit(p):
         return est.fit(data.where(F.col(period) < F.lit(p)))

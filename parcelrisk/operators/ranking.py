@@ -18,11 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelrisk.operators import cache
 from parcelrisk.operators.broadcast import broadcast_fixed
 from parcelrisk.session import checkpoint_dir
 
@@ -71,7 +71,7 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
     # the splits pass and the main pass both read df: keep it (it is an
     # aggregate by distinct value, smaller than its input) instead of
     # recomputing it from the scan
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = cache.keep(df)
     splits = _splits(df, order_col, buckets, rows_per_bucket, rel_err, samples_per_bucket)
     tagged = Bucketizer(splits=splits, inputCol="_pr_order", outputCol=_B,
                         handleInvalid="keep") \

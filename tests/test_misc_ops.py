@@ -67,3 +67,21 @@ def test_write_run_and_list_files(spark):
     assert list_files(spark, path, "*.parquet").count() >= 1
     vals = {r.a for r in df.collect()}
     assert vals <= {0, 1}
+
+
+def test_release_drops_only_the_operators_intermediates(spark):
+    from pyspark.sql import functions as F
+
+    from parcelrisk.operators.cache import _KEPT, release_intermediates
+    from parcelrisk.operators.ranking import exact_quantiles
+    release_intermediates()
+    mine = spark.range(100).withColumn("x", F.col("id") * 2.0).cache()
+    mine.count()
+    q = exact_quantiles(mine, "x", [0.5])
+    kept = list(_KEPT)
+    assert kept and all(d.is_cached for d in kept)
+    before = q.first().q50
+    assert release_intermediates() == len(kept)
+    assert not any(d.is_cached for d in kept) and mine.is_cached
+    assert q.first().q50 == before == 99.0            # recomputed from the source
+    mine.unpersist()
