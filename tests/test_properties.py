@@ -27,3 +27,20 @@ def test_histogram_equals_numpy(spark, xs, bins):
         lo, hi = lo - 0.5, hi + 0.5
     want, _ = np.histogram(np.array(xs, dtype=float), bins=bins, range=(lo, hi))
     assert got == want.tolist()
+
+
+@settings(max_examples=5, deadline=None)
+@given(rows=st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 5)), st.integers(0, 10**6)),
+                     min_size=1, max_size=200, unique_by=lambda r: r[1]),
+       parts=st.integers(1, 6))
+def test_row_numbers_equal_a_full_sort(spark, rows, parts):
+    from pyspark.sql import functions as F
+
+    from parcelrisk.operators.ranking import row_numbers
+    df = spark.createDataFrame(rows, "g int, k long").repartition(parts)
+    got = row_numbers(df, [F.col("g").desc_nulls_last(), F.col("k").asc()], "pos") \
+        .orderBy("pos").collect()
+    # descending g with nulls last, then ascending k
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [r.pos for r in got] == list(range(len(rows)))
+    assert [(r.g, r.k) for r in got] == want
