@@ -29,14 +29,15 @@ ADDRESS = "_pr_addr"      # normalised address column of the entity index
 
 
 def address_index(entities: DataFrame, entity_address: str, entity_key: str, table: str,
-                  buckets: int) -> DataFrame:
+                  buckets: int, mode: str = "errorifexists") -> DataFrame:
     """Entity keys with their normalised address, saved as a catalog table
     bucketed and sorted by the address (``new_positives`` uses it as is).
     Use at least ``spark.sql.shuffle.partitions`` buckets: with fewer, Spark
-    shuffles the index again rather than lose join parallelism."""
+    shuffles the index again rather than lose join parallelism.  ``mode``
+    "overwrite" rebuilds it (e.g. after the entity table changed)."""
     pairs = entities.select(entity_key, F.lower(F.col(entity_address)).alias(ADDRESS)) \
         .where(F.col(ADDRESS).isNotNull())
-    return save_bucketed(pairs, table, [ADDRESS], buckets)
+    return save_bucketed(pairs, table, [ADDRESS], buckets, mode)
 
 
 def new_positives(events: DataFrame, entities: DataFrame, pending: Callable[[DataFrame], DataFrame],
