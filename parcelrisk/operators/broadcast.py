@@ -5,20 +5,28 @@ derived table (an aggregate whose size is not known in advance).  When the
 check passes, the rows become a local relation marked for broadcast, so the
 join needs no shuffle and the small side is not recomputed.  When it fails,
 the original DataFrame is returned and Spark plans a shuffle join (AQE may
-still broadcast it by measured size, and splits skewed partitions).
+still broadcast it by measured size, and splits skewed partitions).  The
+check counts rows and the bytes of the collected rows.
 """
 
 from __future__ import annotations
 
+import pickle
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 100_000
+DEFAULT_MAX_BYTES = 64 << 20
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      max_bytes: int = DEFAULT_MAX_BYTES) -> DataFrame:
+    """``small`` as a broadcast local relation when it has at most
+    ``max_rows`` rows and its rows serialise to at most ``max_bytes``
+    (wide rows count); otherwise ``small`` itself, for a shuffle join."""
     rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    if len(rows) > max_rows or len(pickle.dumps(rows, protocol=5)) > max_bytes:
         return small
     spark = small.sparkSession
     local = spark.createDataFrame(rows, schema=small.schema)

@@ -85,3 +85,12 @@ def test_release_drops_only_the_operators_intermediates(spark):
     assert not any(d.is_cached for d in kept) and mine.is_cached
     assert q.first().q50 == before == 99.0            # recomputed from the source
     mine.unpersist()
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from parcelrisk.operators.broadcast import bounded_broadcast
+    small = spark.range(10).selectExpr("id", "repeat('x', 1000) AS pad")
+    assert bounded_broadcast(small) is not small                    # 10 rows, ~10 kB: local
+    assert bounded_broadcast(small, max_rows=5) is small            # too many rows
+    assert bounded_broadcast(small, max_bytes=4096) is small        # too many bytes
+    assert bounded_broadcast(small).count() == 10
