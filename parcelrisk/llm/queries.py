@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
-from .sql import OP9_SQL
+from . import decontaminate, line_dedup, quality, secret_scan, simhash, token_ids
+from .common import scratch, table
+from .sql import OP3_SQL, OP8_SQL, OP9_SQL
+
+END_ID = 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +36,53 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.quality_measures(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                     "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_line_dedup", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = line_dedup.line_keep_bitmaps(table(spark, sf_dir, "documents"), with_text=True)
+    return b.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+    def count(ord_: int):
+        return F.size(F.filter("spans", lambda x: x["ord"] == ord_)).cast("long")
+
+    base = F.filter("spans", lambda x: x["ord"] < 3)
+    return s.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"),
+                    count(2).alias("n_hex"),
+                    F.sha2(secret_scan.span_string(base), 256).alias("base_sha256"),
+                    secret_scan.span_string(F.col("spans")).alias("spans"))
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                    "component_id")
+
+
+@query("op3_decontaminate", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "benchmark"))
+    return h.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                    (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def word_bpe() -> str:
+    """The path of the public word BPE vocabulary."""
+    import public_tokenizers
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_token_ids")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_ids.write_token_files(table(spark, sf_dir, "documents"), path, word_bpe(), END_ID)
+    d = token_ids.read_token_files(spark, path)
+    return d.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -48,3 +48,69 @@ SELECT {columns}"""
 
 OP9_SQL = quality_sql("documents", """doc_id, n_words, word_chars, n_symbols, n_dup_lines,
        n_repeat_words, base_failed, kept FROM ruled""")
+
+
+def line_dedup_sql(source: str) -> str:
+    """The line rule over ``source``: its rows with ``kept`` (the text that
+    stays), ``n_lines`` and ``n_dropped``."""
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, * FROM {source}),
+lines AS (
+  SELECT rid, doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line
+  FROM (SELECT rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM docs)),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines),
+shared AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+  SELECT keyed.*, keeper IS NOT NULL AND doc_id < keeper AS gone
+  FROM keyed LEFT JOIN shared USING (key)),
+done AS (
+  SELECT rid, doc_id, count(*) AS n_lines, count_if(gone) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS kept
+  FROM judged GROUP BY rid, doc_id)"""
+
+
+OP8_SQL = line_dedup_sql("documents") + """
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped,
+       sha256(kept) AS kept_sha256
+FROM done"""
+
+
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS rid, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+worded AS (
+  SELECT side, rid, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+wins AS (
+  SELECT DISTINCT id AS item_id, least(len(w), 10) AS size,
+         list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') AS g
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i
+        FROM worded WHERE side = 'b' AND len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM wins),
+starts AS (
+  SELECT rid, i, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS g
+  FROM (SELECT rid, w, size, unnest(range(1, len(w) - size + 2)) AS i
+        FROM worded, sizes WHERE side = 'd' AND len(w) >= size)),
+found AS (SELECT rid, i, starts.size AS size, item_id FROM starts JOIN wins USING (g)
+          WHERE starts.size = wins.size),
+items AS (
+  SELECT rid, count(DISTINCT item_id) AS n_items,
+         string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM found GROUP BY rid),
+hits AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT rid, unnest(range(i, i + size)) AS p FROM found) GROUP BY rid)
+SELECT id AS doc_id, CAST(len(w) AS BIGINT) AS n_words,
+       CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN items USING (rid) LEFT JOIN hits USING (rid)
+WHERE side = 'd'"""
