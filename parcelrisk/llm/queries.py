@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, secret_scan, simhash, token_ids
+from . import (decontaminate, license_scan, line_dedup, packing, quality, secret_scan, simhash,
+               token_ids, unigram, url_filter)
 from .common import scratch, table
 from .sql import OP3_SQL, OP8_SQL, OP9_SQL
 
@@ -31,6 +32,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of a public vocabulary file."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
+WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
+
+
 @query("op9_quality_rules", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = quality.quality_measures(table(spark, sf_dir, "documents"))
@@ -74,15 +85,40 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def word_bpe() -> str:
-    """The path of the public word BPE vocabulary."""
-    import public_tokenizers
-    return str(public_tokenizers.path("word_bpe_49k.json"))
-
-
 @query("op6_token_ids")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
-    token_ids.write_token_files(table(spark, sf_dir, "documents"), path, word_bpe(), END_ID)
+    token_ids.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file(WORD_BPE), END_ID)
     d = token_ids.read_token_files(spark, path)
     return d.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE))
+
+
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_filter.mine_rules(url_filter.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge_urls(pages, rules)
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the licenses found: the best, its score, and all names."""
+    d = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    best = F.array_min(F.transform("hits", lambda h: F.struct(
+        (-h["dice"]).alias("d"), h["license"].alias("license"))))
+    return d.select(
+        "doc_id", F.size("hits").cast("long").alias("n_hits"), best["license"].alias("license"),
+        (-best["d"]).alias("dice"),
+        F.array_join(F.sort_array(F.array_distinct(F.transform(
+            "hits", lambda h: h["license"]))), ",").alias("licenses"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.unigram_token_counts(docs, tokenizer_file(PIECES))

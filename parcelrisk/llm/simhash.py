@@ -80,7 +80,7 @@ def embed(fps: np.ndarray, segment_bits: int) -> np.ndarray:
     """Per-segment bit counts in unary: the bits of each segment sorted, as one
     unsigned 64-bit number."""
     bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    bits = -np.sort(-bits.reshape(len(fps), -1, segment_bits).astype(np.int8), axis=2)
+    bits = -np.sort(-bits.reshape(len(fps), 64 // segment_bits, segment_bits).astype(np.int8), axis=2)
     packed = np.packbits(bits.astype(np.uint8).reshape(len(fps), 64), axis=1)
     return packed.view(">u8").ravel().astype(np.uint64)
 
