@@ -54,9 +54,11 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = written(
         rows.repartitionByRange("h1", "h2", "doc")
         .withColumn("first", (F.row_number().over(stream) == 1).cast("long")), "line-marks")
-    shared = (marked.groupBy("h1", "h2")
-              .agg(F.sum("first").alias("n"), F.max("doc").alias("keeper"))
-              .filter(F.col("n") >= min_docs).drop("n"))
+    # written, so that both sides of the join are plain exchanges, of which the
+    # rows of a frequent key are split over tasks
+    shared = written(marked.groupBy("h1", "h2")
+                     .agg(F.sum("first").alias("n"), F.max("doc").alias("keeper"))
+                     .filter(F.col("n") >= min_docs).drop("n"), "line-keys")
     gone = marked.join(shared, ["h1", "h2"]).filter(
         F.col("doc").isNull() | (F.col("doc") < F.col("keeper")))
     return gone.groupBy("doc", "version").agg(
