@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.functions.scalars import bool_to_int, flag, nan_to_null
-from parcelrisk.operators.broadcast import broadcast_fixed
-from parcelrisk.operators.ranking import row_numbers
+from parcelrisk.operators.ranking import null_safe, row_numbers
 
 
 def flag_columns(df: DataFrame, cols: Sequence[str], true_value="Y") -> DataFrame:
@@ -61,29 +60,24 @@ def top_k(df: DataFrame, col: str, k: int, tie_break: Sequence[str],
     return fixed.orderBy(*_order([col], ascending), *_order(tie_break, True)).limit(k)
 
 
-HEAD_ROWS = 100_000     # largest offset served by a bounded per-partition head
+def row_at(df: DataFrame, order_cols: Sequence[str], n: int) -> DataFrame:
+    """The row at 0-based position ``n`` of an order (``iloc[n]``; file order
+    is not defined in Spark, so the order is explicit).  Ties are ordered by a
+    hash of the whole row, so there is one row for every n below the row count.
 
-
-def row_at(df: DataFrame, order_cols: Sequence[str], n: int,
-           head_rows: int = HEAD_ROWS) -> DataFrame:
-    """The row at 0-based position ``n`` of a total order (``iloc[n]``;
-    file order is not defined in Spark, so the order is explicit and must
-    include a key).
-
-    Near the head (``n < head_rows``) every partition keeps its first n + 1
-    rows and one task merges them -- at most (n + 1) x partitions rows.
-    Further in, only the order columns are numbered by a distributed sort
-    (``row_numbers``); the one key at position n is broadcast (one row) and
-    picks its row by a null-safe semi join, so no task ever holds more than
-    a sorted range and only the key columns are checkpointed."""
+    Only the order columns and the hash are numbered, by a distributed sort;
+    the one key at position n then picks its row by a null-safe semi join."""
     order = _order(order_cols, True)
-    if n < head_rows:
-        return df.orderBy(*order).offset(n).limit(1)
-    at = row_numbers(df.select(*order_cols), order, "_pr_pos") \
-        .where(F.col("_pr_pos") == F.lit(n)).drop("_pr_pos")
-    at = broadcast_fixed(at.select(*[F.col(c).alias(f"_pr_at{i}") for i, c in enumerate(order_cols)]))
-    cond = [df[c].eqNullSafe(at[f"_pr_at{i}"]) for i, c in enumerate(order_cols)]
-    return df.join(at, on=cond, how="left_semi")
+    plain = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    h = {"_pr_h1": F.xxhash64(*plain), "_pr_h2": F.xxhash64(F.lit(1), *plain)}
+    keys = [*order_cols, *h]
+    tagged = df.withColumns(h)
+    at = row_numbers(tagged.select(*dict.fromkeys(keys)), [*order, *h], "_pr_pos") \
+        .where(F.col("_pr_pos") == F.lit(n))
+    at = at.select(*[F.col(c).alias(f"_pr_at{i}") for i, c in enumerate(keys)])
+    on = null_safe(tagged, at, [(c, f"_pr_at{i}") for i, c in enumerate(keys)])
+    # exact repeats of the row have the same key: one of them is the result
+    return tagged.join(at, on, "left_semi").drop(*h).limit(1)
 
 
 def union_all(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -13,7 +13,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import cache
 from parcelrisk.operators.ranking import prefix_sums
 
 
@@ -27,51 +26,45 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
              F.sum(F.lit(1) - y).cast("bigint").alias("neg"))
 
 
-def curve_table(df: DataFrame, score: str, label: str, buckets: int = 64) -> DataFrame:
-    """Per distinct score, descending: own counts, cumulative counts
-    (``tps``, ``fps``) and class totals (``P``, ``N``)."""
+def curve_table(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Per distinct score, descending: own counts, cumulative counts (``tps``,
+    ``fps``), class totals (``P``, ``N``) and the counts of the next score."""
     c = prefix_sums(score_counts(df, score, label), "threshold", ["pos", "neg"],
-                    descending=True, buckets=buckets)
+                    descending=True, next_of=["pos", "neg"])
     return c.select("threshold", "pos", "neg",
                     F.col("_cum_pos").alias("tps"), F.col("_cum_neg").alias("fps"),
-                    F.col("_tot_pos").alias("P"), F.col("_tot_neg").alias("N"))
+                    F.col("_tot_pos").alias("P"), F.col("_tot_neg").alias("N"),
+                    "_next_pos", "_next_neg")
 
 
-def roc_points(df: DataFrame, score: str, label: str, buckets: int = 64,
+def roc_points(df: DataFrame, score: str, label: str,
                drop_intermediate: bool = False) -> DataFrame:
     """ROC curve: one point per distinct score (threshold, tps, fps, tpr,
     fpr) plus the start point (threshold null, 0, 0).  With
     ``drop_intermediate`` a point whose step equals the next step (collinear
     with both neighbours) is dropped, as scikit-learn does."""
-    c = curve_table(df, score, label, buckets)
+    c = curve_table(df, score, label)
     pts = c.select("threshold", F.col("tps").cast("bigint").alias("tps"),
                    F.col("fps").cast("bigint").alias("fps"),
                    (F.col("tps") / F.col("P")).alias("tpr"),
                    (F.col("fps") / F.col("N")).alias("fpr"),
-                   "pos", "neg")
+                   "pos", "neg", "_next_pos", "_next_neg")
     if drop_intermediate:
         pts = _drop_collinear(pts)
     start = df.sparkSession.range(1).select(
         F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("bigint").alias("tps"),
         F.lit(0).cast("bigint").alias("fps"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"))
-    return start.unionByName(pts.drop("pos", "neg"))
+    return start.unionByName(pts.drop("pos", "neg", "_next_pos", "_next_neg"))
 
 
 def _keep_flags(pts: DataFrame) -> DataFrame:
     """Add ``_keep`` = 1 for the points scikit-learn keeps with
     ``drop_intermediate``: the first and the last point, and every point
-    whose step (pos, neg) differs from the next point's step.  The next
-    point is found by joining on the cumulative position, unique per point;
-    the curve is kept so that both sides of the join read it once."""
-    pts = cache.keep(pts)
-    nxt = pts.select(
-        (F.col("tps") - F.col("pos")).alias("_ptps"), (F.col("fps") - F.col("neg")).alias("_pfps"),
-        F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-    j = pts.join(nxt, (pts.tps == nxt._ptps) & (pts.fps == nxt._pfps), "left")
+    whose step (pos, neg) differs from the next point's step."""
     first = (F.col("tps") == F.col("pos")) & (F.col("fps") == F.col("neg"))
-    keep = first | F.col("_npos").isNull() | (F.col("_npos") != F.col("pos")) \
-        | (F.col("_nneg") != F.col("neg"))
-    return j.withColumn("_keep", keep.cast("int")).drop("_ptps", "_pfps", "_npos", "_nneg")
+    keep = first | F.col("_next_pos").isNull() | (F.col("_next_pos") != F.col("pos")) \
+        | (F.col("_next_neg") != F.col("neg"))
+    return pts.withColumn("_keep", keep.cast("int"))
 
 
 def _drop_collinear(pts: DataFrame) -> DataFrame:
@@ -79,7 +72,7 @@ def _drop_collinear(pts: DataFrame) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, label: str, rule: str = "trapezoid",
-        buckets: int = 64, drop_intermediate: bool = False) -> DataFrame:
+        drop_intermediate: bool = False) -> DataFrame:
     """Area under the ROC curve, one row ``auc``.
 
     trapezoid: sum over thresholds of neg_i * (2 tps_i - pos_i) / (2 P N);
@@ -91,10 +84,10 @@ def auc(df: DataFrame, score: str, label: str, rule: str = "trapezoid",
     The trapezoid is the same either way; the right rectangle is not: each
     kept point then spans the whole run of equal steps before it.
     """
-    c = curve_table(df, score, label, buckets)
+    c = curve_table(df, score, label)
     d = lambda e: e.cast("decimal(38,0)")
     if drop_intermediate and rule == "right":
-        return _auc_right_reduced(c, buckets)
+        return _auc_right_reduced(c)
     if rule == "trapezoid":
         term, scale = d(F.col("neg")) * d(F.lit(2) * F.col("tps") - F.col("pos")), 2.0
     elif rule == "right":
@@ -106,13 +99,13 @@ def auc(df: DataFrame, score: str, label: str, rule: str = "trapezoid",
                                                * F.col("_N").cast("double"))).alias("auc"))
 
 
-def _auc_right_reduced(c: DataFrame, buckets: int) -> DataFrame:
+def _auc_right_reduced(c: DataFrame) -> DataFrame:
     """Right-rectangle area over the kept points.  A running count of kept
     points (distributed, ``prefix_sums``) numbers the segments: a kept point
     closes its segment, a dropped one belongs to the next kept point.  Per
     segment: negatives added and the closing point's tps."""
     flagged = _keep_flags(c)
-    cum = prefix_sums(flagged, "threshold", ["_keep"], descending=True, buckets=buckets)
+    cum = prefix_sums(flagged, "threshold", ["_keep"], descending=True)
     seg = F.when(F.col("_keep") == 1, F.col("_cum__keep")).otherwise(F.col("_cum__keep") + 1)
     per = cum.groupBy(seg.alias("_seg")).agg(
         F.sum("neg").alias("dneg"), F.max("tps").alias("tps"),
@@ -135,8 +128,11 @@ def curve_summary(points: DataFrame) -> DataFrame:
 
 
 def log_loss(df: DataFrame, score: str, label: str, eps: float = 1e-15) -> DataFrame:
-    """Mean binary cross-entropy with the probability clipped to
-    [eps, 1 - eps]."""
+    """Mean binary cross-entropy with the probability clipped to [eps, 1 - eps],
+    over the rows with a label and a score that is a number (not null, NaN or
+    infinite)."""
+    x = F.col(score).cast("double")
+    df = df.where((F.abs(x) < F.lit(float("inf"))) & F.col(label).isNotNull())
     p = F.least(F.greatest(F.col(score).cast("double"), F.lit(eps)), F.lit(1 - eps))
     y = F.col(label).cast("double")
     return df.agg(F.avg(-(y * F.log(p) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - p))).alias("log_loss"))

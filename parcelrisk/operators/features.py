@@ -14,54 +14,33 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import cache
-from parcelrisk.operators.broadcast import broadcast_fixed
 from parcelrisk.operators.ranking import row_numbers
 from parcelrisk.operators.schema import ColumnRoles
+from parcelrisk.session import checkpoint_dir
 
 
-def cap_levels(df: DataFrame, cols: Sequence[str], top_n: int, other: str = "__other__") -> DataFrame:
-    """Keep the ``top_n`` most frequent levels of each categorical column
-    (ties alphabetical) and map the rest to ``other``.  The level table per
-    column is an aggregate cut to top_n rows, so it is broadcast by bound."""
-    out = df
-    for c in cols:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")) \
-            .orderBy(F.col("_n").desc(), F.col(c).asc()).limit(top_n) \
-            .select(c, F.lit(True).alias(f"_keep_{c}"))
-        out = out.join(broadcast_fixed(top), on=c, how="left") \
-            .withColumn(c, F.when(F.col(f"_keep_{c}") | F.col(c).isNull(), F.col(c))
-                        .otherwise(F.lit(other))).drop(f"_keep_{c}")
-    return out
-
-
-def spread_for_fitting(df: DataFrame, min_rows_per_partition: int = 50_000) -> DataFrame:
-    """Persist ``df`` for repeated fit passes, spread over enough partitions.
-
-    The table is persisted and counted (the count fills the cache the fits
-    read anyway).  When it holds fewer partitions than
-    ``min(default parallelism, rows / min_rows_per_partition)`` -- a source
-    stored in few files or row groups -- it is repartitioned round robin and
-    persisted again; otherwise it is returned as it is, without a shuffle.
-    """
-    kept = cache.keep(df)
-    n = kept.count()
-    target = min(df.sparkSession.sparkContext.defaultParallelism,
-                 max(1, -(-n // min_rows_per_partition)))
-    if kept.rdd.getNumPartitions() >= target:
-        return kept
-    spread = cache.keep(kept.repartition(target))
-    spread.count()
-    kept.unpersist()
-    return spread
+NULL_LEVEL = "NaN"      # the level that a null categorical becomes
+
+
+def spread_for_fitting(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed for the fit passes that read it again and again.  A
+    source of fewer partitions than the session's default parallelism is
+    repartitioned round robin first."""
+    checkpoint_dir(df.sparkSession)
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df.checkpoint(eager=True)
 
 
 def feature_pipeline(roles: ColumnRoles, out: str = "features", keep_raw: bool = False,
-                     handle_invalid: str = "keep", scale: bool = True) -> Pipeline:
+                     handle_invalid: str = "error", scale: bool = True) -> Pipeline:
     """Assemble numerics (scaled by sample std, not centred), index and
     one-hot the categoricals (most frequent level first, ties alphabetical,
     the rarest level is the all-zero one), pass binary flags, and put all in
-    one vector ``out``.  Categoricals must be strings (cast before)."""
+    one vector ``out``.  Categoricals must be strings without nulls (cast
+    before).  ``handle_invalid="keep"`` is for rows with levels unseen in the
+    fit: every level gets a slot then, and an unseen one the slot after them."""
     stages = []
     parts: list[str] = []
     if roles.numeric:
@@ -89,8 +68,9 @@ def feature_pipeline(roles: ColumnRoles, out: str = "features", keep_raw: bool =
     return Pipeline(stages=stages)
 
 
-def _prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = None) -> DataFrame:
-    cast = {c: F.col(c).cast("string") for c in roles.categorical}
+def prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = None) -> DataFrame:
+    """The role columns cast for ``feature_pipeline``."""
+    cast = {c: F.coalesce(F.col(c).cast("string"), F.lit(NULL_LEVEL)) for c in roles.categorical}
     if fill_numeric is None:
         cast.update({c: F.col(c).cast("double") for c in roles.numeric})
     else:
@@ -105,30 +85,24 @@ def _prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = Non
 
 def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
                    keep_raw: bool = False, fit_on: DataFrame | None = None,
-                   handle_invalid: str = "keep", persist: bool = True,
-                   fill_numeric: float | None = None,
-                   top_n: int | None = None) -> tuple[DataFrame, PipelineModel]:
+                   handle_invalid: str = "error", persist: bool = True,
+                   fill_numeric: float | None = None) -> tuple[DataFrame, PipelineModel]:
     """Fit the feature pipeline (on ``fit_on`` or all rows) and return the
     table reduced to key, identity, label, fold, passthrough and ``out``.
 
-    With ``persist`` the input, projected to the role columns, is kept
-    (memory and disk) so that the fit passes (level counts, standard
-    deviations) and the transform read it once from the source.
-    ``fill_numeric`` replaces null / NaN / infinite numerics (the assembler
-    rejects them); without it such a value is an error.  ``top_n`` keeps the
-    most frequent levels of each categorical and maps the rest to one
-    'other' level (continuous codes or very many levels would otherwise make
-    the one-hot vector as wide as the data is varied)."""
+    With ``persist`` the input, projected to the role columns, is checkpointed
+    so that the fit passes (level counts, standard deviations) and the
+    transform read it once from the source.  ``fill_numeric`` replaces null /
+    NaN / infinite numerics (the assembler rejects them); without it such a
+    value is an error.  A null categorical is a level of its own."""
     roles.validate(df)
     named = [roles.key, *roles.identity, *roles.passthrough, *roles.numeric,
              *roles.categorical, *roles.binary] + [c for c in (roles.label, roles.fold) if c]
-    prepared = _prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
-    if top_n is not None and roles.categorical:
-        prepared = cap_levels(prepared, list(roles.categorical), top_n)
+    prepared = prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
     if persist:
         prepared = spread_for_fitting(prepared)
     model = feature_pipeline(roles, out, keep_raw, handle_invalid) \
-        .fit(_prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared)
+        .fit(prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared)
     keep = [roles.key, *roles.identity, *roles.passthrough]
     keep += [c for c in (roles.label, roles.fold) if c]
     return model.transform(prepared).select(*dict.fromkeys(keep), out), model
@@ -141,7 +115,7 @@ def combine_vectors(df: DataFrame, cols: Sequence[str], out: str, drop: bool = T
 
 
 def one_hot_levels(df: DataFrame, col: str) -> DataFrame:
-    """The index a ``StringIndexer`` gives each level (frequency desc, ties
+    """What ``feature_pipeline`` does by default: the index a ``StringIndexer`` gives each level (frequency desc, ties
     alphabetical), its count, and whether one-hot encodes it as all zeros
     (the last index, ``dropLast``) -- computed as a plain aggregate.  The
     level order is numbered by a distributed sort (``row_numbers``), so a

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def hash_unit(key, seed: int = 0) -> Column:
-    """A number in [0, 2^32) from the key, as bigint."""
-    k = (F.col(key) if isinstance(key, str) else key).cast("string")
+    """A number in [0, 2^32) from the key, as bigint; null counts as an empty key."""
+    k = F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))
     h = F.md5(F.concat(k, F.lit(f"#{seed}")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 

@@ -2,10 +2,9 @@
 
 ``oof_score`` fits one model per fold on the other folds and scores the
 held-out fold, so every row gets exactly one score from a model that never
-saw it.  The feature table is persisted once (memory and disk, so a lost
-executor recomputes only its blocks), fits run concurrently from a small
+saw it.  The feature table is checkpointed once, fits run concurrently from a small
 thread pool (each fit is itself a distributed job), and the k scored folds
-are a union of k filtered scans of the persisted table.
+are a union of k filtered scans of it.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import cache
 from parcelrisk.operators.clean import union_all
+from parcelrisk.operators.features import spread_for_fitting
 from parcelrisk.operators.folds import fold_test, fold_train
 
 
@@ -36,10 +35,15 @@ def default_forest(features: str, label: str, seed: int = 42, **params) -> Rando
                                   predictionCol="prediction", seed=seed, **params)
 
 
+def _fits(df: DataFrame, parallelism: int | None, n: int) -> int:
+    return max(1, min(parallelism or df.sparkSession.sparkContext.defaultParallelism, n))
+
+
 def oof_score(df: DataFrame, features: str, label: str, fold: str, k: int,
               estimator: Estimator | None = None, keep: Sequence[str] = (),
-              parallelism: int = 4, seed: int = 42) -> DataFrame:
-    """Score every row out of fold.
+              parallelism: int | None = None, seed: int = 42) -> DataFrame:
+    """Score every row out of fold; ``parallelism`` fits run at a time (by
+    default as many as the session has cores).
 
     Returns ``keep`` + label + fold + ``prediction``, ``prob0``, ``prob1``.
     ``estimator`` defaults to a seeded random forest; a ``Pipeline`` that
@@ -48,13 +52,13 @@ def oof_score(df: DataFrame, features: str, label: str, fold: str, k: int,
     est = estimator if estimator is not None else default_forest(features, label, seed)
     # a Pipeline that builds ``features`` itself needs the raw columns
     cols = [*keep, label, fold, features] if features in df.columns else df.columns
-    data = cache.keep(df.select(*dict.fromkeys(cols))
-                      .withColumn(label, F.col(label).cast("double")))
+    data = spread_for_fitting(df.select(*dict.fromkeys(cols))
+                              .withColumn(label, F.col(label).cast("double")))
 
     def fit(i: int):
         return est.fit(fold_train(data, i, fold))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+    with ThreadPoolExecutor(max_workers=_fits(df, parallelism, k)) as pool:
         models = list(pool.map(fit, range(k)))
 
     scored = [m.transform(fold_test(data, i, fold)) for i, m in enumerate(models)]
@@ -78,19 +82,28 @@ def holdout_score(df: DataFrame, features: str, label: str, split_col: str,
 
 
 def walk_forward_score(df: DataFrame, features: str, label: str, period: str,
-                       periods: Sequence, estimator: Estimator | None = None,
-                       keep: Sequence[str] = (), parallelism: int = 4) -> DataFrame:
+                       periods: Sequence | None = None, estimator: Estimator | None = None,
+                       keep: Sequence[str] = (), parallelism: int | None = None) -> DataFrame:
     """For each period p, fit on the rows of earlier periods and score the
-    rows of p (train on the past, score the next period)."""
+    rows of p (train on the past, score the next period).
+
+    ``periods`` defaults to all periods of the data but the first, which has
+    no past (one row per period to the driver); rows of a null period have no
+    past either.  A ``Pipeline`` that includes the feature stages fits them on
+    the past only; give it ``handle_invalid="keep"`` for new levels."""
     est = estimator if estimator is not None else LogisticRegression(
         featuresCol=features, labelCol=label, predictionCol="prediction")
-    data = cache.keep(df.select(*dict.fromkeys([*keep, label, period, features]))
-                      .withColumn(label, F.col(label).cast("double")))
+    cols = [*keep, label, period, features] if features in df.columns else df.columns
+    data = spread_for_fitting(df.select(*dict.fromkeys(cols))
+                              .withColumn(label, F.col(label).cast("double")))
+    if periods is None:
+        found = data.select(period).distinct().where(F.col(period).isNotNull())
+        periods = [r[0] for r in found.orderBy(period).collect()][1:]
 
     def fit(p):
         return est.fit(data.where(F.col(period) < F.lit(p)))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(periods)))) as pool:
+    with ThreadPoolExecutor(max_workers=_fits(df, parallelism, len(periods))) as pool:
         models = list(pool.map(fit, periods))
     scored = [m.transform(data.where(F.col(period) == F.lit(p))) for p, m in zip(periods, models)]
     return split_probability(union_all(scored)).select(

@@ -5,29 +5,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelrisk.functions.scalars import epoch_seconds
-from parcelrisk.operators.broadcast import bounded_broadcast
-from parcelrisk.operators.ranking import exact_quantiles
+from parcelrisk.functions.scalars import epoch_seconds, nan_to_null
+from parcelrisk.operators.ranking import null_safe, quantile_aggregates, value_sums
+
+
+def nan_as_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """NaN of the float columns (of ``cols``) as null: one policy for all
+    statistics, which skip nulls."""
+    floats = [c for c, kind in df.dtypes if kind in ("double", "float")
+              and (cols is None or c in cols)]
+    return df.withColumns({c: nan_to_null(c) for c in floats}) if floats else df
 
 
 def value_counts(df: DataFrame, col: str, name: str = "count") -> DataFrame:
-    """Count per non-null value, most frequent first, ties by value."""
+    """Count per value that is not null or NaN, most frequent first, ties by value."""
+    df = nan_as_null(df, [col])
     return df.where(F.col(col).isNotNull()).groupBy(col) \
         .agg(F.count(F.lit(1)).alias(name)) \
         .orderBy(F.col(name).desc(), F.col(col).asc())
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Distinct values (null included, as pandas ``unique``), sorted."""
-    return df.select(col).distinct().orderBy(F.col(col).asc_nulls_last())
+    """Distinct values (null included, NaN as null), sorted."""
+    return nan_as_null(df, [col]).select(col).distinct().orderBy(F.col(col).asc_nulls_last())
 
 
 def distinct_count(df: DataFrame, col: str, approx: bool = False, name: str = "n_distinct") -> DataFrame:
-    """Number of distinct values with null counted as one value."""
-    has_null = F.max(F.col(col).isNull().cast("int"))
+    """Number of distinct values with null (and NaN) counted as one value."""
+    df = nan_as_null(df, [col])
+    has_null = F.coalesce(F.max(F.col(col).isNull().cast("int")), F.lit(0))
     if approx:
         n = F.approx_count_distinct(col)
     else:
@@ -36,8 +45,9 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False, name: str = "n
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Per column: name, Spark type, null count and non-null count, from a
-    single aggregate over the table."""
+    """Per column: name, Spark type, null count (NaN is null) and non-null
+    count, from a single aggregate over the table."""
+    df = nan_as_null(df)
     aggs = []
     for c in df.columns:
         aggs += [F.count(F.lit(1)).alias(f"{c}__n"), F.count(F.col(c)).alias(f"{c}__nn")]
@@ -54,44 +64,43 @@ def null_profile(df: DataFrame) -> DataFrame:
 def describe_by(df: DataFrame, col: str, by: Sequence[str] = (), approx: bool = False,
                 accuracy: int = 10000) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation) and
-    max of ``col``, overall or per group (pandas ``describe``)."""
+    max of ``col``, overall or per group (pandas ``describe``).
+
+    All of it comes from one table of distinct values with their multiplicity:
+    the data are scanned once.  Null and NaN are skipped; the null group is a
+    group, and a group without values has n = 0."""
     by = list(by)
-    x = F.col(col).cast("double")
-    base = df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"))
-    names = ["q25", "q50", "q75"]
     if approx:
-        q = df.groupBy(*by).agg(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias("_q"))
-        q = q.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    else:
-        q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by, names)
-    if not by:
-        return _single_row_merge(base, q)
-    # one row per group on both sides: a plain equi-join of two aggregates
-    return base.join(q, on=by, how="left")
-
-
-def _single_row_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Put two one-row aggregates side by side without a join: tag and
-    aggregate their union."""
-    ca, cb = a.columns, b.columns
-    u = a.select(*[F.col(c) for c in ca], *[F.lit(None).cast("double").alias(c) for c in cb]) \
-        .unionByName(b.select(*[F.lit(None).cast(dict(a.dtypes)[c]).alias(c) for c in ca], *cb))
-    return u.agg(*[F.max(c).alias(c) for c in ca + cb])
+        x = nan_to_null(F.col(col).cast("double"))
+        q = F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy)
+        out = df.groupBy(*by).agg(
+            F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).alias("min"), F.max(x).alias("max"), q.alias("_q"))
+        return out.select(*by, "n", "mean", "std", "min", "max",
+                          *[F.col("_q")[i].alias(n) for i, n in enumerate(["q25", "q50", "q75"])])
+    aggs, cols = quantile_aggregates([0.25, 0.5, 0.75], ["q25", "q50", "q75"])
+    v, w = F.col("_v"), F.col("_w")
+    mean = F.col("_tot__wv") / F.nullif(F.col("_tot__w"), F.lit(0))
+    out = value_sums(df, col, by).groupBy(*by).agg(
+        F.coalesce(F.sum(w), F.lit(0)).cast("bigint").alias("n"), F.max(mean).alias("mean"),
+        F.sum(w * (v - mean) * (v - mean)).alias("_ss"), F.min(v).alias("min"),
+        F.max(v).alias("max"), *aggs)
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_ss") / F.nullif(F.col("n") - 1, F.lit(0))))
+    return out.select(*by, "n", "mean", std.alias("std"), "min", "max", *cols)
 
 
 def separation(df: DataFrame, score: str, label: str) -> DataFrame:
     """mean score of positives / negatives, their ratio, lift over the mean,
-    base rate -- one aggregate."""
-    s, y = F.col(score).cast("double"), F.col(label)
+    base rate -- one aggregate.  Null and NaN scores are skipped; a ratio to a
+    mean of zero is null."""
+    s, y = nan_to_null(F.col(score).cast("double")), F.col(label)
     return df.agg(
         F.avg(F.when(y == 1, s)).alias("mean_pos"),
         F.avg(F.when(y == 0, s)).alias("mean_neg"),
         F.avg(s).alias("mean_all"),
         F.avg(y.cast("double")).alias("base_rate")) \
-        .withColumn("ratio", F.col("mean_pos") / F.col("mean_neg")) \
-        .withColumn("lift", F.col("mean_pos") / F.col("mean_all"))
+        .withColumn("ratio", F.col("mean_pos") / F.nullif(F.col("mean_neg"), F.lit(0.0))) \
+        .withColumn("lift", F.col("mean_pos") / F.nullif(F.col("mean_all"), F.lit(0.0)))
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
@@ -99,15 +108,17 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
     """Equal-width histogram with every bin present (``numpy.histogram``):
     bins [lo + i w, lo + (i+1) w), the last bin closed; values outside
     [lo, hi] are not counted.  ``lo``/``hi`` default to the data range (one
-    aggregate, two numbers to the driver).  ``density`` adds
-    count / (n * width) with n the in-range count of the group."""
+    aggregate, two numbers to the driver; infinite values don't widen it).
+    ``density`` adds count / (n * width) with n the in-range count of the
+    group.  Null and NaN are skipped; without values the range is [0, 1]."""
     by = list(by)
-    x = F.col(col).cast("double")
+    x = nan_to_null(F.col(col).cast("double"))
     if lo is None or hi is None:
-        r = df.agg(F.min(x), F.max(x)).first()
+        finite = F.when(F.abs(x) < F.lit(float("inf")), x)
+        r = df.agg(F.min(finite), F.max(finite)).first()
         lo = r[0] if lo is None else lo
         hi = r[1] if hi is None else hi
-    lo, hi = float(lo), float(hi)
+    lo, hi = (0.0, 1.0) if lo is None or hi is None else (float(lo), float(hi))
     if hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
     w = (hi - lo) / bins
@@ -128,7 +139,7 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
         F.coalesce(F.element_at("_m", F.col("bin")), F.lit(0)).cast("bigint").alias("count"),
         "_n")
     if density:
-        out = out.withColumn("density", F.col("count") / (F.col("_n") * F.lit(w)))
+        out = out.withColumn("density", F.col("count") / F.nullif(F.col("_n") * F.lit(w), F.lit(0.0)))
     return out.drop("_n")
 
 
@@ -144,24 +155,27 @@ def date_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whis: float = 1.5) -> DataFrame:
     """Box-plot statistics: quartiles, whiskers at the furthest data point
-    within ``whis`` x IQR of the box, and the number of outliers."""
+    within ``whis`` x IQR of the box, and the number of outliers.  Whiskers and
+    outliers come from the table of distinct values the quartiles come from.
+    Null and NaN are skipped; the null group is a group."""
     by = list(by)
-    x = F.col(col).cast("double")
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by, ["q1", "median", "q3"])
-    q = q.withColumns({"_lim_lo": F.col("q1") - F.lit(whis) * (F.col("q3") - F.col("q1")),
-                       "_lim_hi": F.col("q3") + F.lit(whis) * (F.col("q3") - F.col("q1"))})
-    data = df.where(x.isNotNull() & ~F.isnan(x)).select(*by, x.alias("_x"))
+    names = ["q1", "median", "q3"]
+    aggs, cols = quantile_aggregates([0.25, 0.5, 0.75], names)
+    vals = value_sums(df, col, by)
+    q = vals.groupBy(*by).agg(*aggs).select(
+        *[F.col(c).alias(f"_qg{i}") for i, c in enumerate(by)], *cols)
+    iqr = F.col("q3") - F.col("q1")
+    q = q.withColumns({"_lim_lo": F.col("q1") - F.lit(whis) * iqr,
+                       "_lim_hi": F.col("q3") + F.lit(whis) * iqr})
     if by:
-        # quartiles: one row per group; a checked broadcast, shuffle join beyond
-        j = data.join(bounded_broadcast(q), on=by, how="inner")
-    else:
+        j = vals.join(q, null_safe(vals, q, [(c, f"_qg{i}") for i, c in enumerate(by)]), "inner")
+    else:                                   # one row of five numbers
         r = q.first()
-        j = data.withColumns({c: F.lit(r[c]).cast("double")
-                              for c in ("q1", "median", "q3", "_lim_lo", "_lim_hi")})
-    stats = j.groupBy(*by).agg(
-        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(F.col("_x") >= F.col("_lim_lo"), F.col("_x"))).alias("whisker_lo"),
-        F.max(F.when(F.col("_x") <= F.col("_lim_hi"), F.col("_x"))).alias("whisker_hi"),
-        F.sum(((F.col("_x") < F.col("_lim_lo")) | (F.col("_x") > F.col("_lim_hi"))).cast("int"))
-        .cast("bigint").alias("n_outliers"))
-    return stats
+        j = vals.withColumns({c: F.lit(r[c]).cast("double") for c in [*names, "_lim_lo", "_lim_hi"]})
+    v = F.col("_v")
+    return j.groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in names],
+        F.min(F.when(v >= F.col("_lim_lo"), v)).alias("whisker_lo"),
+        F.max(F.when(v <= F.col("_lim_hi"), v)).alias("whisker_hi"),
+        F.coalesce(F.sum(F.when((v < F.col("_lim_lo")) | (v > F.col("_lim_hi")), F.col("_w"))),
+                   F.lit(0)).cast("bigint").alias("n_outliers"))

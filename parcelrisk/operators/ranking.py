@@ -1,137 +1,123 @@
 """Distributed running sums in a global order, and exact quantiles.
 
 A global cumulative sum written as ``Window.orderBy(x)`` moves every row to
-one partition.  ``prefix_sums`` instead cuts the order domain into
-``buckets`` ranges at approximate quantiles of the (distinct) order values,
-so each range holds about the same number of rows, computes one total per
-(group, range) -- a table bounded by groups x buckets -- prefix-sums those
-totals, and adds the offset inside a window partitioned by (group, range).
-Each task therefore sorts about ``rows / buckets`` rows.
-
-``row_numbers`` gives every row its position in a total order without a
-single-partition window: a range-partitioned sort, one reliable checkpoint
-(so a recomputed partition cannot land in a different range), and an offset
-per sorted partition.
+one partition.  ``prefix_sums`` instead range-partitions the rows by (group,
+order value) -- Spark samples the bounds -- and checkpoints them with the
+number of their range, so that a recomputed partition cannot land in a
+different one.  One total per (group, range) is prefix-summed (at most groups
++ ranges rows, partitioned by group) and joined back, and a window by (group,
+range) adds the running sum within the range.  No side is marked for
+broadcast: AQE decides by measured size.
+
+``row_numbers`` gives every row its position in a total order in the same way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import cache
-from parcelrisk.operators.broadcast import broadcast_fixed
+from parcelrisk.functions.scalars import nan_to_null
 from parcelrisk.session import checkpoint_dir
 
-_B = "_pr_bucket"
+_B = "_pr_range"
 
 
-def _splits(df: DataFrame, col: str, buckets: int, rows_per_bucket: int,
-            rel_err: float, samples_per_bucket: int = 100) -> list[float]:
-    """Split points of at least ``buckets`` ranges of about equal row count,
-    more when the rows need more ranges to stay under ``rows_per_bucket``.
-
-    The points only balance the ranges -- the sums are exact whatever they
-    are -- so they come from a Bernoulli sample of about
-    ``samples_per_bucket`` rows per range: the quantile summaries merged in
-    the final aggregate hold at most the sample, not the data."""
-    x = F.col(col).cast("double")
-    n = df.count()
-    b = max(buckets, -(-n // rows_per_bucket))
-    want = samples_per_bucket * b
-    src = df if n <= want else df.sample(fraction=want / n, seed=17)
-    probs = [i / b for i in range(1, b)]
-    qs = []
-    if probs and n:
-        acc = int(max(1.0 / rel_err, 4.0 * b))
-        qs = src.agg(F.percentile_approx(x, probs, acc).alias("q")).first()["q"] or []
-    inner = sorted({q for q in qs if q is not None and q == q})
-    return [float("-inf")] + inner + [float("inf")]
+def null_safe(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Join condition that lets null keys meet."""
+    return reduce(lambda x, y: x & y, [a[l].eqNullSafe(b[r]) for l, r in pairs])
 
 
 def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
                 group_cols: Sequence[str] = (), descending: bool = False,
-                buckets: int = 64, rel_err: float = 0.001,
-                rows_per_bucket: int = 2_000_000, samples_per_bucket: int = 100) -> DataFrame:
+                next_of: Sequence[str] = ()) -> DataFrame:
     """Add ``_cum_<w>`` (inclusive running sum of ``w`` in the order of
-    ``order_col`` within ``group_cols``) and ``_tot_<w>`` (group total).
+    ``order_col`` within ``group_cols``), ``_tot_<w>`` (group total), and for
+    the columns ``next_of`` ``_next_<c>``, the value in the row that follows.
 
     Rows must be unique per (group_cols, order_col), e.g. an aggregate by
-    distinct value; ``order_col`` must be numeric and not null / NaN.
-
-    The number of ranges is at least ``buckets`` and grows with the row
-    count so that a range holds about ``rows_per_bucket`` rows at most; the
-    split points (one number per range, from a bounded sample) are the only
-    thing the driver sees.
+    distinct value.  Null groups are groups like others; infinite order values
+    are sorted as numbers.
     """
     group_cols = list(group_cols)
-    # the splits pass and the main pass both read df: keep it (it is an
-    # aggregate by distinct value, smaller than its input) instead of
-    # recomputing it from the scan
-    df = cache.keep(df)
-    splits = _splits(df, order_col, buckets, rows_per_bucket, rel_err, samples_per_bucket)
-    tagged = Bucketizer(splits=splits, inputCol="_pr_order", outputCol=_B,
-                        handleInvalid="keep") \
-        .transform(df.withColumn("_pr_order", F.col(order_col).cast("double"))) \
-        .drop("_pr_order") \
-        .withColumn(_B, F.col(_B).cast("int"))
+    checkpoint_dir(df.sparkSession)
+    tagged = df.repartitionByRange(*group_cols, order_col) \
+        .withColumn(_B, F.spark_partition_id()).checkpoint(eager=True)
 
+    first = (F.max_by if descending else F.min_by)
     totals = tagged.groupBy(*group_cols, _B).agg(
-        *[F.sum(w).alias(f"_bt_{w}") for w in weights])
-    border = F.col(_B).desc() if descending else F.col(_B).asc()
-    wprev = (Window.partitionBy(*group_cols) if group_cols else Window) \
-        .orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    wall = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()
+        *[F.sum(w).alias(f"_bt_{w}") for w in weights],
+        *[first(F.struct(c), order_col).alias(f"_bf_{c}") for c in next_of])
+    by_group = Window.partitionBy(*group_cols)
+    in_order = by_group.orderBy(F.col(_B).desc() if descending else F.col(_B).asc())
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *group_cols, _B,
-        *[F.coalesce(F.sum(f"_bt_{w}").over(wprev), F.lit(0)).alias(f"_off_{w}") for w in weights],
-        *[F.sum(f"_bt_{w}").over(wall).alias(f"_tot_{w}") for w in weights])
-    # without groups: one row per range, bounded by the split count -> broadcast.
-    # with groups: AQE broadcasts the offsets when their measured size is
-    # small; otherwise the join shuffles by (group, range), the partitioning
-    # the window below needs anyway.
-    if not group_cols:
-        offsets = broadcast_fixed(offsets)
+        *[F.col(c).alias(f"_og{i}") for i, c in enumerate(group_cols)],
+        F.col(_B).alias("_ob"),
+        *[F.coalesce(F.sum(f"_bt_{w}").over(before), F.lit(0)).alias(f"_off_{w}") for w in weights],
+        *[F.sum(f"_bt_{w}").over(by_group).alias(f"_tot_{w}") for w in weights],
+        *[F.lead(f"_bf_{c}").over(in_order).alias(f"_nf_{c}") for c in next_of])
+    on = null_safe(tagged, offsets, [(c, f"_og{i}") for i, c in enumerate(group_cols)]
+                   + [(_B, "_ob")])
+    out = tagged.join(offsets, on, "inner")
 
     ocol = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    win = Window.partitionBy(*group_cols, _B).orderBy(ocol) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = tagged.join(offsets, on=[*group_cols, _B], how="inner")
-    out = out.withColumns({f"_cum_{w}": F.sum(w).over(win) + F.col(f"_off_{w}") for w in weights})
-    return out.drop(*[f"_off_{w}" for w in weights])
+    within = Window.partitionBy(*group_cols, _B).orderBy(ocol)
+    run = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = out.withColumns(
+        {f"_cum_{w}": F.sum(w).over(run) + F.col(f"_off_{w}") for w in weights}
+        | {f"_next_{c}": F.coalesce(F.lead(F.struct(c)).over(within), F.col(f"_nf_{c}"))[c]
+           for c in next_of})
+    return out.drop("_ob", _B, *[f"_og{i}" for i in range(len(group_cols))],
+                    *[f"_off_{w}" for w in weights], *[f"_nf_{c}" for c in next_of])
+
+
+def value_sums(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """The distinct values ``_v`` of each group with their multiplicity ``_w``
+    and running sums.  Null and NaN are one null value of weight 0, so that
+    groups without values stay."""
+    v = nan_to_null(F.col(col).cast("double"))
+    vals = df.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")).select(
+        *by, "_v", F.when(F.col("_v").isNull(), F.lit(0)).otherwise(F.col("_n"))
+        .cast("bigint").alias("_w"))
+    vals = vals.withColumn("_wv", F.coalesce(F.col("_v") * F.col("_w"), F.lit(0.0)))
+    return prefix_sums(vals, "_v", ["_w", "_wv"], by)
+
+
+def quantile_aggregates(probs: Sequence[float], names: Sequence[str]):
+    """(aggregates over ``value_sums``, columns of their results): quantiles
+    with linear interpolation."""
+    first = F.col("_cum__w") - F.col("_w")          # 0-based first rank held by the row
+    aggs, cols = [], []
+    for p, name in zip(probs, names):
+        h = (F.col("_tot__w") - 1) * F.lit(float(p))
+        lo, hi = F.floor(h), F.ceil(h)
+        aggs += [F.max(F.when((lo >= first) & (lo < F.col("_cum__w")), F.col("_v"))).alias(f"_lo_{name}"),
+                 F.max(F.when((hi >= first) & (hi < F.col("_cum__w")), F.col("_v"))).alias(f"_hi_{name}"),
+                 F.max(h - lo).alias(f"_fr_{name}")]
+        step = F.when(F.col(f"_hi_{name}") == F.col(f"_lo_{name}"), F.lit(0.0)).otherwise(
+            (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_fr_{name}"))
+        cols.append((F.col(f"_lo_{name}") + step).alias(name))
+    return aggs, cols
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float],
-                    by: Sequence[str] = (), names: Sequence[str] | None = None,
-                    buckets: int = 64) -> DataFrame:
+                    by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy 'linear', SQL
     ``percentile_cont``), one row per group, columns ``names``.
 
     Works on the distinct values of each group with their multiplicity, so a
-    hot group costs its number of distinct values, spread over ``buckets``
-    tasks, never one task holding the group.  Nulls and NaN are ignored.
+    hot group costs its number of distinct values, spread over the ranges,
+    never one task holding the group.  Nulls and NaN are ignored; a group
+    without other values has null quantiles.
     """
     by = list(by)
     names = list(names or [f"q{int(round(p * 100))}" for p in probs])
-    v = F.col(col).cast("double")
-    vals = df.where(v.isNotNull() & ~F.isnan(v)) \
-        .groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_w"))
-    cum = prefix_sums(vals, "_v", ["_w"], by, buckets=buckets)
-    lo_first = F.col("_cum__w") - F.col("_w")          # 0-based first rank held by the row
-    aggs = []
-    for p, name in zip(probs, names):
-        h = (F.col("_tot__w") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        aggs += [F.max(F.when((lo >= lo_first) & (lo < F.col("_cum__w")), F.col("_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when((hi >= lo_first) & (hi < F.col("_cum__w")), F.col("_v"))).alias(f"_hi_{name}"),
-                 F.max(h - lo).alias(f"_fr_{name}")]
-    res = cum.groupBy(*by).agg(*aggs)
-    return res.select(*by, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
-        for n in names])
+    aggs, cols = quantile_aggregates(probs, names)
+    return value_sums(df, col, by).groupBy(*by).agg(*aggs).select(*by, *cols)
 
 
 def row_numbers(df: DataFrame, order: Sequence, out: str = "row_number") -> DataFrame:
@@ -146,7 +132,7 @@ def row_numbers(df: DataFrame, order: Sequence, out: str = "row_number") -> Data
     checkpoint a re-run partition (lost executor, second read) could fall
     into different ranges.  The per-partition counts -- one row per sorted
     partition, bounded by the shuffle partition count -- are prefix-summed
-    and broadcast.
+    and joined back.
     """
     checkpoint_dir(df.sparkSession)
     tagged = df.orderBy(*order).select(
@@ -158,6 +144,6 @@ def row_numbers(df: DataFrame, order: Sequence, out: str = "row_number") -> Data
     offsets = per.select("_pr_pid", "_pr_first",
                          F.coalesce(F.sum("_pr_n").over(before), F.lit(0)).alias("_pr_off"))
     pos = F.col("_pr_off") + F.col("_pr_mid") - F.col("_pr_first")
-    return tagged.join(broadcast_fixed(offsets), on="_pr_pid", how="inner") \
+    return tagged.join(offsets, on="_pr_pid", how="inner") \
         .withColumn(out, pos.cast("bigint")) \
         .drop("_pr_pid", "_pr_mid", "_pr_first", "_pr_off")

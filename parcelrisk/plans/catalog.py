@@ -304,24 +304,23 @@ def q_round_half_even(spark, sf):
 
 # ------------------------------------------------------- reshape, profiling
 
-YEARS = list(range(1995, 2002))
-
-
-@query("pivot_sum_year", "SELECT o_custkey, " + ", ".join(
-    f"round(sum(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice END), 2) AS \"{y}\""
-    for y in YEARS) + " FROM orders GROUP BY o_custkey")
+@query("pivot_sum_year", """
+SELECT * FROM (PIVOT (SELECT o_custkey, year(o_orderdate) AS y, o_totalprice FROM orders)
+               ON y USING round(sum(o_totalprice), 2) GROUP BY o_custkey)""")
 def q_pivot_sum_year(spark, sf):
+    """One column per year that the orders have."""
     o = t(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
-    p = reshape.pivot_by(o, "o_custkey", "year", "o_totalprice", "sum", YEARS)
-    return p.select("o_custkey", *[F.round(F.col(str(y)), 2).alias(str(y)) for y in YEARS])
+    p = reshape.pivot_by(o, "o_custkey", "year", "o_totalprice", "sum")
+    return p.select("o_custkey", *[F.round(F.col(c), 2).alias(c) for c in p.columns[1:]])
 
 
-@query("pivot_mean_year", "SELECT l_suppkey, " + ", ".join(
-    f"round_even(avg(CASE WHEN year(l_shipdate) = {y} THEN l_quantity END), 0) AS \"{y}\""
-    for y in YEARS) + " FROM lineitem GROUP BY l_suppkey ORDER BY l_suppkey")
+@query("pivot_mean_year", """
+SELECT * FROM (PIVOT (SELECT l_suppkey, year(l_shipdate) AS y, l_quantity FROM lineitem)
+               ON y USING round_even(avg(l_quantity), 0) GROUP BY l_suppkey)
+ORDER BY l_suppkey""")
 def q_pivot_mean_year(spark, sf):
     li = t(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate"))
-    return reshape.pivot_by(li, "l_suppkey", "year", "l_quantity", "mean", YEARS, round_to=0) \
+    return reshape.pivot_by(li, "l_suppkey", "year", "l_quantity", "mean", round_to=0) \
         .orderBy("l_suppkey")
 
 
@@ -527,7 +526,16 @@ def q_row_at_far(spark, sf):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     li = t(spark, sf, "lineitem").select(*key, "l_quantity")
     n = li.count()                                       # one number
-    return clean.row_at(li, key, n * 2 // 3, head_rows=0)
+    return clean.row_at(li, key, n * 2 // 3)
+
+
+@query("row_at_ties", """
+SELECT nullif(o_orderstatus, 'P') AS status FROM orders ORDER BY status NULLS LAST
+LIMIT 1 OFFSET (SELECT count(*) - 2 FROM orders)""")
+def q_row_at_ties(spark, sf):
+    """A position among ties: the order column has three values, one null."""
+    o = t(spark, sf, "orders").select(F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("status"))
+    return clean.row_at(o, ["status"], o.count() - 2)
 
 
 @query("column_slice", "SELECT l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem")

@@ -5,7 +5,8 @@ equivalent except ``one_hot_levels``; tests check their invariants."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def q_oof_forest(spark, sf):
     """Every customer scored once by a forest that did not see it."""
     data = customer_features(spark, sf)
     return model.oof_score(data, "features", "TARGET", "fold", OOF_FOLDS,
-                           keep=["c_custkey", "c_name"], parallelism=8, seed=42)
+                           keep=["c_custkey", "c_name"], seed=42)
 
 
 def document_table(spark, sf) -> DataFrame:
@@ -123,8 +124,7 @@ def q_holdout_forest(spark, sf):
                         binary=tuple(flag_exprs()))
     data, _ = feat.build_features(li, roles)
     data = folds.hash_split(data, "line_id", 0.7, seed=3)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=10,
-                                maxDepth=4, seed=42)
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42)
     return model.holdout_score(data, "features", "label", "is_train", estimator=rf,
                                keep=["l_orderkey", "l_linenumber"])
 
@@ -138,6 +138,8 @@ def q_walk_forward(spark, sf):
         (F.col("o_orderstatus") == "F").cast("int").alias("closed"))
     roles = ColumnRoles(key="o_orderkey", passthrough=("year",), label="closed",
                         numeric=("log_price",), categorical=("o_orderpriority",))
-    data, _ = feat.build_features(o, roles)
-    return model.walk_forward_score(data, "features", "closed", "year",
-                                    list(range(1996, 2002)), keep=["o_orderkey"])
+    # feature stages and learner are fitted on the past of each year
+    pipe = Pipeline(stages=[*feat.feature_pipeline(roles, handle_invalid="keep").getStages(),
+                            LogisticRegression(featuresCol="features", labelCol="closed")])
+    return model.walk_forward_score(feat.prepare(o, roles), "features", "closed", "year",
+                                    estimator=pipe, keep=["o_orderkey"])

@@ -23,7 +23,7 @@ from parcelrisk.operators.match import flag_membership
 from pyspark.ml import Pipeline
 
 from parcelrisk.operators.model import default_forest, oof_score
-from parcelrisk.operators.features import _prepare, build_features, feature_pipeline
+from parcelrisk.operators.features import prepare, build_features, feature_pipeline
 from parcelrisk.operators.schema import ColumnRoles
 
 # ---------------------------------------------------------------------------
@@ -149,7 +149,7 @@ def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, s
 
 
 def score_entities(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,
-                   parallelism: int = 4, fit_scope: str = "all",
+                   parallelism: int | None = None, fit_scope: str = "all",
                    fill_numeric: float = 0.0) -> DataFrame:
     """The batch job: label, features, k-fold out-of-fold random forest.
     Returns PIN, MAJOR, MINOR, ADDR_FULL, TARGET, fold, prediction, prob0,
@@ -169,8 +169,8 @@ def score_entities(entities: DataFrame, attributes: DataFrame, k: int = 10, seed
     j = assign_folds(j, "PIN", k, seed)
     named = [roles.key, *roles.identity, *roles.numeric, *roles.categorical, *roles.binary,
              roles.label, roles.fold]
-    prepared = _prepare(j.select(*dict.fromkeys(named)), roles, fill_numeric)
-    stages = feature_pipeline(roles, out="all_features").getStages()
+    prepared = prepare(j.select(*dict.fromkeys(named)), roles, fill_numeric)
+    stages = feature_pipeline(roles, out="all_features", handle_invalid="keep").getStages()
     pipe = Pipeline(stages=[*stages, default_forest("all_features", "TARGET", seed)])
     return oof_score(prepared, "all_features", "TARGET", "fold", k, estimator=pipe,
                      keep=keep, parallelism=parallelism, seed=seed)

@@ -31,4 +31,4 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     """Import every catalog module so that its queries register."""
-    from parcelrisk.plans import catalog, catalog_io, catalog_models  # noqa: F401
+    from parcelrisk.plans import catalog, catalog_io, catalog_models, catalog_nulls  # noqa: F401

@@ -30,7 +30,7 @@ def test_trapezoid_auc_equals_mllib_and_roc_is_monotone(spark):
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int")
     mine = evaluate.auc(df, "s", "y").first().auc
     assert abs(mine - evaluate.auc_roc(df, "s", "y")) < 1e-9
-    pts = sorted((r.fps, r.tps) for r in evaluate.roc_points(df, "s", "y", buckets=7).collect())
+    pts = sorted((r.fps, r.tps) for r in evaluate.roc_points(df, "s", "y").collect())
     assert pts[0] == (0, 0) and pts[-1] == (int((y == 0).sum()), int(y.sum()))
     assert all(b[0] >= a[0] and b[1] >= a[1] for a, b in zip(pts, pts[1:]))
 
@@ -65,10 +65,10 @@ def test_right_rectangle_on_reduced_curve_matches_brute_force(spark):
     for drop in (False, True):
         fpr, tpr = _sk_roc(y, s, drop)
         want = float((np.diff(fpr) * tpr[1:]).sum())
-        got = evaluate.auc(df, "s", "y", "right", buckets=5, drop_intermediate=drop).first().auc
+        got = evaluate.auc(df, "s", "y", "right", drop_intermediate=drop).first().auc
         assert abs(got - want) < 1e-12, (drop, got, want)
     fpr, tpr = _sk_roc(y, s, True)
-    pts = evaluate.roc_points(df, "s", "y", buckets=5, drop_intermediate=True).collect()
+    pts = evaluate.roc_points(df, "s", "y", drop_intermediate=True).collect()
     assert len(pts) == len(fpr)
     summ = evaluate.curve_summary(spark.createDataFrame(pts)).first()
     assert abs(summ.mean_tpr - tpr.mean()) < 1e-12

@@ -47,12 +47,15 @@ def test_oof_scores_every_row_once(spark):
     assert all(0.0 <= r.prob1 <= 1.0 and abs(r.prob0 + r.prob1 - 1) < 1e-9 for r in rows)
 
 
-def test_build_features_top_n(spark):
-    df = spark.createDataFrame([(i, str(i % 7)) for i in range(70)], "k int, c string")
-    out, model = feat.build_features(df, ColumnRoles(key="k", categorical=("c",)), top_n=3,
-                                     handle_invalid="error")
-    width = len(out.select(vector_to_array("features").alias("v")).first().v)
-    assert width == 3          # 3 kept levels + 'other', minus the dropped last level
+def test_rarest_level_is_all_zero_as_reported(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "b"), (6, "c"), (7, None),
+                                (8, None), (9, None), (10, None)], "k int, c string")
+    out, _ = feat.build_features(df, ColumnRoles(key="k", categorical=("c",)))
+    got = {r.k: list(r.v) for r in out.select("k", vector_to_array("features").alias("v")).collect()}
+    assert got[6] == [0, 0, 0] and got[7] == [1, 0, 0] and got[1] == [0, 1, 0] and got[4] == [0, 0, 1]
+    levels = {r.level: r.all_zero for r in feat.one_hot_levels(
+        df.fillna(feat.NULL_LEVEL, ["c"]), "c").collect()}
+    assert levels == {"NaN": 0, "a": 0, "b": 0, "c": 1}
 
 
 def _toy(spark, n=600):

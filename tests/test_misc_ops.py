@@ -1,16 +1,10 @@
 from pyspark.sql import functions as F
 
-from parcelrisk.operators import clean, features, profile, reshape, schema
+from parcelrisk.operators import clean, profile, reshape, schema
 from parcelrisk.session import scratch_dir
 from parcelrisk.sources import list_files, read_table, synthetic_binary, write_run
 
 
-def test_cap_levels_keeps_top_n_and_null(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("c",), (None,)], "c string")
-    got = sorted((r.c or "") for r in features.cap_levels(df, ["c"], 2).collect())
-    assert got == ["", "__other__", "a", "a", "b", "b"]
-
-
 def test_describe_approx_close_to_exact(spark):
     df = spark.range(1001).select(F.col("id").cast("double").alias("x"))
     a = profile.describe_by(df, "x", approx=True).first()
@@ -40,6 +34,15 @@ def test_sort_nulls_last_and_row_at(spark):
     assert clean.row_at(df, ["k"], 9).count() == 0
 
 
+def test_row_at_is_one_row_among_ties_and_repeats(spark):
+    rows = [(None, 1), ("a", 2), ("a", 3), ("a", 3), (None, 1), ("b", 9)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = [clean.row_at(df, ["g"], n).collect() for n in range(7)]
+    assert [len(r) for r in got] == [1] * 6 + [0]
+    assert sorted(map(str, [tuple(r[0]) for r in got[:6]])) == sorted(map(str, rows))
+    assert [r[0].g for r in got[:6]] == ["a", "a", "a", "b", None, None]
+
+
 def test_record_profile(spark):
     df = spark.createDataFrame([(7, "x", 2.5)], "k int, s string, v double")
     got = {(r.column_name, r.value) for r in reshape.record_profile(df, "k").collect()}
@@ -67,30 +70,3 @@ def test_write_run_and_list_files(spark):
     assert list_files(spark, path, "*.parquet").count() >= 1
     vals = {r.a for r in df.collect()}
     assert vals <= {0, 1}
-
-
-def test_release_drops_only_the_operators_intermediates(spark):
-    from pyspark.sql import functions as F
-
-    from parcelrisk.operators.cache import _KEPT, release_intermediates
-    from parcelrisk.operators.ranking import exact_quantiles
-    release_intermediates()
-    mine = spark.range(100).withColumn("x", F.col("id") * 2.0).cache()
-    mine.count()
-    q = exact_quantiles(mine, "x", [0.5])
-    kept = list(_KEPT)
-    assert kept and all(d.is_cached for d in kept)
-    before = q.first().q50
-    assert release_intermediates() == len(kept)
-    assert not any(d.is_cached for d in kept) and mine.is_cached
-    assert q.first().q50 == before == 99.0            # recomputed from the source
-    mine.unpersist()
-
-
-def test_bounded_broadcast_checks_rows_and_bytes(spark):
-    from parcelrisk.operators.broadcast import bounded_broadcast
-    small = spark.range(10).selectExpr("id", "repeat('x', 1000) AS pad")
-    assert bounded_broadcast(small) is not small                    # 10 rows, ~10 kB: local
-    assert bounded_broadcast(small, max_rows=5) is small            # too many rows
-    assert bounded_broadcast(small, max_bytes=4096) is small        # too many bytes
-    assert bounded_broadcast(small).count() == 10

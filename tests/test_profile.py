@@ -57,7 +57,7 @@ def test_exact_quantiles_match_numpy_with_groups_and_ties(spark, seed):
     x = np.round(rng.gamma(2.0, 3.0, 3000), 1)   # many ties
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, x)], "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r.g: r for r in exact_quantiles(df, "x", probs, ["g"], buckets=16).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
     for k in range(3):
         want = np.quantile(x[g == k], probs)
         have = [got[k][f"q{int(round(p * 100))}"] for p in probs]
@@ -69,15 +69,29 @@ def test_prefix_sums_equal_a_global_running_sum(spark):
     vals = rng.permutation(2000).astype(float)
     w = rng.integers(0, 5, 2000)
     df = spark.createDataFrame([(float(v), int(c)) for v, c in zip(vals, w)], "v double, w long")
-    out = prefix_sums(df, "v", ["w"], descending=True, buckets=13).orderBy("v").collect()
+    out = prefix_sums(df, "v", ["w"], descending=True).orderBy("v").collect()
     order = np.argsort(-vals)
     cum = dict(zip(vals[order], np.cumsum(w[order])))
     assert all(r._cum_w == cum[r.v] and r._tot_w == w.sum() for r in out)
     assert not math.isnan(out[0].v)
 
 
-def test_prefix_sums_many_buckets_for_large_input(spark):
+def test_prefix_sums_use_many_ranges(spark):
     df = spark.range(3000).select(F.col("id").cast("double").alias("v"), F.lit(1).alias("w"))
-    out = prefix_sums(df, "v", ["w"], buckets=2, rows_per_bucket=100)
-    assert out.select("_pr_bucket").distinct().count() >= 25
+    out = prefix_sums(df, "v", ["w"])
     assert all(r._cum_w == int(r.v) + 1 for r in out.collect())
+
+
+def test_null_groups_nan_and_empty(spark):
+    rows = [("a", 1.0), ("a", float("nan")), ("a", None), (None, 5.0), (None, 7.0), ("b", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    d = {r.g: r for r in profile.describe_by(df, "x", ["g"]).collect()}
+    assert (d["a"].n, d["a"].mean, d["a"].std, d["a"].q50) == (1, 1.0, None, 1.0)
+    assert (d[None].n, d[None].q50, d[None].max) == (2, 6.0, 7.0)
+    assert (d["b"].n, d["b"].mean, d["b"].q50) == (0, None, None)
+    assert {r.g for r in profile.box_stats(df, "x", ["g"]).collect()} == {"a", "b", None}
+    empty = df.limit(0)
+    assert profile.describe_by(empty, "x").first().n == 0
+    assert profile.distinct_count(empty, "x").first()[0] == 0
+    assert [r["count"] for r in profile.histogram(empty, "x", 3).collect()] == [0, 0, 0]
+    assert profile.distinct_count(df, "x").first()[0] == 4

@@ -27,7 +27,7 @@ def test_membership_with_hot_key(spark):
 def test_quantiles_and_curve_with_hot_group(spark):
     df = skewed(spark).withColumn("g", (F.col("k") == 0).cast("int"))
     pdf = df.select("g", "x").toPandas()
-    got = {r.g: r for r in exact_quantiles(df, "x", [0.1, 0.5, 0.9], ["g"], buckets=8).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "x", [0.1, 0.5, 0.9], ["g"]).collect()}
     for g in (0, 1):
         want = np.quantile(pdf.x[pdf.g == g], [0.1, 0.5, 0.9])
         assert np.allclose([got[g].q10, got[g].q50, got[g].q90], want, atol=1e-12)
@@ -59,22 +59,22 @@ def test_one_hot_levels_with_a_hot_count(spark):
 
 def test_row_at_far_from_the_head(spark):
     df = skewed(spark, 5000).repartition(4)
-    near = clean.row_at(df, ["k", "id"], 4321).first()
-    far = clean.row_at(df, ["k", "id"], 4321, head_rows=0).first()
+    far = clean.row_at(df, ["k", "id"], 4321).first()
     pdf = df.toPandas().sort_values(["k", "id"]).reset_index(drop=True)
-    assert near.id == far.id == pdf.id[4321]
-    assert clean.row_at(df, ["k", "id"], 5000, head_rows=0).count() == 0
+    assert far.id == pdf.id[4321]
+    assert clean.row_at(df, ["k", "id"], 5000).count() == 0
 
 
-def test_prefix_sums_from_sampled_splits_are_exact(spark):
+def test_prefix_sums_over_skewed_groups_are_exact(spark):
     from parcelrisk.operators.ranking import prefix_sums
-    # distinct values per group with weights; splits from a small sample
     df = skewed(spark, 12000).groupBy("k", "x").agg(F.count(F.lit(1)).alias("w"))
-    out = prefix_sums(df, "x", ["w"], ["k"], descending=True, buckets=4,
-                      rows_per_bucket=500, samples_per_bucket=3).toPandas()
+    out = prefix_sums(df, "x", ["w"], ["k"], descending=True,
+                      next_of=["w"]).toPandas()
     pdf = df.toPandas().sort_values(["k", "x"], ascending=[True, False])
     pdf["cum"] = pdf.groupby("k").w.cumsum()
     m = out.merge(pdf, on=["k", "x"])
     assert len(m) == len(pdf) == len(out)
     assert (m._cum_w == m.cum).all()
+    after = m.sort_values(["k", "x"], ascending=[True, False]).groupby("k").w_x.shift(-1)
+    assert (m._next_w.fillna(-1) == after.reindex(m.index).fillna(-1)).all()
     assert (m._tot_w == m.groupby("k").w_x.transform("sum")).all()
