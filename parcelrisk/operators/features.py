@@ -8,6 +8,7 @@ deviation, and the fitted model is applied row by row in the JVM.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -83,6 +84,15 @@ def prepare(df: DataFrame, roles: ColumnRoles, fill_numeric: float | None = None
     return df.withColumns(cast)
 
 
+def _without_constants(df: DataFrame, roles: ColumnRoles) -> ColumnRoles:
+    """The roles without categoricals of one level: that level is the rarest,
+    so it has no slot, and the encoder rejects such a column."""
+    if not roles.categorical:
+        return roles
+    ends = df.agg(*[F.min(c).eqNullSafe(F.max(c)).alias(c) for c in roles.categorical]).first()
+    return replace(roles, categorical=tuple(c for c in roles.categorical if not ends[c]))
+
+
 def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
                    keep_raw: bool = False, fit_on: DataFrame | None = None,
                    handle_invalid: str = "error", persist: bool = True,
@@ -101,8 +111,9 @@ def build_features(df: DataFrame, roles: ColumnRoles, out: str = "features",
     prepared = prepare(df.select(*dict.fromkeys(named)), roles, fill_numeric)
     if persist:
         prepared = spread_for_fitting(prepared)
-    model = feature_pipeline(roles, out, keep_raw, handle_invalid) \
-        .fit(prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared)
+    train = prepare(fit_on, roles, fill_numeric) if fit_on is not None else prepared
+    fitted = roles if handle_invalid == "keep" else _without_constants(train, roles)
+    model = feature_pipeline(fitted, out, keep_raw, handle_invalid).fit(train)
     keep = [roles.key, *roles.identity, *roles.passthrough]
     keep += [c for c in (roles.label, roles.fold) if c]
     return model.transform(prepared).select(*dict.fromkeys(keep), out), model

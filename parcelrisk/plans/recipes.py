@@ -46,6 +46,7 @@ ENTITY_NUMERIC = ["LAT", "LON", "LOTSQFT", "APPRLNDVAL", "APPR_IMPR", "TAX_LNDVA
                   "Shape_Length", "Shape_Area", "value_per_area", "improvement_over_land"]
 ENTITY_CATEGORICAL = ["KCTP_STATE", "SITETYPE", "LEVYCODE", "NEW_CONSTR", "TAXVAL_RSN", "QTS",
                       "SEC", "TWP", "RNG", "KCA_ZONING", "PROPTYPE", "PREUSE_DESC"]
+ENTITY_UNSCALED = ["KCA_ACRES"]
 ENTITY_IDENTITY = ["MAJOR", "MINOR", "ADDR_FULL"]
 
 ATTRIBUTE_DROPPED = ["Major", "Minor", "PropName", "PlatName", "PlatLot", "PlatBlock", "PropType",
@@ -60,9 +61,9 @@ ATTRIBUTE_BINARY = ["AdjacentGolfFairway", "AdjacentGreenbelt", "HistoricSite",
                     "SteepSlopeHazard", "Stream", "Wetland", "SpeciesOfConcern",
                     "SensitiveAreaTract", "WaterProblems", "OtherProblems",
                     "WfntProximityInfluence", "PowerLines", "OtherNuisances"]
-ATTRIBUTE_NUMERIC = ["PcntUnusable", "WfntFootage"]
+ATTRIBUTE_NUMERIC = ["PcntUnusable", "WfntFootage", "SqFtLot"]
 ATTRIBUTE_CATEGORICAL = ["Range", "Township", "Section", "QuarterSection", "Area", "SubArea",
-                         "LevyCode", "CurrentZoning", "PresentUse", "SqFtLot", "WaterSystem",
+                         "LevyCode", "CurrentZoning", "PresentUse", "WaterSystem",
                          "SewerSystem", "Access", "Topography", "StreetSurface",
                          "InadequateParking", "MtRainier", "Olympics", "Cascades", "Territorial",
                          "SeattleSkyline", "PugetSound", "LakeWashington", "SmallLakeRiverCreek",
@@ -124,17 +125,46 @@ def attribute_table(parcels: DataFrame, city: str = CITY) -> DataFrame:
     return flag_columns(p, [c for c in ATTRIBUTE_BINARY if c in p.columns])
 
 
-def _joined(entities: DataFrame, attributes: DataFrame) -> tuple[DataFrame, ColumnRoles]:
+ATTRIBUTE_PREFIX = "attr_"      # some attribute names differ from entity names only in case
+
+
+def feature_table(entities: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Entities with their attributes, joined on PIN; attribute columns carry
+    ``ATTRIBUTE_PREFIX``."""
     e = entities.withColumn("PIN", F.col("PIN").cast("string"))
-    a = attributes.withColumn("PIN", F.col("PIN").cast("string"))
-    j = e.join(a, on="PIN", how="inner")
-    roles = ColumnRoles(
+    a = attributes.select(
+        F.col("PIN").cast("string").alias("PIN"),
+        *[F.col(c).alias(ATTRIBUTE_PREFIX + c) for c in attributes.columns if c != "PIN"])
+    return e.join(a, on="PIN", how="inner")
+
+
+def feature_roles(table: DataFrame) -> ColumnRoles:
+    """The roles of the columns of ``feature_table``.  Attribute columns
+    without a role of their own that hold numbers enter the vector unscaled,
+    like the flags."""
+    def attr(names):
+        return [ATTRIBUTE_PREFIX + c for c in names]
+
+    def there(names):
+        return tuple(c for c in names if c in table.columns)
+
+    numeric = there(ENTITY_NUMERIC + ["improvement_over_total"] + attr(ATTRIBUTE_NUMERIC))
+    categorical = there(ENTITY_CATEGORICAL + attr(ATTRIBUTE_CATEGORICAL))
+    flags = there(attr(ATTRIBUTE_BINARY + ["Unbuildable"]))
+    kinds = dict(table.dtypes)
+    rest = [c for c in table.columns if c.startswith(ATTRIBUTE_PREFIX)
+            and c not in {*numeric, *categorical, *flags}
+            and kinds[c].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float",
+                                           "double", "decimal", "boolean")]
+    return ColumnRoles(
         key="PIN", identity=tuple(ENTITY_IDENTITY), label="TARGET", fold="fold",
-        numeric=tuple(c for c in ENTITY_NUMERIC + ["improvement_over_total"] + ATTRIBUTE_NUMERIC
-                      if c in j.columns),
-        categorical=tuple(c for c in ENTITY_CATEGORICAL + ATTRIBUTE_CATEGORICAL if c in j.columns),
-        binary=tuple(c for c in ATTRIBUTE_BINARY + ["Unbuildable"] if c in j.columns))
-    return j, roles
+        numeric=numeric, categorical=categorical,
+        binary=(*there(ENTITY_UNSCALED), *flags, *rest))
+
+
+def _joined(entities: DataFrame, attributes: DataFrame) -> tuple[DataFrame, ColumnRoles]:
+    j = feature_table(entities, attributes)
+    return j, feature_roles(j)
 
 
 def labelled_features(entities: DataFrame, attributes: DataFrame, k: int = 10, seed: int = 0,

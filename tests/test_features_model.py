@@ -119,12 +119,9 @@ def test_oof_never_sees_the_labels_of_the_scored_fold(spark):
     assert pick(a) == pick(b) and len(pick(a)) == len(fold0)
 
 
-def test_spread_for_fitting_only_spreads_narrow_tables(spark):
+def test_spread_for_fitting_spreads_only_few_partitions(spark):
     dp = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 200_000, numPartitions=1)
-    spread = feat.spread_for_fitting(one, min_rows_per_partition=50_000)
-    assert spread.rdd.getNumPartitions() == min(dp, 4) and spread.count() == 200_000
-    wide = spark.range(0, 200_000, numPartitions=dp)
-    assert feat.spread_for_fitting(wide).rdd.getNumPartitions() == dp     # left as it is
-    small = spark.range(0, 1000, numPartitions=1)
-    assert feat.spread_for_fitting(small).rdd.getNumPartitions() == 1     # too small to split
+    one = feat.spread_for_fitting(spark.range(0, 1000, numPartitions=1))
+    assert one.rdd.getNumPartitions() == dp and one.count() == 1000
+    many = feat.spread_for_fitting(spark.range(0, 1000, numPartitions=dp + 3))
+    assert many.rdd.getNumPartitions() == dp + 3

@@ -31,7 +31,14 @@ def parcel_table(spark, n=60):
             "PcntUnusable": (c % 3).cast("double"), "WfntFootage": F.lit(0.0),
             "CurrentZoning": F.when(c % 2 == 0, "SF").otherwise("MR"),
             "Stream": F.when(c % 6 == 0, "Y").otherwise("N"),
-            "OtherProblems": F.when(c % 5 == 0, "Y").otherwise("N")}
+            "OtherProblems": F.when(c % 5 == 0, "Y").otherwise("N"),
+            "SqFtLot": 4000.0 + c, "LakeSammamish": (c % 4).cast("int"),
+            "AirportNoise": (c % 2).cast("int"), "LevyCode": F.when(c % 10 != 0, (c % 3).cast("string"))}
+    cols |= {n: F.lit("x") for n in recipes.ATTRIBUTE_DROPPED if n not in cols}
+    cols |= {n: F.when(c % (3 + i % 5) == 0, "Y").otherwise("N")
+             for i, n in enumerate(recipes.ATTRIBUTE_BINARY) if n not in cols}
+    cols |= {n: (c % (1 + i % 6)).cast("string")
+             for i, n in enumerate(recipes.ATTRIBUTE_CATEGORICAL) if n not in cols}
     return spark.range(n).select(*[(v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in cols.items()])
 
 
@@ -83,3 +90,19 @@ def test_score_entities_fit_on_training_folds(spark):
     att = recipes.attribute_table(parcel_table(spark))
     out = recipes.score_entities(ent, att, k=3, parallelism=2, fit_scope="train").collect()
     assert len({r.PIN for r in out}) == len(out) == 58
+
+
+def test_full_column_sets_make_one_vector(spark):
+    """Every documented column of both extracts, two of which differ only in case."""
+    ent = recipes.entity_table(gis_table(spark), recipes.pending_permits(permit_table(spark)))
+    att = recipes.attribute_table(parcel_table(spark))
+    assert {"LEVYCODE"} <= set(ent.columns) and {"LevyCode", "SqFtLot"} <= set(att.columns)
+    j = recipes.feature_table(ent, att)
+    roles = recipes.feature_roles(j)
+    assert "attr_SqFtLot" in roles.numeric and "attr_SqFtLot" not in roles.categorical
+    assert {"KCA_ACRES", "attr_LakeSammamish", "attr_AirportNoise", "attr_Unbuildable"} <= set(roles.binary)
+    assert {"LEVYCODE", "attr_LevyCode"} <= set(roles.categorical)
+    out = recipes.labelled_features(ent, att, k=3)
+    sizes = {len(r.all_features) for r in out.collect()}
+    levels = sum(j.select(c).na.fill("NaN").distinct().count() - 1 for c in roles.categorical)
+    assert sizes == {len(roles.numeric) + levels + len(roles.binary)}
