@@ -143,3 +143,24 @@ def q_walk_forward(spark, sf):
                             LogisticRegression(featuresCol="features", labelCol="closed")])
     return model.walk_forward_score(feat.prepare(o, roles), "features", "closed", "year",
                                     estimator=pipe, keep=["o_orderkey"])
+
+
+# What every score table keeps, whatever the learner; see catalog_features.
+_SPLIT = ("CAST(('0x' || substr(md5(concat({k}, '#{s}')), 1, 8)) AS BIGINT) % 10000 >= 7000")
+QUERIES_WITH_SCORES = {
+    "oof_forest": {"group": ["fold"], "key": ["c_custkey"], "sql": """
+SELECT CAST(CAST(('0x' || substr(md5(concat(c_custkey, '#42')), 1, 8)) AS BIGINT) % 10 AS INTEGER) AS fold,
+       count(*) AS n_rows, count(DISTINCT c_custkey) AS n_keys, CAST(0 AS BIGINT) AS n_bad_sums, CAST(0 AS BIGINT) AS n_bad_predictions
+FROM customer GROUP BY 1"""},
+    "holdout_logistic": {"group": [], "key": ["doc_id"], "sql": f"""
+SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_keys, CAST(0 AS BIGINT) AS n_bad_sums, CAST(0 AS BIGINT) AS n_bad_predictions
+FROM documents JOIN labels USING (doc_id) WHERE {_SPLIT.format(k="doc_id", s=7)}"""},
+    "holdout_forest": {"group": [], "key": ["l_orderkey", "l_linenumber"], "sql": f"""
+SELECT count(*) AS n_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, CAST(0 AS BIGINT) AS n_bad_sums,
+       CAST(0 AS BIGINT) AS n_bad_predictions FROM lineitem
+WHERE {_SPLIT.format(k="concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)", s=3)}"""},
+    "walk_forward": {"group": ["year"], "key": ["o_orderkey"], "sql": """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n_rows,
+       count(DISTINCT o_orderkey) AS n_keys, CAST(0 AS BIGINT) AS n_bad_sums, CAST(0 AS BIGINT) AS n_bad_predictions
+FROM orders WHERE year(o_orderdate) > (SELECT min(year(o_orderdate)) FROM orders) GROUP BY 1"""},
+}
