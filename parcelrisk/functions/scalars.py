@@ -88,18 +88,9 @@ def epoch_seconds(c, ntz: bool = True) -> Column:
         return F.unix_micros(col.cast("timestamp")).cast("double") / F.lit(1_000_000.0)
     days = F.datediff(F.to_date(col), F.lit("1970-01-01").cast("date")).cast("double")
     return days * F.lit(86400.0) + F.hour(col) * F.lit(3600.0) + F.minute(col) * F.lit(60.0) \
-        + F.second(col).cast("double")
+        + F.date_part(F.lit("SECOND"), col).cast("double")
 
 
 def run_stamp() -> Column:
     """Run stamp ``yyyyMMdd-HHmmss`` of the query start time."""
     return F.date_format(F.current_timestamp(), "yyyyMMdd-HHmmss")
-
-
-def table_name(path_col, prefix: str = "EXTR_") -> Column:
-    """File path -> table name: base name, prefix removed, cut at the first
-    dot, lower case.  A name without the prefix keeps its full stem."""
-    base = F.regexp_extract(_c(path_col), r"([^/]+)$", 1)
-    stripped = F.when(base.startswith(prefix), F.substring(base, len(prefix) + 1, 1 << 30)) \
-                .otherwise(base)
-    return F.lower(F.split(stripped, r"\.").getItem(0))

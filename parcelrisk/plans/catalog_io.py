@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parcelrisk.functions.scalars import run_stamp
+from parcelrisk.functions.scalars import epoch_seconds, run_stamp
 from parcelrisk.operators.clean import union_all
 from parcelrisk.plans.catalog import LABELS_SQL, SCORED_SQL, _w, pending, scored
 from parcelrisk.plans.registry import query, t
@@ -48,21 +48,36 @@ def q_zip_scan(spark, sf):
 
 
 @query("register_tables", """
-SELECT 'customer' AS table_name, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'orders', count(*) FROM orders""")
+SELECT 'EXTR_Customer.csv' AS entry, 'customer' AS table_name, 'created' AS status,
+       count(*) AS n_rows FROM customer
+UNION ALL SELECT 'EXTR_Orders.csv', 'orders', 'created', count(*) FROM orders
+UNION ALL SELECT 'EXTR_Nation.csv', 'nation', 'failed', 0
+UNION ALL SELECT 'customer.csv', 'customer', 'clash', 0""")
 def q_register_tables(spark, sf):
-    """Extract-style files (EXTR_Customer.csv, EXTR_Orders.csv) registered
-    as one catalog table each in a fresh database; rows per table."""
+    """Extract-style files registered as one catalog table each in a fresh
+    database, one of them broken and one of a name already taken: status and
+    rows per entry."""
     base = scratch_dir(spark, "extracts")
     write_delimited(t(spark, sf, "customer"), f"{base}/files/EXTR_Customer.csv")
     write_delimited(t(spark, sf, "orders").withColumn("o_orderdate", F.to_date("o_orderdate")),
                     f"{base}/files/EXTR_Orders.csv")
+    # lacks columns of its schema, so it is reported and the others go on
+    write_delimited(t(spark, sf, "nation").select(F.lit(1).alias("odd")), f"{base}/files/EXTR_Nation.csv")
+    write_delimited(t(spark, sf, "customer").limit(1), f"{base}/files/customer.csv")
     db = f"pr_{uuid.uuid4().hex[:10]}"
     spark.sql(f"CREATE DATABASE {db} LOCATION '{base}/db'")
-    status = register_directory(spark, f"{base}/files", glob="*.csv", database=db, infer=True)
-    names = [r["table_name"] for r in status.where(F.col("status") == "created").collect()]
-    return union_all([spark.table(f"{db}.{n}").agg(F.count(F.lit(1)).alias("n_rows"))
-                      .select(F.lit(n).alias("table_name"), "n_rows") for n in names])
+    status = register_directory(
+        spark, f"{base}/files", glob="*.csv", database=db,
+        schema={"customer": CUSTOMER_SCHEMA, "orders": ORDERS_CSV_SCHEMA, "nation": "n_name string"})
+    rows = status.collect()                                  # one row per entry
+    counts = union_all([
+        (spark.table(f"{db}.{r.table_name}") if r.status == "created" else spark.range(0))
+        .agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(r.entry).alias("entry"), F.lit(r.table_name).alias("table_name"),
+            F.lit(r.status.split(":")[0]).alias("status"), "n_rows") for r in rows])
+    counts = counts.checkpoint()
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    return counts
 
 
 @query("run_stamped_write", _w(SCORED_SQL, "SELECT * FROM scored"))
@@ -130,4 +145,60 @@ def q_label_refresh_bucketed(spark, sf):
         spark, sf, orders.schema, index, pending, "address", "c_name",
         "c_custkey", f"{base}/sink", f"{base}/checkpoint", glob="orders.parquet")
     q.awaitTermination()
+    spark.sql(f"DROP DATABASE {db} CASCADE")
     return spark.read.parquet(f"{base}/sink")
+
+
+@query("csv_reordered_header", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def q_csv_reordered_header(spark, sf):
+    """A file whose columns stand in another order than the schema's and
+    include one more: bound by header name."""
+    path = scratch_dir(spark, "csv") + "/customer.csv"
+    write_delimited(t(spark, sf, "customer").select("c_name", "c_nationkey", "c_acctbal", "c_custkey"), path)
+    return read_delimited(spark, path, schema="c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("csv_null_tokens", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 1 THEN o_custkey END AS o_custkey,
+       CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders""")
+def q_csv_null_tokens(spark, sf):
+    """The usual texts for a missing value, in text and in number columns."""
+    k = F.col("o_orderkey")
+    o = t(spark, sf, "orders").select(
+        "o_orderkey",
+        F.when(k % 4 == 0, "NA").when(k % 4 == 1, "#N/A N/A").otherwise(
+            F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(k % 3 == 0, "<NA>").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"))
+    path = scratch_dir(spark, "csv") + "/orders.csv"
+    write_delimited(o, path)
+    return read_delimited(spark, path, schema="o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+
+
+@query("csv_timestamps_by_position", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN epoch(o_orderdate) + 0.75 END AS seconds FROM orders""")
+def q_csv_timestamps_by_position(spark, sf):
+    """A date column given by position, with fractions of a second and some
+    values that are no dates."""
+    at = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss'.75'")
+    o = t(spark, sf, "orders").select("o_orderkey", F.when(
+        F.col("o_orderkey") % 5 == 0, "unknown").otherwise(at).alias("at"))
+    path = scratch_dir(spark, "csv") + "/orders.csv"
+    write_delimited(o, path)
+    back = read_delimited(spark, path, schema="o_orderkey bigint, at string", timestamp_cols=[1])
+    return back.select("o_orderkey", epoch_seconds(F.col("at").cast("timestamp_ntz")).alias("seconds"))
+
+
+@query("zip_latin1", """
+SELECT c_custkey, c_name || chr(233) || chr(223) AS name,
+       CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer""")
+def q_zip_latin1(spark, sf):
+    """Latin-1 text beyond ASCII through zipped CSV, columns in another order,
+    written twice: the second write replaces the first."""
+    c = t(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"),
+        F.concat("c_name", F.lit("\u00e9\u00df")).alias("name"), "c_custkey")
+    path = scratch_dir(spark, "zip")
+    write_zipped_delimited(c.repartition(4), path, encoding="ISO-8859-1").collect()
+    write_zipped_delimited(c.coalesce(1), path, encoding="ISO-8859-1", mode="overwrite").collect()
+    return read_zipped_delimited(spark, path, "c_custkey bigint, name string, segment string",
+                                 encoding="ISO-8859-1")

@@ -9,7 +9,6 @@ absent *and* the master is local (tests, laptop runs) do we create one under
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -72,12 +71,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
+    """A fresh, unique path below the shared checkpoint folder; Spark's writers
+    create it."""
     base = checkpoint_dir(spark)
-    path = f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("/") or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1), exist_ok=True)
-    return path
+    return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def recommended_conf(input_bytes: int, total_cores: int,

@@ -3,7 +3,6 @@ zipped CSV archives (one archive per partition, written by its task)."""
 
 from __future__ import annotations
 
-import csv
 import io
 import time
 import uuid
@@ -51,34 +50,36 @@ def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", pref
                        database: str | None = None, schema=None, schema_only: bool = False,
                        **read_opts) -> DataFrame:
     """Create one catalog table per top-level entry of ``path`` (a file, or
-    a folder of part files), named from the entry; an existing table is
-    left alone and reported (fail on exists, then continue).  With
-    ``schema_only`` the tables are created empty, with the columns (and
-    types) of the files, and no rows are loaded.  Returns (table_name,
-    status) rows."""
-    status = []
-    for entry, files in directory_entries(spark, path, glob):   # metadata only
+    a folder of part files), named from the entry.  Every entry is reported
+    and none stops the others: ``created``; ``exists`` (the table is left
+    alone); ``clash`` (another entry has made this table); ``failed: <error>``.
+    ``schema`` may be a dict by table name.  With ``schema_only`` the tables
+    are created empty, with the columns (and types) of the files.  Returns
+    (entry, table_name, status) rows."""
+    status, made = [], set()
+    for entry in directory_entries(spark, path, glob):          # one row per entry
         name = entry_table_name(entry, prefix)
         full = name if database is None else f"{database}.{name}"
+        if name in made:
+            status.append((entry, name, "clash"))
+            continue
         try:
-            src = read_delimited(spark, files, schema=schema, **read_opts)
+            own = schema.get(name) if isinstance(schema, dict) else schema
+            src = read_delimited(spark, f"{path.rstrip('/')}/{entry}", schema=own, glob=glob, **read_opts)
             (src.limit(0) if schema_only else src).write.mode("errorifexists").saveAsTable(full)
-            status.append((name, "created"))
-        except AnalysisException as e:
-            if "ALREADY_EXISTS" in str(e) or "already exists" in str(e):
-                status.append((name, "exists"))
-            else:
-                raise
-    return spark.createDataFrame(status, "table_name string, status string")
+            made.add(name)
+            status.append((entry, name, "created"))
+        except Exception as e:  # noqa: BLE001  (reported; the next entry goes on)
+            known = isinstance(e, AnalysisException) and (
+                "ALREADY_EXISTS" in str(e) or "already exists" in str(e))
+            status.append((entry, name, "exists" if known else f"failed: {type(e).__name__}"))
+    return spark.createDataFrame(status, "entry string, table_name string, status string")
 
 
 def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
     import pandas as pd
     from pyarrow import fs as pafs
 
-    def cells(rec):
-        return ["" if v is None or (isinstance(v, float) and v != v) else v for v in rec]
-
     def run(batches):
         batches = iter(batches)
         first = next((b for b in batches if len(b)), None)
@@ -88,22 +89,19 @@ def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
         # same archive (temp name, then rename) instead of adding a copy
         pid = TaskContext.get().partitionId()
         target = f"{out_dir}/part-{pid:05d}.zip"
-        uri = target if "://" in target else "file://" + target
-        filesystem, final = pafs.FileSystem.from_uri(uri)
+        filesystem, final = pafs.FileSystem.from_uri(target)
         tmp = f"{final}.{uuid.uuid4().hex}.tmp"
         filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
         n = 0
-        # rows stream batch by batch through the CSV writer into the deflated
-        # member on the output stream: memory holds one batch, not the partition
+        # batches stream through the CSV writer into the deflated member on the
+        # output stream: memory holds one batch, not the partition
         with filesystem.open_output_stream(tmp) as fh, \
                 zipfile.ZipFile(fh, "w", compression=zipfile.ZIP_DEFLATED) as zf, \
                 zf.open(member, "w", force_zip64=True) as raw:
             text = io.TextIOWrapper(raw, encoding=encoding, newline="")
-            w = csv.writer(text, lineterminator="\n")
-            w.writerow(names)
             for pdf in ([first], batches):
                 for b in pdf:
-                    w.writerows(cells(rec) for rec in b.itertuples(index=False, name=None))
+                    b.to_csv(text, index=False, header=names if n == 0 else False, lineterminator="\n")
                     n += len(b)
             text.flush()
             text.detach()
@@ -112,11 +110,35 @@ def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
     return run
 
 
+def _target_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI; a path without a scheme is a local folder, which only
+    a local master shares with its tasks."""
+    if "://" in path:
+        return path
+    if path.startswith("file:/"):
+        return "file://" + path[len("file:"):]
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{path!r} names no file system that all executors share")
+    return "file://" + path
+
+
 def write_zipped_delimited(df: DataFrame, out_dir: str, member: str = "data.csv",
-                           encoding: str = "UTF-8") -> DataFrame:
+                           encoding: str = "UTF-8", mode: str = "errorifexists") -> DataFrame:
     """Write each partition as one zip archive holding one CSV member.
-    Returns a (path, rows) table; the write happens when it is evaluated."""
+    Returns a (path, rows) table; the write happens when it is evaluated.
+    ``mode``: "errorifexists", or "overwrite", which empties the folder now."""
+    from pyarrow import fs as pafs
+
+    if mode not in ("errorifexists", "overwrite"):
+        raise ValueError("mode must be 'errorifexists' or 'overwrite'")
+    uri = _target_uri(df.sparkSession, out_dir.rstrip("/"))
+    filesystem, folder = pafs.FileSystem.from_uri(uri)
+    there = filesystem.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+    if there and mode == "errorifexists":
+        raise FileExistsError(out_dir)
+    for info in there:
+        if info.base_name.endswith(".zip"):
+            filesystem.delete_file(info.path)
     names = df.columns
     text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    path = out_dir.replace("file:", "", 1) if out_dir.startswith("file:/") else out_dir
-    return text.mapInPandas(_zip_writer(path, member, names, encoding), "path string, rows long")
+    return text.mapInPandas(_zip_writer(uri, member, names, encoding), "path string, rows long")

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from parcelrisk.sources import entry_table_name
+
 from parcelrisk.functions import (
     bool_to_int, composite_key, flag, not_in_keep_null, numeric_key_to_string, safe_ratio,
-    table_name, zero_pad,
+    zero_pad,
 )
 
 
@@ -44,9 +46,9 @@ def test_numeric_key_to_string(spark):
     assert col(df, numeric_key_to_string("k")) == ["7732500"]
 
 
-def test_table_name(spark):
-    df = spark.createDataFrame([("/d/EXTR_ValueHistory_V.csv",), ("file:/x/Other.tar.csv",)], "p string")
-    assert col(df, table_name("p")) == ["valuehistory_v", "other"]
+def test_entry_table_name():
+    assert [entry_table_name(x) for x in ("EXTR_ValueHistory_V.csv", "Other.tar.csv")] == [
+        "valuehistory_v", "other"]
 
 
 def test_round_half_even(spark):

@@ -1,12 +1,12 @@
-import os
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelrisk.plans import recipes
 from parcelrisk.session import scratch_dir
 from parcelrisk.sources import (
-    read_delimited, read_directory, read_zipped_delimited, register_directory, write_delimited,
+    read_delimited, read_directory, read_zipped_delimited, register_directory, write_delimited, write_zipped_delimited,
 )
 
 
@@ -36,8 +36,8 @@ def test_register_directory_fails_then_reports(spark):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS regtest LOCATION '{base}/db'")
     first = register_directory(spark, base, database="regtest", infer=True).collect()
     second = register_directory(spark, base, database="regtest", infer=True).collect()
-    assert [tuple(r) for r in first] == [("thing", "created")]
-    assert [tuple(r) for r in second] == [("thing", "exists")]
+    assert [tuple(r) for r in first] == [("EXTR_Thing.csv", "thing", "created")]
+    assert [tuple(r) for r in second] == [("EXTR_Thing.csv", "thing", "exists")]
     assert set(read_directory(spark, base)) == {"thing"}
 
 
@@ -75,6 +75,36 @@ def test_register_schema_only(spark):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS regempty LOCATION '{base}/db'")
     st = register_directory(spark, base, database="regempty", schema="k int, v string",
                             schema_only=True).collect()
-    assert [tuple(r) for r in st] == [("empty", "created")]
+    assert [tuple(r) for r in st] == [("EXTR_Empty.csv", "empty", "created")]
     t = spark.table("regempty.empty")
     assert t.count() == 0 and t.dtypes == [("k", "int"), ("v", "string")]
+
+
+def test_columns_are_bound_by_header_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("b,a,c\nx,1,9\n")
+    got = read_delimited(spark, str(tmp_path / "x.csv"), schema="a int, b string").collect()
+    assert [tuple(r) for r in got] == [(1, "x")]
+    with pytest.raises(ValueError):
+        read_delimited(spark, str(tmp_path / "x.csv"), schema="a int, zz string")
+    (tmp_path / "y.csv").write_text("a,b\n1,x\nnope,y\n")
+    with pytest.raises(Exception):
+        read_delimited(spark, str(tmp_path / "y.csv"), schema="a int, b string").collect()
+    loose = read_delimited(spark, str(tmp_path / "y.csv"), schema="a int, b string", strict=False)
+    assert sorted(tuple(r) for r in loose.collect() if r.a is None) == [(None, "y")]
+
+
+def test_zip_members_pattern_names_and_modes(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as zf:
+        zf.writestr("readme.txt", "this, is\nno table")
+        zf.writestr("d/a.csv", "txt,id,more\nx,1,q\n")
+    got = read_zipped_delimited(spark, str(tmp_path), "id int, txt string").collect()
+    assert [tuple(r) for r in got] == [(1, "x")]
+    with pytest.raises(Exception):
+        read_zipped_delimited(spark, str(tmp_path), "id int, zz string").collect()
+    out = f"{tmp_path}/out"
+    df = spark.createDataFrame([(i, "" if i % 2 else None) for i in range(40)], "k int, v string")
+    write_zipped_delimited(df.repartition(4), out).collect()
+    with pytest.raises(FileExistsError):
+        write_zipped_delimited(df, out)
+    write_zipped_delimited(df.limit(10).coalesce(1), out, mode="overwrite").collect()
+    assert read_zipped_delimited(spark, out, "k int, v string").count() == 10
