@@ -47,8 +47,11 @@ def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                        F.posexplode(_lines(col(text_col))).alias("place", "line"))
     rows = rows.withColumn("key", line_key(F.col("line"))).filter(
         F.length("key") >= min_chars)
-    rows = rows.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"),
-                       "doc", "version", "place")
+    # written before it is dealt: sampling the range bounds then reads hashes,
+    # not the texts again
+    rows = written(rows.select(F.xxhash64("key").alias("h1"),
+                               F.xxhash64(F.lit(1), "key").alias("h2"),
+                               "doc", "version", "place"), "line-hashes")
     # the window needs no exchange of its own: ranges of (h1, h2, doc) cluster it
     stream = Window.partitionBy("h1", "h2", "doc").orderBy("version", "place")
     marked = written(
