@@ -20,7 +20,10 @@ gives empty files that read back as no rows.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,64 @@ _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
 
 
+# The pre-tokenizer pattern that ``_PIECE`` follows, and the kinds
+# of steps it goes with.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PRE_TOKENIZERS = ["Split", "ByteLevel"]
+#: Words of these characters only: ASCII, and Latin-1 letters in both cases.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: The pattern for such words in lower case.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others
+#: for the code points from 256 on.
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class _Store:
+    """Ids of texts seen lately, one after the other in one array."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.int64)
+
+    def places(self, texts: list[str], encode) -> np.ndarray:
+        """Where the texts stand; the different ones that are new are encoded."""
+        at = np.fromiter(map(self.index.get, texts, repeat(-1)), np.int64, len(texts))
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            absent = [texts[i] for i in miss.tolist()]
+            new = list(dict.fromkeys(absent))
+            self._add(new, *encode(new))
+            at[miss] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
+        return at
+
+    def _add(self, texts: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        self.index.update(zip(texts, range(len(self.index), len(self.index) + len(texts))))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the texts at these places."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return sizes, self.ids[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)]
+
+
 class WordTokenizer:
-    """A tokenizer file, applied word by word."""
+    """A tokenizer file, applied word by word.
+
+    Ids of words are kept from batch to batch.  Where the file's steps are the
+    ones known here, a plain word is cut into its pre-tokens first: these are
+    encoded independently, and far fewer of them differ."""
+
+    WORDS, PIECES = 250_000, 600_000          # so many are kept
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -49,35 +108,80 @@ class WordTokenizer:
         self.mark = delimiter[:2]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = "<u2" if size <= 1 << 16 else "<u4"
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [(spec.get(k) or {}).get(v, []) for k, v in (
+            ("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.known = [[x["type"] for x in s] for s in steps] == [_NORMALIZERS, _PRE_TOKENIZERS] \
+            and steps[1][0]["pattern"] == {"Regex": _PATTERN}
+        self.words, self.pieces = _Store(), _Store()
+
+    def _encode(self, texts: list[str], group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids): the ids of each text, one after the other.
 
-    def encode_words(self, words: list[str], group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids): the ids of each word, one after the other.
-
-        Many words are encoded at once, parted by a special token, which
-        tokenizers cut out before anything else; words that might hold one
-        are encoded by themselves."""
-        odd = [i for i, w in enumerate(words) if self.mark in w]
-        plain = words if not odd else [w for w in words if self.mark not in w]
-        lengths, ids = [], []
-        for s in range(0, len(plain), group):
-            part = plain[s:s + group]
+        Many are encoded at once, parted by a special token, which tokenizers
+        cut out before anything else; texts that might hold one are encoded
+        by themselves."""
+        lengths, ids, run = [], [], []
+
+        def close():
             got = np.array(self.tokenizer.encode(
-                self.delimiter.join(part), add_special_tokens=False).ids, np.int64)
+                self.delimiter.join(run), add_special_tokens=False).ids, np.int64)
             cut = np.flatnonzero(got == self.delimiter_id)
-            bounds = np.r_[-1, cut, len(got)]
-            lengths.append(np.diff(bounds) - 1)
+            lengths.append(np.diff(np.r_[-1, cut, len(got)]) - 1)
             ids.append(np.delete(got, cut))
-        n = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        if not odd:
-            return n, flat
-        # put the odd words back into their places
-        own = {i: self.tokenizer.encode(words[i], add_special_tokens=False).ids for i in odd}
-        parts = np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
-        rest = iter(parts)
-        each = [np.array(own[i], np.int64) if i in own else next(rest)
-                for i in range(len(words))]
-        return np.array([len(x) for x in each]), np.concatenate(each)
+            run.clear()
+
+        for t in texts:
+            odd = self.mark in t
+            if run and (odd or len(run) == group):
+                close()
+            if odd:
+                got = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int64)
+                lengths.append(np.array([len(got)]))
+                ids.append(got)
+            else:
+                run.append(t)
+        if run:
+            close()
+        if not lengths:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate(lengths), np.concatenate(ids)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``, by the file's model alone: plain pieces are in lower
+        case and one pre-token each, so only the byte alphabet is left to do."""
+        plain = [i for i, p in enumerate(pieces) if _PLAIN(p) and self.mark not in p]
+        rest = [p for p in pieces if not (_PLAIN(p) and self.mark not in p)]
+        tokenize = self.tokenizer.model.tokenize
+        got = [[t.id for t in tokenize(
+            p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]
+            for p in (pieces[i] for i in plain)]
+        if not rest:
+            return np.fromiter(map(len, got), np.int64, len(got)), \
+                np.fromiter(chain.from_iterable(got), np.int64)
+        sizes, ids = self._encode(rest)
+        other = iter(np.split(ids, np.cumsum(sizes)[:-1]))
+        of = dict(zip(plain, got))
+        each = [of[i] if i in of else next(other).tolist() for i in range(len(pieces))]
+        return np.fromiter(map(len, each), np.int64, len(each)), \
+            np.fromiter(chain.from_iterable(each), np.int64)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.known:
+            return self._encode(words)
+        if len(self.pieces.index) > self.PIECES:
+            self.pieces = _Store()
+        cut = [_PIECE(w.lower()) if _PLAIN(w) and self.mark not in w else [w] for w in words]
+        sizes, ids = self.pieces.take(
+            self.pieces.places(list(chain.from_iterable(cut)), self._encode_pieces))
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        return np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, ends]]), ids
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of words, one after the other."""
+        if len(self.words.index) > self.WORDS:
+            self.words = _Store()
+        return self.words.take(self.words.places(words, self._encode_words))
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -304,11 +408,12 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") ->
                               pa.binary())], schema.names)
 
     docs = blocks.mapInArrow(decode, schema)
-    # one row per written part: the ids of all parts before it
+    # one row per written part: the ids of all parts before it.  A part is a
+    # partition of the write, so spark.sql.shuffle.partitions bounds their number
     size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
     totals = blocks.select("part", size.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")
                                     ).alias("before"))
-    return docs.join(before, "part").select(
+    return docs.join(F.broadcast(before), "part").select(
         F.col("id").alias(id_col), (F.col("before") + F.col("within")).alias("start"),
         "n_tokens", "ids")
