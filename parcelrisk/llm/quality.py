@@ -133,12 +133,19 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: its id, all measures, ``base_failed``, ``kept``."""
     df, m = _measured(docs.select(col(id_col), col(text_col)), text_col, stop_words or STOP_WORDS)
     base = passes(base_rules, m)
-    return df.select(col(id_col), *[col(v).alias(k) for k, v in m.items()],
-                     (~base).alias("base_failed"), (base & passes(rules, m)).alias("kept"))
+    # generated columns, so that a caller's filter stays above the measures
+    return df.select(col(id_col), F.inline(F.array(F.struct(
+        *[col(v).alias(k) for k, v in m.items()], (~base).alias("base_failed"),
+        (base & passes(rules, m)).alias("kept")))))
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", rules=RULES,
                    base_rules=BASE_RULES, stop_words=None) -> DataFrame:
     """The documents that pass all rules, with their own columns."""
     df, m = _measured(docs, text_col, stop_words or STOP_WORDS)
-    return df.filter(passes(base_rules, m) & passes(rules, m)).select(*map(col, docs.columns))
+    ok = fresh(docs, "__q_ok")
+    # a generated column: the filter cannot be pushed below it, which would
+    # write the measures' expressions out again for each of their uses
+    df = df.select(*map(col, docs.columns), F.explode(F.array(
+        passes(base_rules, m) & passes(rules, m))).alias(ok))
+    return df.filter(F.col(ok)).select(*map(col, docs.columns))
