@@ -28,3 +28,23 @@ def neighbours(df: DataFrame, x: str, y: str, x0: float, y0: float, radius: floa
         & (F.col(y) >= y0 - radius) & (F.col(y) <= y0 + radius)
     d = F.sqrt((F.col(x) - F.lit(x0)) ** 2 + (F.col(y) - F.lit(y0)) ** 2)
     return df.where(box).withColumn("distance", d).where(F.col("distance") <= radius)
+
+
+def neighbours_of(points: DataFrame, df: DataFrame, x: str, y: str, radius: float,
+                  point_key: str, key: str) -> DataFrame:
+    """(``point_key`` as ``point``, ``key`` as ``neighbour``, ``distance``):
+    the rows of ``df`` within ``radius`` of each point.  Cells have the side
+    ``radius``, so a point meets its own cell and the eight around it; rows of
+    other cells are never paired."""
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                       for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    p = points.select(F.col(point_key).alias("point"), F.col(x).alias("_px"), F.col(y).alias("_py"),
+                      cell(x, radius).alias("_ci"), cell(y, radius).alias("_cj"),
+                      F.explode(around).alias("_o"))
+    p = p.select("point", "_px", "_py", (F.col("_ci") + F.col("_o.i")).alias("_ci"),
+                 (F.col("_cj") + F.col("_o.j")).alias("_cj"))
+    d = df.select(F.col(key).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y"),
+                  cell(x, radius).alias("_ci"), cell(y, radius).alias("_cj"))
+    gap = F.sqrt((F.col("_x") - F.col("_px")) ** 2 + (F.col("_y") - F.col("_py")) ** 2)
+    return p.join(d, ["_ci", "_cj"]).withColumn("distance", gap).where(
+        F.col("distance") <= radius).select("point", "neighbour", "distance")

@@ -35,6 +35,20 @@ def _with_keys(df: DataFrame, on: Sequence[str], normalise: Normaliser) -> DataF
     return df.withColumns({k: _norm(F.col(c), normalise) for k, c in zip(_key_names(len(on)), on)})
 
 
+_SALT = "_pr_salt"
+
+
+def _left_keys(df: DataFrame, on: Sequence[str], normalise: Normaliser) -> tuple[DataFrame, list[str]]:
+    """``df`` with its join keys.  A row without a key matches nothing; the
+    salt, 0 on the other side, spreads such rows over the join's tasks."""
+    ks = _key_names(len(on))
+    plain = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    df = _with_keys(df, on, normalise)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ks])
+    spread = F.pmod(F.xxhash64(*plain), F.lit(4096)).cast("int") + 1
+    return df.withColumn(_SALT, F.when(known, F.lit(0)).otherwise(spread)), [*ks, _SALT]
+
+
 def _distinct_keys(keys_df: DataFrame, on: Sequence[str], normalise: Normaliser) -> DataFrame:
     ks = _key_names(len(on))
     return keys_df.select(*[_norm(F.col(c), normalise).alias(k) for k, c in zip(ks, on)]) \
@@ -55,9 +69,9 @@ def flag_membership(df: DataFrame, keys_df: DataFrame, left_on, right_on=None,
     ``keys_df``, else 0 (null key -> 0).  Row count is unchanged."""
     lo = _cols(left_on)
     ro = _cols(right_on) if right_on is not None else lo
-    ks = _key_names(len(lo))
-    keys = _distinct_keys(keys_df, ro, normalise).withColumn("_pr_hit", F.lit(1))
-    joined = _with_keys(df, lo, normalise).join(keys, on=ks, how="left")
+    keys = _distinct_keys(keys_df, ro, normalise).withColumns({"_pr_hit": F.lit(1), _SALT: F.lit(0)})
+    left, ks = _left_keys(df, lo, normalise)
+    joined = left.join(keys, on=ks, how="left")
     return joined.withColumn(out, F.coalesce(F.col("_pr_hit"), F.lit(0))).drop("_pr_hit", *ks)
 
 
@@ -78,9 +92,9 @@ def unmatched(df: DataFrame, keys_df: DataFrame, left_on, right_on=None,
     never found, unlike ``NOT IN``)."""
     lo = _cols(left_on)
     ro = _cols(right_on) if right_on is not None else lo
-    ks = _key_names(len(lo))
-    return _with_keys(df, lo, normalise) \
-        .join(_distinct_keys(keys_df, ro, normalise), on=ks, how="left_anti").drop(*ks)
+    left, ks = _left_keys(df, lo, normalise)
+    keys = _distinct_keys(keys_df, ro, normalise).withColumn(_SALT, F.lit(0))
+    return left.join(keys, on=ks, how="left_anti").drop(*ks)
 
 
 def staged_match(df: DataFrame, universes: Sequence[DataFrame], left_on, right_on=None,
@@ -97,8 +111,40 @@ def staged_match(df: DataFrame, universes: Sequence[DataFrame], left_on, right_o
     for i, u in enumerate(universes, start=1):
         part = _distinct_keys(u, ro, normalise).withColumn("_pr_stage", F.lit(i))
         staged = part if staged is None else staged.unionByName(part)
-    first = staged.groupBy(*ks).agg(F.min("_pr_stage").alias(out))
-    return _with_keys(df, lo, normalise).join(first, on=ks, how="left").drop(*ks)
+    first = staged.groupBy(*ks).agg(F.min("_pr_stage").alias(out)).withColumn(_SALT, F.lit(0))
+    left, ks = _left_keys(df, lo, normalise)
+    return left.join(first, on=ks, how="left").drop(*ks)
+
+
+def attach(df: DataFrame, universe: DataFrame, left_on, right_on, value: str,
+           normalise: Normaliser = F.lower, out: str | None = None) -> DataFrame:
+    """Add the ``value`` (say, the area id) that ``universe`` has for a row's
+    key; null without a match.  Of several values the smallest is taken, so
+    the row count is unchanged."""
+    lo, ro = _cols(left_on), _cols(right_on)
+    ks = _key_names(len(lo))
+    out = out or value
+    pairs = universe.select(*[_norm(F.col(c), normalise).alias(k) for k, c in zip(ks, ro)],
+                            F.col(value).alias(out))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in ks])
+    one = pairs.where(known).groupBy(*ks).agg(F.min(out).alias(out)).withColumn(_SALT, F.lit(0))
+    left, ks = _left_keys(df, lo, normalise)
+    return left.join(one, on=ks, how="left").drop(*ks)
+
+
+def later_outcome(scores: DataFrame, events: DataFrame, score_key: str, event_key: str,
+                  scored_at, event_time: str, normalise: Normaliser = F.lower,
+                  out: str = "outcome") -> DataFrame:
+    """Stored scores with what happened after them: ``out`` = 1 when the key
+    has an event later than ``scored_at`` (a column of ``scores`` or a
+    literal), else 0."""
+    last = events.where(F.col(event_key).isNotNull()).groupBy(
+        _norm(F.col(event_key), normalise).alias("_pr_k0")).agg(F.max(event_time).alias("_pr_last"))
+    left, ks = _left_keys(scores, [score_key], normalise)
+    at = F.col(scored_at) if scored_at in scores.columns else F.lit(scored_at)
+    joined = left.join(last.withColumn(_SALT, F.lit(0)), on=ks, how="left")
+    hit = F.coalesce(F.col("_pr_last") > at, F.lit(False))
+    return joined.withColumn(out, hit.cast("int")).drop("_pr_last", *ks)
 
 
 def match_report(staged: DataFrame, stage_col: str = "stage") -> DataFrame:
