@@ -47,7 +47,7 @@ RULES = (
     Rule("mean_word_chars", low=2.0, high=20.0),
     Rule("symbol_ratio", high=0.1),
     Rule("n_stop_words", low=2),
-    Rule("dup_line_ratio", high=0.3),
+    Rule("dup_line_ratio", high=0.5),      # a text of three lines may repeat one
 )
 
 

@@ -41,7 +41,7 @@ judged AS (
   FROM m),
 ruled AS (
   SELECT *, NOT base_failed AND n_words <= 1000000 AND mean_chars BETWEEN 2 AND 20
-         AND symbols <= 0.1 AND n_stop_words >= 2 AND dup_lines <= 0.3 AS kept
+         AND symbols <= 0.1 AND n_stop_words >= 2 AND dup_lines <= 0.5 AS kept
   FROM judged)
 SELECT {columns}"""
 

@@ -23,7 +23,7 @@ def plain_quality(docs):
         lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
         words = set(re.findall(r"[^\x20\x09-\x0D]+", t))
         if n >= 50 and repeat <= 0.5 * n and 2 <= chars / n <= 20 and symbols / n <= 0.1 \
-                and len(words & stops) >= 2 and dup / len(lines) <= 0.3:
+                and len(words & stops) >= 2 and dup / len(lines) <= 0.5:
             out[i] = t
     return out
 
