@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 
 from .common import col, written
 
-_CHUNK = 8 << 20             # characters encoded at a time
+_CHUNK = 2 << 20             # characters encoded at a time
+_ROWS = 512                  # rows of a batch taken at a time
 _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 #: Data bytes of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
@@ -59,12 +60,21 @@ _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 
 
 class _Store:
-    """Ids of texts seen lately, one after the other in one array."""
+    """Ids of texts seen before, one after the other in one array."""
 
     def __init__(self):
         self.index: dict[str, int] = {}
         self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
+        self.ids, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def trimmed(self, limit: int) -> "_Store":
+        """This store, or beyond ``limit`` texts one of the third seen most often."""
+        if len(self.index) <= limit:
+            return self
+        keep = np.sort(np.argpartition(-self.seen, limit // 3)[:limit // 3])
+        names, out = list(self.index), _Store()
+        out._add([names[i] for i in keep.tolist()], *self.take(keep))
+        return out
 
     def places(self, texts: list[str], encode) -> np.ndarray:
         """Where the texts stand; the different ones that are new are encoded."""
@@ -75,6 +85,7 @@ class _Store:
             new = list(dict.fromkeys(absent))
             self._add(new, *encode(new))
             at[miss] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
+        self.seen += np.bincount(at, minlength=len(self.seen))
         return at
 
     def _add(self, texts: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
@@ -82,6 +93,7 @@ class _Store:
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.ids = np.concatenate([self.ids, ids])
+        self.seen = np.concatenate([self.seen, np.zeros(len(texts), np.int64)])
 
     def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the texts at these places."""
@@ -98,7 +110,7 @@ class WordTokenizer:
     ones known here, a plain word is cut into its pre-tokens first: these are
     encoded independently, and far fewer of them differ."""
 
-    WORDS, PIECES = 250_000, 600_000          # so many are kept
+    WORDS, PIECES = 90_000, 200_000          # so many are kept
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -169,8 +181,7 @@ class WordTokenizer:
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.known:
             return self._encode(words)
-        if len(self.pieces.index) > self.PIECES:
-            self.pieces = _Store()
+        self.pieces = self.pieces.trimmed(self.PIECES)
         cut = [_PIECE(w.lower()) if _PLAIN(w) and self.mark not in w else [w] for w in words]
         sizes, ids = self.pieces.take(
             self.pieces.places(list(chain.from_iterable(cut)), self._encode_pieces))
@@ -179,8 +190,7 @@ class WordTokenizer:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of words, one after the other."""
-        if len(self.words.index) > self.WORDS:
-            self.words = _Store()
+        self.words = self.words.trimmed(self.WORDS)
         return self.words.take(self.words.places(words, self._encode_words))
 
 
@@ -194,6 +204,14 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of a few rows, so that a worker holds few texts twice."""
+    for b in batches:
+        for s in range(0, b.num_rows, _ROWS):
+            yield b.slice(s, _ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def _segments(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
     """Lists of about ``_CHUNK`` characters with their rows; a long text comes
     in segments that end at white space."""
@@ -245,7 +263,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     schema = src.select(*map(col, rest), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             n = np.full(b.num_rows, extra, np.int64)
             for rows, lengths, _ in encode_texts(load(tokenizer_path), b.column(0).to_pylist()):
                 np.add.at(n, rows, lengths)
@@ -262,7 +280,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
     schema = T.StructType([src.schema["id"], T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             tok = load(tokenizer_path)
             whole: list[list[bytes]] = [[] for _ in range(b.num_rows)]
             for rows, lengths, flat in encode_texts(tok, b.column(1).to_pylist()):

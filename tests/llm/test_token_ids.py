@@ -82,3 +82,17 @@ def test_nulls_repeats_and_empty(spark, tmp_path):
 def test_query_equals_plain_version(spark):
     got = QUERIES["op6_token_ids"](spark, SF_SMALL).collect()
     assert sorted(map(tuple, got)) == plain(sample_texts(spark))
+
+
+def test_stores_trim_to_the_texts_seen_most(monkeypatch):
+    t = K.WordTokenizer(PATH)
+    monkeypatch.setattr(K.WordTokenizer, "WORDS", 30)
+    monkeypatch.setattr(K.WordTokenizer, "PIECES", 30)
+    whole = Tokenizer.from_file(PATH)
+    for r in range(12):
+        words = [f"word{r}x{i}," for i in range(25)] + ["the", "often", "é%%%"]
+        n, ids = t.encode_words(words)
+        got = np.split(ids, np.cumsum(n)[:-1])
+        assert [x.tolist() for x in got] == [
+            whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert "the" in t.words.index and len(t.words.index) <= 30 + 28
