@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -47,16 +48,18 @@ _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PRE_TOKENIZERS = ["Split", "ByteLevel"]
-#: Words of these characters only: ASCII, and Latin-1 letters in both cases.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*").fullmatch
-#: The pattern for such words in lower case.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
+#: Lines (words) of these characters only: ASCII, and Latin-1 letters in both cases.
+_PLAIN = re.compile(r"[\n!-~À-ÖØ-öø-ÿ]*").fullmatch
+#: The pattern for such lines in lower case; a line's end is a piece.
+_PIECES = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+|\n").findall
 
 
 #: The byte-level alphabet: printable bytes stand for themselves, the others
 #: for the code points from 256 on.
 _PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+del _BYTE_LETTERS[0x0A]      # ends a line here, and is part of no word
 
 
 class _Store:
@@ -68,10 +71,11 @@ class _Store:
         self.ids, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
 
     def trimmed(self, limit: int) -> "_Store":
-        """This store, or beyond ``limit`` texts one of the third seen most often."""
+        """This store, or beyond ``limit`` texts one of the first text and the
+        third seen most often."""
         if len(self.index) <= limit:
             return self
-        keep = np.sort(np.argpartition(-self.seen, limit // 3)[:limit // 3])
+        keep = np.sort(np.r_[0, 1 + np.argpartition(-self.seen[1:], limit // 3)[:limit // 3]])
         names, out = list(self.index), _Store()
         out._add([names[i] for i in keep.tolist()], *self.take(keep))
         return out
@@ -126,6 +130,7 @@ class WordTokenizer:
         self.known = [[x["type"] for x in s] for s in steps] == [_NORMALIZERS, _PRE_TOKENIZERS] \
             and steps[1][0]["pattern"] == {"Regex": _PATTERN}
         self.words, self.pieces = _Store(), _Store()
+        self.pieces._add(["\n"], np.zeros(1, np.int64), np.empty(0, np.int64))
 
     def _encode(self, texts: list[str], group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids): the ids of each text, one after the other.
@@ -162,31 +167,40 @@ class WordTokenizer:
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_encode``, by the file's model alone: plain pieces are in lower
         case and one pre-token each, so only the byte alphabet is left to do."""
-        plain = [i for i, p in enumerate(pieces) if _PLAIN(p) and self.mark not in p]
-        rest = [p for p in pieces if not (_PLAIN(p) and self.mark not in p)]
-        tokenize = self.tokenizer.model.tokenize
-        got = [[t.id for t in tokenize(
-            p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTERS))]
-            for p in (pieces[i] for i in plain)]
-        if not rest:
-            return np.fromiter(map(len, got), np.int64, len(got)), \
-                np.fromiter(chain.from_iterable(got), np.int64)
-        sizes, ids = self._encode(rest)
-        other = iter(np.split(ids, np.cumsum(sizes)[:-1]))
-        of = dict(zip(plain, got))
-        each = [of[i] if i in of else next(other).tolist() for i in range(len(pieces))]
-        return np.fromiter(map(len, each), np.int64, len(each)), \
-            np.fromiter(chain.from_iterable(each), np.int64)
+        wide = [i for i, p in enumerate(pieces) if not p.isascii()]
+        if wide:
+            text = "\n".join([pieces[i] for i in wide]).encode().decode("latin-1")
+            pieces = list(pieces)
+            for i, p in zip(wide, text.translate(_BYTE_LETTERS).split("\n")):
+                pieces[i] = p
+        got = list(map(self.tokenizer.model.tokenize, pieces))
+        return np.fromiter(map(len, got), np.int64, len(got)), \
+            np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64)
+
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.pieces = self.pieces.trimmed(self.PIECES)
+        at = self.pieces.places(_PIECES("\n".join(words).lower()), self._encode_pieces)
+        sizes, ids = self.pieces.take(at)
+        ends = np.flatnonzero(at == self.pieces.index["\n"])     # has no ids
+        return np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, ends, len(at)]]), ids
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self.known:
             return self._encode(words)
-        self.pieces = self.pieces.trimmed(self.PIECES)
-        cut = [_PIECE(w.lower()) if _PLAIN(w) and self.mark not in w else [w] for w in words]
-        sizes, ids = self.pieces.take(
-            self.pieces.places(list(chain.from_iterable(cut)), self._encode_pieces))
-        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
-        return np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, ends]]), ids
+        text = "\n".join(words)
+        if _PLAIN(text) and self.mark not in text:
+            return self._encode_plain(words)
+        plain = np.fromiter((bool(_PLAIN(w)) and self.mark not in w for w in words), bool, len(words))
+        n = np.empty(len(words), np.int64)
+        parts = []
+        for own, encode in ((plain, self._encode_plain), (~plain, self._encode)):
+            some = [words[i] for i in np.flatnonzero(own).tolist()]
+            n[own], ids = encode(some) if some else (np.empty(0, np.int64),) * 2
+            parts.append(ids)
+        of_plain = np.repeat(plain, n)
+        out = np.empty(len(of_plain), np.int64)
+        out[of_plain], out[~of_plain] = parts
+        return n, out
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of words, one after the other."""
