@@ -114,7 +114,7 @@ class WordTokenizer:
     ones known here, a plain word is cut into its pre-tokens first: these are
     encoded independently, and far fewer of them differ."""
 
-    WORDS, PIECES = 90_000, 200_000          # so many are kept
+    WORDS, PIECES = 60_000, 140_000          # so many are kept
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
