@@ -109,6 +109,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the licenses found: the best, its score, and all names."""
     d = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    d = d.select("doc_id", F.concat("hits", "passages").alias("hits"))
     best = F.array_min(F.transform("hits", lambda h: F.struct(
         (-h["dice"]).alias("d"), h["license"].alias("license"))))
     return d.select(
