@@ -6,7 +6,9 @@ Repeated 3-word windows are found within the row: windows are hashed to 64
 bits, and only texts whose hashes repeat sort them.
 
 Edge cases: a null or blank text has no words, all measures zero, and fails
-the base rule.  Rows are judged one by one, so null ids, repeated rows and
+the base rule.  Stop words count in any case, and only where the document's
+language (``lang_col``) has a list; without that column, in every document.
+Rows are judged one by one, so null ids, repeated rows and
 ties need no rule.  Extra columns pass through; a column that has the name of
 a measure keeps its values in ``keep_documents`` and is replaced in
 ``quality_measures``.
@@ -32,7 +34,8 @@ STOP_WORDS = {
 
 @dataclass(frozen=True)
 class Rule:
-    """``measure`` must lie within [low, high]; an absent bound is open."""
+    """``measure`` must lie within [low, high]; an absent bound is open, and a
+    null measure passes."""
     measure: str
     low: float | None = None
     high: float | None = None
@@ -43,7 +46,6 @@ BASE_RULES = (Rule("n_words", low=50), Rule("repeat_ratio", high=0.5))
 
 #: The method's table.
 RULES = (
-    Rule("n_words", high=1_000_000),
     Rule("mean_word_chars", low=2.0, high=20.0),
     Rule("symbol_ratio", high=0.1),
     Rule("n_stop_words", low=2),
@@ -61,13 +63,22 @@ def passes(rules, names: dict[str, str]) -> Column:
     for r in rules:
         m = col(names.get(r.measure, r.measure))
         if r.low is not None:
-            ok = ok & (m >= F.lit(float(r.low)))
+            ok = ok & F.coalesce(m >= F.lit(float(r.low)), F.lit(True))
         if r.high is not None:
-            ok = ok & (m <= F.lit(float(r.high)))
+            ok = ok & F.coalesce(m <= F.lit(float(r.high)), F.lit(True))
     return ok
 
 
-def _measured(docs: DataFrame, text_col: str, stop_words) -> tuple[DataFrame, dict[str, str]]:
+def _has_list(docs: DataFrame, lang_col: str, stop_words) -> Column:
+    """Whether the document's language has a list of stop words; all have one
+    if there is no such column."""
+    if lang_col not in docs.columns:
+        return F.lit(True)
+    lang = F.lower(F.regexp_extract(F.coalesce(col(lang_col), F.lit("")), "^[A-Za-z]+", 0))
+    return lang.isin(*[k.lower() for k in stop_words])
+
+
+def _measured(docs: DataFrame, text_col: str, lang_col: str, stop_words) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the measures under unused names; the map to these."""
     own: dict[str, str] = {}
 
@@ -90,9 +101,9 @@ def _measured(docs: DataFrame, text_col: str, stop_words) -> tuple[DataFrame, di
         word_chars=F.length(F.array_join(at("words"), "")).cast("long"),
         n_dup_lines=(F.size(at("lines")) - F.size(F.array_distinct(at("lines")))).cast("long"),
         n_lines=F.size(at("lines")).cast("long"),
-        # different stop words that occur, in lower case
-        n_stop_words=F.size(F.array_intersect(
-            at("words"), F.array(*map(F.lit, stops)))).cast("long"),
+        # different stop words that occur, in any case; null without a list
+        n_stop_words=F.when(_has_list(docs, lang_col, stop_words), F.size(F.array_intersect(
+            F.transform(at("words"), F.lower), F.array(*map(F.lit, stops)))).cast("long")),
         hashes=F.when(n >= 3, F.transform(
             F.sequence(F.lit(0), n - 3),
             lambda i: F.xxhash64(F.get(at("words"), i), F.get(at("words"), i + 1),
@@ -129,9 +140,11 @@ def _measured(docs: DataFrame, text_col: str, stop_words) -> tuple[DataFrame, di
 
 
 def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     rules=RULES, base_rules=BASE_RULES, stop_words=None) -> DataFrame:
+                     rules=RULES, base_rules=BASE_RULES, stop_words=None,
+                     lang_col: str = "lang") -> DataFrame:
     """One row per document: its id, all measures, ``base_failed``, ``kept``."""
-    df, m = _measured(docs.select(col(id_col), col(text_col)), text_col, stop_words or STOP_WORDS)
+    read = [c for c in dict.fromkeys((id_col, text_col, lang_col)) if c != lang_col or c in docs.columns]
+    df, m = _measured(docs.select(*map(col, read)), text_col, lang_col, stop_words or STOP_WORDS)
     base = passes(base_rules, m)
     # generated columns, so that a caller's filter stays above the measures
     return df.select(col(id_col), F.inline(F.array(F.struct(
@@ -140,9 +153,9 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text", rules=RULES,
-                   base_rules=BASE_RULES, stop_words=None) -> DataFrame:
+                   base_rules=BASE_RULES, stop_words=None, lang_col: str = "lang") -> DataFrame:
     """The documents that pass all rules, with their own columns."""
-    df, m = _measured(docs, text_col, stop_words or STOP_WORDS)
+    df, m = _measured(docs, text_col, lang_col, stop_words or STOP_WORDS)
     ok = fresh(docs, "__q_ok")
     # a generated column: the filter cannot be pushed below it, which would
     # write the measures' expressions out again for each of their uses
