@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, license_scan, line_dedup, packing, quality, secret_scan, simhash,
-               token_ids, unigram, url_filter)
+from . import (conversation, decontaminate, embeddings, license_scan, line_dedup, packing, periodic,
+               quality, secret_scan, simhash, token_ids, unigram, url_filter)
 from .common import scratch, table
 from .sql import OP3_SQL, OP8_SQL, OP9_SQL
 
@@ -123,3 +123,36 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return unigram.unigram_token_counts(docs, tokenizer_file(PIECES))
+
+
+@query("op11_embedding_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = periodic.periodic_runs(periodic.rewritten_periodically(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    d = d.withColumn("best", best).withColumn("length", -F.col("best.shorter"))
+    lines = F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        "length", F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    report = conversation.repair_report(conversation.damaged(rows)).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct()
+    d = every.join(report, every["conv_id"].eqNullSafe(report["c"]), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return d.select("conv_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts),
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
