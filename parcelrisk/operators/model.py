@@ -89,7 +89,7 @@ def walk_forward_score(df: DataFrame, features: str, label: str, period: str,
 
     ``periods`` defaults to all periods of the data but the first, which has
     no past (one row per period to the driver); rows of a null period have no
-    past either.  A ``Pipeline`` that includes the feature stages fits them on
+    past either.  Without a period that has a past there are no rows.  A ``Pipeline`` that includes the feature stages fits them on
     the past only; give it ``handle_invalid="keep"`` for new levels."""
     est = estimator if estimator is not None else LogisticRegression(
         featuresCol=features, labelCol=label, predictionCol="prediction")
@@ -99,6 +99,9 @@ def walk_forward_score(df: DataFrame, features: str, label: str, period: str,
     if periods is None:
         found = data.select(period).distinct().where(F.col(period).isNotNull())
         periods = [r[0] for r in found.orderBy(period).collect()][1:]
+    if not periods:                  # no period has a past: no rows, the same columns
+        none = data.where(F.lit(False)).select(*dict.fromkeys([*keep, label, period]))
+        return none.withColumns({c: F.lit(None).cast("double") for c in ("prediction", "prob0", "prob1")})
 
     def fit(p):
         return est.fit(data.where(F.col(period) < F.lit(p)))

@@ -110,7 +110,8 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
     [lo, hi] are not counted.  ``lo``/``hi`` default to the data range (one
     aggregate, two numbers to the driver; infinite values don't widen it).
     ``density`` adds count / (n * width) with n the in-range count of the
-    group.  Null and NaN are skipped; without values the range is [0, 1]."""
+    group.  Null and NaN are skipped; without values the
+    range is [0, 1], or of width 1 from the bound that is given."""
     by = list(by)
     x = nan_to_null(F.col(col).cast("double"))
     if lo is None or hi is None:
@@ -118,7 +119,11 @@ def histogram(df: DataFrame, col: str, bins: int, lo: float | None = None,
         r = df.agg(F.min(finite), F.max(finite)).first()
         lo = r[0] if lo is None else lo
         hi = r[1] if hi is None else hi
-    lo, hi = (0.0, 1.0) if lo is None or hi is None else (float(lo), float(hi))
+    if lo is None and hi is None:
+        lo, hi = 0.0, 1.0
+    elif lo is None or hi is None:              # no values: a given bound stays
+        lo, hi = (hi - 1.0, hi) if lo is None else (lo, lo + 1.0)
+    lo, hi = float(lo), float(hi)
     if hi == lo:
         lo, hi = lo - 0.5, hi + 0.5
     w = (hi - lo) / bins

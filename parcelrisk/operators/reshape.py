@@ -57,6 +57,19 @@ def pivot_by(df: DataFrame, index: Sequence[str] | str, columns: str, value: str
     return out
 
 
+def unpivot_years(wide: DataFrame, index: Sequence[str] | str, value: str,
+                  year: str = "year") -> DataFrame:
+    """Wide -> long: one row per index and year that has a value; the other
+    columns of ``wide`` are named by their year."""
+    ids = [index] if isinstance(index, str) else list(index)
+    cols = [c for c in wide.columns if c not in set(ids)]
+    if not cols:
+        return wide.select(*ids, F.lit(None).cast("int").alias(year),
+                           F.lit(None).cast("double").alias(value)).where(F.lit(False))
+    long = wide.unpivot(ids, cols, year, value).where(F.col(value).isNotNull())
+    return long.withColumn(year, F.col(year).cast("int"))
+
+
 def record_profile(df: DataFrame, key: str | None = None, value: str = "value") -> DataFrame:
     """Rows -> (column, value) pairs, every value as text; keeps ``key``."""
     ids = [key] if key else []

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parcelrisk.operators import evaluate, grid, match
+from parcelrisk.operators.reshape import unpivot_years
 from parcelrisk.plans.catalog import PENDING_SQL, _w, pending
 from parcelrisk.plans.recipes import value_history_wide
 from parcelrisk.plans.registry import query, t
@@ -66,15 +67,14 @@ def q_neighbours_of_set(spark, sf):
 
 
 @query("value_history_reason", """
-SELECT * FROM (PIVOT (
-  SELECT lpad(concat('', o_custkey), 6, '0') || lpad(concat('', o_orderkey % 10), 4, '0') AS "PIN",
-         year(o_orderdate) AS y, CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 1000 AS v
-  FROM orders WHERE o_orderpriority = '1-URGENT')
-ON y USING CAST(sum(v) AS BIGINT) GROUP BY "PIN")""")
+SELECT lpad(concat('', o_custkey), 6, '0') || lpad(concat('', o_orderkey % 10), 4, '0') AS "PIN",
+       CAST(year(o_orderdate) AS INTEGER) AS year,
+       CAST(sum(CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 1000) AS BIGINT) AS total
+FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL""")
 def q_value_history_reason(spark, sf):
-    """Total value by year, of one reason only."""
+    """Total value by year, of one reason only: the wide table, year by year."""
     v = t(spark, sf, "orders").select(
         F.col("o_custkey").alias("Major"), (F.col("o_orderkey") % 10).alias("Minor"),
         F.year("o_orderdate").alias("TaxYr"), F.floor("o_totalprice").alias("LandVal"),
         (F.col("o_orderkey") % 1000).alias("ImpsVal"), F.col("o_orderpriority").alias("Reason"))
-    return value_history_wide(v, reason="1-URGENT")
+    return unpivot_years(value_history_wide(v, reason="1-URGENT"), "PIN", "total")

@@ -32,4 +32,5 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def load_all() -> None:
     """Import every catalog module so that its queries register."""
     from parcelrisk.plans import (  # noqa: F401
-        catalog, catalog_features, catalog_io, catalog_models, catalog_next, catalog_nulls)
+        catalog, catalog_features, catalog_history, catalog_io, catalog_models, catalog_next,
+        catalog_nulls)

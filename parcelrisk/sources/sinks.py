@@ -9,7 +9,9 @@ import uuid
 import zipfile
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -37,6 +39,25 @@ def write_run(df: DataFrame, base: str, run_id: str | None = None, fmt: str = "p
     return path
 
 
+def write_partitions(df: DataFrame, path: str, by: Sequence[str], files_per_value: int = 1,
+                     spread_by: Sequence[str] = ()) -> str:
+    """Write ``df`` below ``path`` in one folder per value of ``by`` (say, the
+    year).  A folder whose value ``df`` has is replaced, the others keep their
+    files: recomputing one year touches that year only.
+
+    Each value is written by ``files_per_value`` tasks, so a value with a third
+    of the rows needn't be one task's; its rows are dealt by a hash of
+    ``spread_by`` (default: all other columns)."""
+    spread = list(spread_by) or [f.name for f in df.schema if f.name not in set(by)
+                                 and "map<" not in f.dataType.simpleString()]
+    deal = [F.col(c) for c in by]
+    if files_per_value > 1 and spread:
+        deal.append(F.pmod(F.xxhash64(*spread), F.lit(files_per_value)))
+    df.repartition(*deal).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(*by).parquet(path)
+    return path
+
+
 def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
                   mode: str = "errorifexists") -> DataFrame:
     """Catalog table bucketed and sorted by ``keys``: a later equi-join on
@@ -52,7 +73,9 @@ def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", pref
     """Create one catalog table per top-level entry of ``path`` (a file, or
     a folder of part files), named from the entry.  Every entry is reported
     and none stops the others: ``created``; ``exists`` (the table is left
-    alone); ``clash`` (another entry has made this table); ``failed: <error>``.
+    alone); ``clash`` (another entry has made this table); ``failed: <error>:
+    <its first line>``.  What is not about an entry, such as a lost connection to
+    the driver's JVM, is raised.
     ``schema`` may be a dict by table name.  With ``schema_only`` the tables
     are created empty, with the columns (and types) of the files.  Returns
     (entry, table_name, status) rows."""
@@ -69,10 +92,11 @@ def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", pref
             (src.limit(0) if schema_only else src).write.mode("errorifexists").saveAsTable(full)
             made.add(name)
             status.append((entry, name, "created"))
-        except Exception as e:  # noqa: BLE001  (reported; the next entry goes on)
+        except (PySparkException, Py4JJavaError, ValueError) as e:     # the entry's fault
             known = isinstance(e, AnalysisException) and (
                 "ALREADY_EXISTS" in str(e) or "already exists" in str(e))
-            status.append((entry, name, "exists" if known else f"failed: {type(e).__name__}"))
+            said = " ".join(str(e).split("\n", 1)[0].split())[:300]
+            status.append((entry, name, "exists" if known else f"failed: {type(e).__name__}: {said}"))
     return spark.createDataFrame(status, "entry string, table_name string, status string")
 
 
@@ -125,8 +149,10 @@ def _target_uri(spark: SparkSession, path: str) -> str:
 def write_zipped_delimited(df: DataFrame, out_dir: str, member: str = "data.csv",
                            encoding: str = "UTF-8", mode: str = "errorifexists") -> DataFrame:
     """Write each partition as one zip archive holding one CSV member.
-    Returns a (path, rows) table; the write happens when it is evaluated.
-    ``mode``: "errorifexists", or "overwrite", which empties the folder now."""
+    Returns a (path, rows) table, one row per archive.  ``mode``:
+    "errorifexists" writes when the result is evaluated; "overwrite" writes now,
+    to a new folder, and puts the archives in the place of the old ones once all
+    are there."""
     from pyarrow import fs as pafs
 
     if mode not in ("errorifexists", "overwrite"):
@@ -136,9 +162,21 @@ def write_zipped_delimited(df: DataFrame, out_dir: str, member: str = "data.csv"
     there = filesystem.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
     if there and mode == "errorifexists":
         raise FileExistsError(out_dir)
+    names = df.columns
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
+    columns = "path string, rows long"
+    if mode == "errorifexists":
+        return text.mapInPandas(_zip_writer(uri, member, names, encoding), columns)
+    staged = f"_new-{uuid.uuid4().hex[:12]}"
+    wrote = text.mapInPandas(_zip_writer(f"{uri}/{staged}", member, names, encoding), columns).collect()
     for info in there:
         if info.base_name.endswith(".zip"):
             filesystem.delete_file(info.path)
-    names = df.columns
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
-    return text.mapInPandas(_zip_writer(uri, member, names, encoding), "path string, rows long")
+    done = []
+    for r in wrote:
+        name = r["path"].rsplit("/", 1)[1]
+        filesystem.move(f"{folder}/{staged}/{name}", f"{folder}/{name}")
+        done.append((f"{uri}/{name}", r["rows"]))
+    if wrote:
+        filesystem.delete_dir(f"{folder}/{staged}")
+    return df.sparkSession.createDataFrame(done, columns)

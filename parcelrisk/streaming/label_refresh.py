@@ -3,10 +3,11 @@
 New event files land in a folder; a file-source stream picks them up, keeps
 the pending ones, matches them against the (static) entity table by
 normalised address and emits each entity the first time it gets a pending
-event.  The stream-static join needs no state; the first-seen de-duplication
-keeps one key per labelled entity (bounded by the entity count).  Output is
-an append-only Parquet folder plus a checkpoint, both in shared storage, so
-a restarted query continues exactly where it stopped.
+event.  A batch reduces its events to distinct addresses before the join, so a
+hot address meets its entities once, and leaves out the entities of earlier
+batches; the stream keeps no state.  Output is one Parquet folder per batch
+(``batch=<id>``, rewritten when the batch is run again) plus a checkpoint, both
+in shared storage, so a restarted query continues exactly where it stopped.
 
 A large entity table is better joined through ``address_index``: its
 (key, normalised address) pairs written once as a table bucketed by the
@@ -20,6 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelrisk.sources.sinks import save_bucketed
@@ -42,11 +44,10 @@ def address_index(entities: DataFrame, entity_address: str, entity_key: str, tab
 
 def new_positives(events: DataFrame, entities: DataFrame, pending: Callable[[DataFrame], DataFrame],
                   event_address: str, entity_address: str, entity_key: str) -> DataFrame:
-    """Entities matched by a pending event, one row per entity (works on a
-    batch or a streaming ``events``).  ``entities`` is the entity table, or
+    """Entities matched by a pending event, one row per entity.  ``entities`` is the entity table, or
     an ``address_index`` of it (then ``entity_address`` is not used)."""
     keys = pending(events).select(F.lower(F.col(event_address)).alias(ADDRESS)) \
-        .where(F.col(ADDRESS).isNotNull())
+        .where(F.col(ADDRESS).isNotNull()).distinct()
     if ADDRESS in entities.columns:
         ents = entities.select(entity_key, ADDRESS)
     else:
@@ -61,7 +62,7 @@ def label_refresh_stream(spark: SparkSession, events_dir: str, events_schema, en
                          available_now: bool = True, max_files_per_trigger: int | None = None
                          ) -> StreamingQuery:
     """Start the refresh query; newly positive entity keys are appended to
-    ``sink_dir``.  ``available_now`` processes what is there and stops
+    ``sink_dir`` (columns: the key and ``batch``).  ``available_now`` processes what is there and stops
     (scheduled runs); otherwise it keeps running."""
     reader = spark.readStream.schema(events_schema).format(fmt) \
         .option("recursiveFileLookup", True)
@@ -70,8 +71,15 @@ def label_refresh_stream(spark: SparkSession, events_dir: str, events_schema, en
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.load(events_dir)
-    out = new_positives(events, entities, pending, event_address, entity_address, entity_key)
-    w = out.writeStream.format("parquet").outputMode("append") \
-        .option("path", sink_dir).option("checkpointLocation", checkpoint)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        found = new_positives(batch, entities, pending, event_address, entity_address, entity_key)
+        if batch_id > 0:
+            before = T.StructType([found.schema[entity_key], T.StructField("batch", T.LongType())])
+            known = spark.read.schema(before).parquet(sink_dir).where(F.col("batch") < batch_id)
+            found = found.join(known, entity_key, "left_anti")
+        found.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+
+    w = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

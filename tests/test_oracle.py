@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 import __spark_entry__ as entry
 from tools.oracle_check import TABLES, rows_key

@@ -1,7 +1,7 @@
 """Plan shape: the operators stay in the JVM, push filters and columns to
 the scan, and never put the scored rows in one partition."""
 import pytest
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 import __spark_entry__ as entry
 from parcelrisk.plans.registry import ORACLE, QUERIES

@@ -1,4 +1,4 @@
-from conftest import SF_SMALL
+from sf_paths import SF_SMALL
 
 from parcelrisk.plans.catalog import pending
 from parcelrisk.session import scratch_dir
