@@ -66,6 +66,22 @@ def q_neighbours_of_set(spark, sf):
     return n.withColumn("distance", F.round("distance", 6))
 
 
+@query("nearest_customers", """
+WITH p AS (SELECT c_custkey, c_acctbal AS x, c_nationkey * 100.0::DOUBLE AS y FROM customer),
+d AS (SELECT a.c_custkey AS point, b.c_custkey AS neighbour,
+             sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS distance
+      FROM p a JOIN p b ON a.c_custkey <> b.c_custkey WHERE a.c_custkey % 100 = 0)
+SELECT point, neighbour, round(distance, 6) AS distance,
+       CAST(row_number() OVER (PARTITION BY point ORDER BY distance, neighbour) AS INTEGER) AS rank
+FROM d QUALIFY row_number() OVER (PARTITION BY point ORDER BY distance, neighbour) <= 5""")
+def q_nearest_customers(spark, sf):
+    """The five customers nearest to each customer whose key is divisible by 100."""
+    p = t(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("x"),
+                                        (F.col("c_nationkey") * 100.0).alias("y"))
+    n = grid.nearest_k(p.where("c_custkey % 100 = 0"), p, "x", "y", 5, "c_custkey", "c_custkey", exclude_self=True)
+    return n.withColumn("distance", F.round("distance", 6))
+
+
 @query("value_history_reason", """
 SELECT lpad(concat('', o_custkey), 6, '0') || lpad(concat('', o_orderkey % 10), 4, '0') AS "PIN",
        CAST(year(o_orderdate) AS INTEGER) AS year,
