@@ -116,11 +116,11 @@ def nearest_k(points: DataFrame, df: DataFrame, x: str, y: str, k: int, point_ke
         if not used:
             used = [0]
         cells = _around(_at_levels(ps, "_px", "_py", x0, y0, span, used).where("_l = _at"))
-        gap = F.sqrt((F.col("_x") - F.col("_px")) ** 2 + (F.col("_y") - F.col("_py")) ** 2)
+        dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
         met = cells.join(_at_levels(rows, "_x", "_y", x0, y0, span, used), ["_l", "_ci", "_cj"])
         if exclude_self:
             met = met.where(F.col("_key") != F.col("point"))
-        met = met.withColumn("distance", gap)
+        met = met.withColumn("distance", F.sqrt(dx * dx + dy * dy))
         first = Window.partitionBy("point", "_px", "_py").orderBy("distance", "_key")
         return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select(
             "point", "_px", "_py", "_at", F.col("_key").alias("neighbour"), "distance", "rank")

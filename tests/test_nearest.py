@@ -9,7 +9,7 @@ from parcelrisk.operators.grid import nearest_k
 def plain(points, rows, k, exclude_self):
     out = []
     for p, px, py in points:
-        near = sorted((math.sqrt((x - px) ** 2 + (y - py) ** 2), key) for key, x, y in rows
+        near = sorted((math.sqrt((x - px) * (x - px) + (y - py) * (y - py)), key) for key, x, y in rows
                       if not (exclude_self and key == p))
         out += [(p, key, d, n) for n, (d, key) in enumerate(near[:k], 1)]
     return sorted(out)
