@@ -23,7 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -36,8 +36,7 @@ from pyspark.sql import types as T
 
 from .common import col, written
 
-_CHUNK = 2 << 20             # characters encoded at a time
-_ROWS = 512                  # rows of a batch taken at a time
+_CHUNK = 8 << 20             # bytes encoded at a time
 _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 #: Data bytes of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
@@ -62,50 +61,41 @@ _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 del _BYTE_LETTERS[0x0A]      # ends a line here, and is part of no word
 
 
-class _Store:
-    """Ids of texts seen before, one after the other in one array."""
+#: Stands for the end of a word among the codes of pieces, which have an even length.
+_END = b"\n"
+
+
+class _Lately:
+    """Codes (ids as bytes) of the texts used of late: ``index``, and the generation
+    before it.  A text of that is taken over when it is used again; an index beyond
+    the limit becomes the generation before."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
-        self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def trimmed(self, limit: int) -> "_Store":
-        """This store, or beyond ``limit`` texts one of the first text and the
-        third seen most often."""
-        if len(self.index) <= limit:
-            return self
-        keep = np.sort(np.r_[0, 1 + np.argpartition(-self.seen[1:], limit // 3)[:limit // 3]])
-        names, out = list(self.index), _Store()
-        out._add([names[i] for i in keep.tolist()], *self.take(keep))
+        self.index: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def codes(self, texts: list[str], encode, limit: int) -> list[bytes]:
+        """The code of each text; different ones that are new are encoded."""
+        if len(self.index) > limit:
+            self.index, self.before = {}, self.index
+        index, before = self.index, self.before
+        out = list(map(index.get, texts))
+        new: dict[str, None] = {}
+        later = []
+        for i in [i for i, code in enumerate(out) if code is None]:
+            t = texts[i]
+            code = before.get(t)
+            if code is None:
+                new[t] = None
+                later.append(i)
+            else:
+                out[i] = index[t] = code
+        if later:
+            index.update(zip(new, encode(list(new))))
+            for i in later:
+                out[i] = index[texts[i]]
         return out
 
-    def places(self, texts: list[str], encode) -> np.ndarray:
-        """Where the texts stand; the different ones that are new are encoded."""
-        at = np.fromiter(map(self.index.get, texts, repeat(-1)), np.int64, len(texts))
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            absent = [texts[i] for i in miss.tolist()]
-            new = list(dict.fromkeys(absent))
-            self._add(new, *encode(new))
-            at[miss] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
-        self.seen += np.bincount(at, minlength=len(self.seen))
-        return at
-
-    def _add(self, texts: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        self.index.update(zip(texts, range(len(self.index), len(self.index) + len(texts))))
-        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.ids = np.concatenate([self.ids, ids])
-        self.seen = np.concatenate([self.seen, np.zeros(len(texts), np.int64)])
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of the texts at these places."""
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return sizes, self.ids[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(total)]
-
 
 class WordTokenizer:
     """A tokenizer file, applied word by word.
@@ -114,7 +104,7 @@ class WordTokenizer:
     ones known here, a plain word is cut into its pre-tokens first: these are
     encoded independently, and far fewer of them differ."""
 
-    WORDS, PIECES = 60_000, 140_000          # so many are kept
+    WORDS, PIECES = 100_000, 150_000         # so many are kept, in each of two generations
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -129,11 +119,16 @@ class WordTokenizer:
             ("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
         self.known = [[x["type"] for x in s] for s in steps] == [_NORMALIZERS, _PRE_TOKENIZERS] \
             and steps[1][0]["pattern"] == {"Regex": _PATTERN}
-        self.words, self.pieces = _Store(), _Store()
-        self.pieces._add(["\n"], np.zeros(1, np.int64), np.empty(0, np.int64))
+        self.width = np.dtype(self.dtype).itemsize
+        self.words, self.pieces = _Lately(), _Lately()
+
+    def _cut(self, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The codes of texts that have so many ids each."""
+        raw, ends = ids.astype(self.dtype).tobytes(), (np.cumsum(lengths) * self.width).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends)]
 
-    def _encode(self, texts: list[str], group: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids): the ids of each text, one after the other.
+    def _encode(self, texts: list[str], group: int = 4096) -> list[bytes]:
+        """The code of each text.
 
         Many are encoded at once, parted by a special token, which tokenizers
         cut out before anything else; texts that might hold one are encoded
@@ -160,52 +155,56 @@ class WordTokenizer:
                 run.append(t)
         if run:
             close()
-        if not lengths:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(lengths), np.concatenate(ids)
+        return self._cut(np.concatenate(lengths), np.concatenate(ids)) if lengths else []
 
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """As ``_encode``, by the file's model alone: plain pieces are in lower
         case and one pre-token each, so only the byte alphabet is left to do."""
+        spelled = list(pieces)
         wide = [i for i, p in enumerate(pieces) if not p.isascii()]
         if wide:
             text = "\n".join([pieces[i] for i in wide]).encode().decode("latin-1")
-            pieces = list(pieces)
             for i, p in zip(wide, text.translate(_BYTE_LETTERS).split("\n")):
-                pieces[i] = p
-        got = list(map(self.tokenizer.model.tokenize, pieces))
-        return np.fromiter(map(len, got), np.int64, len(got)), \
-            np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64)
-
-    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        self.pieces = self.pieces.trimmed(self.PIECES)
-        at = self.pieces.places(_PIECES("\n".join(words).lower()), self._encode_pieces)
-        sizes, ids = self.pieces.take(at)
-        ends = np.flatnonzero(at == self.pieces.index["\n"])     # has no ids
-        return np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, ends, len(at)]]), ids
-
-    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                spelled[i] = p
+        got = list(map(self.tokenizer.model.tokenize, spelled))
+        out = self._cut(np.fromiter(map(len, got), np.int64, len(got)),
+                        np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64))
+        if "\n" in pieces:
+            out[pieces.index("\n")] = _END
+        return out
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        codes = self.pieces.codes(_PIECES("\n".join(words).lower() + "\n"), self._encode_pieces,
+                                  self.PIECES)
+        out, word = [], b""
+        for code in codes:
+            if code is _END:
+                out.append(word)
+                word = b""
+            else:
+                word += code
+        return out
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         if not self.known:
             return self._encode(words)
         text = "\n".join(words)
         if _PLAIN(text) and self.mark not in text:
             return self._encode_plain(words)
-        plain = np.fromiter((bool(_PLAIN(w)) and self.mark not in w for w in words), bool, len(words))
-        n = np.empty(len(words), np.int64)
-        parts = []
-        for own, encode in ((plain, self._encode_plain), (~plain, self._encode)):
-            some = [words[i] for i in np.flatnonzero(own).tolist()]
-            n[own], ids = encode(some) if some else (np.empty(0, np.int64),) * 2
-            parts.append(ids)
-        of_plain = np.repeat(plain, n)
-        out = np.empty(len(of_plain), np.int64)
-        out[of_plain], out[~of_plain] = parts
-        return n, out
+        plain = [bool(_PLAIN(w)) and self.mark not in w for w in words]
+        easy = iter(self._encode_plain([w for w, p in zip(words, plain) if p]) if any(plain) else ())
+        hard = iter(self._encode([w for w, p in zip(words, plain) if not p]))
+        return [next(easy) if p else next(hard) for p in plain]
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as bytes; the words should differ."""
+        return self.words.codes(words, self._encode_words, self.WORDS)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of words, one after the other."""
-        self.words = self.words.trimmed(self.WORDS)
-        return self.words.take(self.words.places(words, self._encode_words))
+        codes = self.codes(words)
+        return np.fromiter(map(len, codes), np.int64, len(codes)) // self.width, \
+            np.frombuffer(b"".join(codes), self.dtype)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -218,54 +217,57 @@ def load(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches in slices of a few rows, so that a worker holds few texts twice."""
-    for b in batches:
-        for s in range(0, b.num_rows, _ROWS):
-            yield b.slice(s, _ROWS)
-        pa.default_memory_pool().release_unused()
-
-
-def _segments(texts: list[str | None]) -> Iterator[tuple[list[str], list[int]]]:
-    """Lists of about ``_CHUNK`` characters with their rows; a long text comes
-    in segments that end at white space."""
-    parts, rows, size = [], [], 0
-    for row, text in enumerate(texts):
-        text, start = text or "", 0
-        while True:
-            end = len(text)
-            if end - start > _CHUNK:
-                end = text.rfind(" ", start, start + _CHUNK) + 1
-                if end <= start:
-                    end = text.find(" ", start + _CHUNK) + 1 or len(text)
-            parts.append(text[start:end] if start or end < len(text) else text)
-            rows.append(row)
-            size, start = size + end - start, end
-            if size >= _CHUNK:
-                yield parts, rows
-                parts, rows, size = [], [], 0
-            if start >= len(text):
-                break
-    if parts:
-        yield parts, rows
-
-
-def encode_texts(tok: WordTokenizer, texts: list[str | None]) -> Iterator[
+def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """(rows, texts) of about ``_CHUNK`` bytes; a longer text comes in segments
+    that end at white space."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    long = size > _CHUNK
+    part = np.cumsum(np.where(long, 0, size)) // _CHUNK
+    new = (part[1:] != part[:-1]) | long[1:] | long[:-1]
+    cuts = np.r_[0, np.flatnonzero(new) + 1, len(texts)].tolist()
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        if e == s + 1 and long[s]:
+            for segment in _segments(texts[s].as_py()):
+                yield np.array([s]), pa.array([segment], pa.large_string())
+        elif e > s:
+            yield np.arange(s, e), texts.slice(s, e - s)
+
+
+def _segments(text: str) -> Iterator[str]:
+    start = 0
+    while start < len(text):
+        end = len(text)
+        if end - start > _CHUNK:
+            end = text.rfind(" ", start, start + _CHUNK) + 1
+            if end <= start:
+                end = text.find(" ", start + _CHUNK) + 1 or len(text)
+        yield text[start:end]
+        start = end
+
+
+def encode_texts(tok: WordTokenizer, texts: list[str | None] | pa.Array) -> Iterator[
         tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, lengths, ids) for lists of segments; a row may come in several."""
-    for parts, rows in _segments(texts):
-        split = pc.ascii_split_whitespace(pa.array(parts, pa.large_string()))
+    """(rows, lengths, ids) for lists of texts or segments; a row may come in several."""
+    for rows, bounds, codes, places in _coded(tok, texts):
+        taken = codes.take(places)
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[:len(taken) + 1][bounds] // tok.width
+        ids = np.frombuffer(data, tok.dtype) if data else np.empty(0, tok.dtype)
+        yield rows, np.diff(at), ids[at[0]:at[-1]]
+
+
+def _coded(tok: WordTokenizer, texts) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
+    """(rows, where each begins and the last ends among the words, the codes of the
+    different words, which of them the words are)."""
+    if not isinstance(texts, pa.Array):
+        texts = pa.array(texts, pa.large_string())
+    for rows, some in _chunks(texts):
+        split = pc.ascii_split_whitespace(some)
         words = split.flatten().dictionary_encode()
-        n, ids = tok.encode_words(words.dictionary.to_pylist())
-        codes = words.indices.to_numpy(zero_copy_only=False)
-        first = np.cumsum(n) - n
-        sizes = n[codes]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(first[codes] - (ends - sizes), sizes) + np.arange(total)]
+        codes = pa.array(tok.codes(words.dictionary.to_pylist()), pa.large_binary())
         at = split.offsets.to_numpy()
-        bounds = np.r_[0, ends][at - at[0]]
-        yield np.array(rows), np.diff(bounds), flat
+        yield rows, at - at[0], codes, words.indices
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
@@ -273,15 +275,19 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
     """The other columns of ``docs`` with ``n_tokens`` in place of the text;
     ``extra`` ids are added per document."""
     rest = [c for c in docs.columns if c != text_col]
-    src = docs.select(col(text_col), *map(col, rest))
+    src = docs.select(col(text_col).cast("string").alias(text_col), *map(col, rest))
     schema = src.select(*map(col, rest), F.lit(0).cast("long").alias("n_tokens")).schema
 
     def run(batches):
-        for b in _slices(batches):
+        for b in batches:
+            tok = load(tokenizer_path)
             n = np.full(b.num_rows, extra, np.int64)
-            for rows, lengths, _ in encode_texts(load(tokenizer_path), b.column(0).to_pylist()):
-                np.add.at(n, rows, lengths)
+            for rows, bounds, codes, places in _coded(tok, b.column(0)):
+                size = pc.binary_length(codes).to_numpy(zero_copy_only=False) // tok.width
+                total = np.r_[0, np.cumsum(size[places.to_numpy(zero_copy_only=False)])]
+                np.add.at(n, rows, np.diff(total[bounds]))
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n)], [*rest, "n_tokens"])
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
@@ -290,23 +296,29 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str, text_col
                      end_id: int) -> DataFrame:
     """(id, ids): the ids of each document, end id included, as a binary of
     little-endian 16- or 32-bit numbers."""
-    src = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    src = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     schema = T.StructType([src.schema["id"], T.StructField("ids", T.BinaryType())])
 
     def run(batches):
-        for b in _slices(batches):
+        for b in batches:
             tok = load(tokenizer_path)
-            whole: list[list[bytes]] = [[] for _ in range(b.num_rows)]
-            for rows, lengths, flat in encode_texts(tok, b.column(1).to_pylist()):
-                raw = flat.astype(tok.dtype).tobytes()
-                width = np.dtype(tok.dtype).itemsize
-                ends = (np.cumsum(lengths) * width).tolist()
-                for row, s, e in zip(rows.tolist(), [0, *ends], ends):
-                    whole[row].append(raw[s:e])
             last = np.array([end_id], tok.dtype).tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([b"".join(x) + last for x in whole], pa.binary())],
-                ["id", "ids"])
+            done, parts = 0, []                       # rows given out, parts of the next one
+            for rows, lengths, ids in encode_texts(tok, b.column(1)):
+                raw, ends = ids.tobytes(), (np.cumsum(lengths) * tok.width).tolist()
+                out = []
+                for row, s, e in zip(rows.tolist(), [0, *ends], ends):
+                    if row > done:
+                        out.append(b"".join(parts) + last)
+                        done, parts = row, []
+                    parts.append(raw[s:e])
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(done - len(out), len(out)), pa.array(out, pa.binary())], ["id", "ids"])
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(done, 1), pa.array([b"".join(parts) + last], pa.binary())], ["id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)
 
