@@ -21,6 +21,7 @@ from parcelrisk.session import checkpoint_dir
 
 
 NULL_LEVEL = "NaN"      # the level that a null categorical becomes
+_ROW = "_pr_row"
 
 
 def spread_for_fitting(df: DataFrame) -> DataFrame:
@@ -138,3 +139,87 @@ def one_hot_levels(df: DataFrame, col: str) -> DataFrame:
     last = ranked.agg(F.max("level_index")).first()[0]      # one number
     return ranked.select("level", "n", F.col("level_index").cast("int").alias("level_index"),
                          (F.col("level_index") == F.lit(last)).cast("int").alias("all_zero"))
+
+
+def level_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, level, n, level_index): the levels of several columns, each column's
+    numbered as by ``one_hot_levels`` (frequency desc, ties alphabetical), all in one
+    distributed sort.  Null is the level ``NULL_LEVEL``."""
+    pairs = _level_pairs(df, cols, [])
+    counts = pairs.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
+    ranked = row_numbers(counts, ["column", F.col("n").desc(), "level"], "_pr_at")
+    first = ranked.groupBy("column").agg(F.min("_pr_at").alias("_pr_first"))       # one row per column
+    return ranked.join(first, "column").select(
+        "column", "level", "n", (F.col("_pr_at") - F.col("_pr_first")).alias("level_index"))
+
+
+def _level_pairs(df: DataFrame, cols: Sequence[str], ids: Sequence[str]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(
+        F.col(c).cast("string"), F.lit(NULL_LEVEL)).alias("level")) for c in cols])
+    return df.select(*ids, F.explode(each).alias("_pr_p")).select(*ids, "_pr_p.column", "_pr_p.level")
+
+
+def sparse_features(df: DataFrame, key: Sequence[str] | str, numeric: Sequence[str] = (),
+                    categorical: Sequence[str] = (), binary: Sequence[str] = (),
+                    out: str = "features") -> DataFrame:
+    """The key and ``out``, a sparse vector (a struct of ``size``, ``indices`` and ``values``)
+    with the slots of ``feature_pipeline``: scaled numerics, one-hot levels without the
+    last of each column, binaries.
+
+    For categoricals of any number of levels: ``feature_pipeline``'s indexer holds all
+    levels on the driver and in every task; here levels are numbered by a distributed sort
+    and joined by shuffle, one join for all columns, and only one number per column (its
+    slots) reaches the driver.  Returns the columns ``key`` and ``out``, one row per row."""
+    ids = [key] if isinstance(key, str) else list(key)
+    checkpoint_dir(df.sparkSession)
+    named = list(dict.fromkeys([*ids, *numeric, *categorical, *binary]))
+    # rows are numbered as they are written, so that keys needn't be unique
+    data = df.select(*named).withColumn(_ROW, F.monotonically_increasing_id()).checkpoint()
+    scale = {}
+    if numeric:
+        r = data.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in numeric]).first()   # one per column
+        scale = {c: r[c] for c in numeric}
+    n = len(numeric)
+    slots = [F.struct(F.lit(i).cast("long").alias("i"),
+                      (F.col(c).cast("double") / F.lit(scale[c])).alias("v") if scale[c] else F.lit(0.0).alias("v"))
+             for i, c in enumerate(numeric)]
+    first = {}
+    if categorical:
+        levels = level_numbers(data, categorical).checkpoint()
+        sizes = {r["column"]: r["n"] - 1 for r in levels.groupBy("column").agg(
+            F.count(F.lit(1)).alias("n")).collect()}                               # one row per column
+        for c in categorical:
+            first[c] = n
+            n += sizes.get(c, 0)
+    slots += [F.struct(F.lit(n + i).cast("long").alias("i"), F.coalesce(
+        F.col(c).cast("double"), F.lit(0.0)).alias("v")) for i, c in enumerate(binary)]
+    n += len(binary)
+    plain = data.select(_ROW, *ids, F.array(*slots).alias("_pr_s") if slots else
+                        F.array().cast("array<struct<i:bigint,v:double>>").alias("_pr_s"))
+    if categorical:
+        offset = F.create_map(*[x for c in categorical for x in (F.lit(c), F.lit(first[c]).cast("long"))])
+        count = F.create_map(*[x for c in categorical for x in (F.lit(c), F.lit(sizes.get(c, 0)).cast("long"))])
+        at = _level_pairs(data, categorical, [_ROW]).join(levels.drop("n"), ["column", "level"]) \
+            .where(F.col("level_index") < count[F.col("column")])
+        hot = at.groupBy(_ROW).agg(F.collect_list(F.struct(
+            (offset[F.col("column")] + F.col("level_index")).alias("i"), F.lit(1.0).alias("v"))).alias("_pr_h"))
+        plain = plain.join(hot, _ROW, "left").withColumn("_pr_s", F.concat(
+            "_pr_s", F.coalesce("_pr_h", F.array().cast("array<struct<i:bigint,v:double>>"))))
+    kept = F.array_sort(F.filter("_pr_s", lambda s: s["v"] != 0))
+    return plain.select(*ids, kept.alias("_pr_k")).select(*ids, F.struct(
+        F.lit(n).cast("long").alias("size"),
+        F.transform("_pr_k", lambda s: s["i"]).alias("indices"),
+        F.transform("_pr_k", lambda s: s["v"]).alias("values")).alias(out))
+
+
+def as_ml_vectors(df: DataFrame, col: str, path: str) -> DataFrame:
+    """``sparse_features`` as MLlib vectors: written to the new folder ``path`` in the layout
+    that MLlib's vectors have on disk and read back as such, without a row leaving
+    the JVM."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+    layout = F.struct(F.lit(0).cast("byte").alias("type"), F.col(col)["size"].cast("int").alias("size"),
+                      F.col(col)["indices"].cast("array<int>").alias("indices"), F.col(col)["values"].alias("values"))
+    df.withColumn(col, layout).write.parquet(path)
+    fields = [T.StructField(f.name, VectorUDT()) if f.name == col else f for f in df.schema]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)

@@ -33,4 +33,4 @@ def load_all() -> None:
     """Import every catalog module so that its queries register."""
     from parcelrisk.plans import (  # noqa: F401
         catalog, catalog_features, catalog_history, catalog_io, catalog_models, catalog_next,
-        catalog_nulls)
+        catalog_nulls, catalog_stores)

@@ -144,10 +144,26 @@ def read_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix:
     return out
 
 
-def _zip_rows(names: list[str], header: bool, encoding: str, sep: str, batch_rows: int,
-              member: str):
+def csv_chunks(fh, entry: str, names: list[str], header: bool, encoding: str, sep: str, batch_rows: int):
+    """Text columns ``names`` of an open CSV stream, in bounded chunks: C parser, text
+    kept as text, quotes and quoted newlines respected."""
     import pandas as pd
 
+    chunks = pd.read_csv(fh, sep=sep, header=0 if header else None, dtype=str, keep_default_na=False,
+                         na_filter=False, encoding=encoding, chunksize=batch_rows, index_col=False)
+    for chunk in chunks:
+        if not header:
+            if len(chunk.columns) != len(names):
+                raise ValueError(f"{entry}: {len(chunk.columns)} columns, the schema has {len(names)}")
+            chunk.columns = names
+        missing = [n for n in names if n not in chunk.columns]
+        if missing:
+            raise ValueError(f"{entry}: columns not in the file: {missing}")
+        yield chunk[names]
+
+
+def _zip_rows(names: list[str], header: bool, encoding: str, sep: str, batch_rows: int,
+              member: str):
     def run(batches):
         for pdf in batches:
             for content in pdf["content"]:
@@ -156,22 +172,7 @@ def _zip_rows(names: list[str], header: bool, encoding: str, sep: str, batch_row
                         if entry.endswith("/") or not fnmatch.fnmatch(entry.rsplit("/", 1)[-1], member):
                             continue
                         with zf.open(entry) as fh:
-                            # C parser, text kept as text, quotes and quoted
-                            # newlines respected, bounded chunks per batch
-                            chunks = pd.read_csv(
-                                fh, sep=sep, header=0 if header else None, dtype=str,
-                                keep_default_na=False, na_filter=False, encoding=encoding,
-                                chunksize=batch_rows, index_col=False)
-                            for chunk in chunks:
-                                if not header:
-                                    if len(chunk.columns) != len(names):
-                                        raise ValueError(f"{entry}: {len(chunk.columns)} columns, "
-                                                         f"the schema has {len(names)}")
-                                    chunk.columns = names
-                                missing = [n for n in names if n not in chunk.columns]
-                                if missing:
-                                    raise ValueError(f"{entry}: columns not in the file: {missing}")
-                                yield chunk[names]
+                            yield from csv_chunks(fh, entry, names, header, encoding, sep, batch_rows)
     return run
 
 
@@ -183,7 +184,10 @@ def read_zipped_delimited(spark: SparkSession, path: str, schema: T.StructType |
     """Zipped CSV archives below ``path``: the members whose name matches
     ``member``, parsed by pandas in chunks (quoted separators and newlines
     respected).  Columns are bound by header name (by position without a
-    header), as in ``read_delimited``.  Land the result as Parquet once."""
+    header), as in ``read_delimited``.  Land the result as Parquet once.
+
+    A task holds a whole archive (up to 2 GiB); larger ones, or archives of many
+    members, are read by ``archives.read_zip_members``."""
     schema = as_schema(schema)
     names = schema.fieldNames()
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \

@@ -8,6 +8,7 @@ import time
 import uuid
 import zipfile
 from collections.abc import Sequence
+from itertools import chain
 
 from py4j.protocol import Py4JJavaError
 from pyspark import TaskContext
@@ -100,7 +101,7 @@ def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", pref
     return spark.createDataFrame(status, "entry string, table_name string, status string")
 
 
-def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
+def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str, member_rows: int | None):
     import pandas as pd
     from pyarrow import fs as pafs
 
@@ -116,19 +117,41 @@ def _zip_writer(out_dir: str, member: str, names: list[str], encoding: str):
         filesystem, final = pafs.FileSystem.from_uri(target)
         tmp = f"{final}.{uuid.uuid4().hex}.tmp"
         filesystem.create_dir(final.rsplit("/", 1)[0], recursive=True)
+        stem, dot, ending = member.partition(".")
+
+        def members():
+            """(name, its batches); of ``member_rows`` rows each, if given."""
+            if member_rows is None:
+                yield member, chain([first], batches)
+                return
+            rest, k = chain([first], batches), 0
+            ahead = next(rest, None)
+            while ahead is not None:
+                def own():
+                    nonlocal ahead
+                    room = member_rows
+                    while ahead is not None and room:
+                        part, more = ahead.iloc[:room], ahead.iloc[room:]
+                        room -= len(part)
+                        ahead = more if len(more) else next((b for b in rest if len(b)), None)
+                        yield part
+                yield f"{stem}-{k:05d}{dot}{ending}", own()
+                k += 1
+
         n = 0
         # batches stream through the CSV writer into the deflated member on the
         # output stream: memory holds one batch, not the partition
         with filesystem.open_output_stream(tmp) as fh, \
-                zipfile.ZipFile(fh, "w", compression=zipfile.ZIP_DEFLATED) as zf, \
-                zf.open(member, "w", force_zip64=True) as raw:
-            text = io.TextIOWrapper(raw, encoding=encoding, newline="")
-            for pdf in ([first], batches):
-                for b in pdf:
-                    b.to_csv(text, index=False, header=names if n == 0 else False, lineterminator="\n")
-                    n += len(b)
-            text.flush()
-            text.detach()
+                zipfile.ZipFile(fh, "w", compression=zipfile.ZIP_DEFLATED) as zf:
+            for name, own in members():
+                with zf.open(name, "w", force_zip64=True) as raw:
+                    text = io.TextIOWrapper(raw, encoding=encoding, newline="")
+                    head = names
+                    for b in own:
+                        b.to_csv(text, index=False, header=head, lineterminator="\n")
+                        head, n = False, n + len(b)
+                    text.flush()
+                    text.detach()
         filesystem.move(tmp, final)
         yield pd.DataFrame({"path": [target], "rows": [n]})
     return run
@@ -147,8 +170,10 @@ def _target_uri(spark: SparkSession, path: str) -> str:
 
 
 def write_zipped_delimited(df: DataFrame, out_dir: str, member: str = "data.csv",
-                           encoding: str = "UTF-8", mode: str = "errorifexists") -> DataFrame:
-    """Write each partition as one zip archive holding one CSV member.
+                           encoding: str = "UTF-8", mode: str = "errorifexists",
+                           member_rows: int | None = None) -> DataFrame:
+    """Write each partition as one zip archive holding one CSV member, or, with
+    ``member_rows``, members of so many rows (``data-00000.csv``, ...), each with a header.
     Returns a (path, rows) table, one row per archive.  ``mode``:
     "errorifexists" writes when the result is evaluated; "overwrite" writes now,
     to a new folder, and puts the archives in the place of the old ones once all
@@ -166,9 +191,9 @@ def write_zipped_delimited(df: DataFrame, out_dir: str, member: str = "data.csv"
     text = df.select(*[F.col(c).cast("string").alias(c) for c in names])
     columns = "path string, rows long"
     if mode == "errorifexists":
-        return text.mapInPandas(_zip_writer(uri, member, names, encoding), columns)
+        return text.mapInPandas(_zip_writer(uri, member, names, encoding, member_rows), columns)
     staged = f"_new-{uuid.uuid4().hex[:12]}"
-    wrote = text.mapInPandas(_zip_writer(f"{uri}/{staged}", member, names, encoding), columns).collect()
+    wrote = text.mapInPandas(_zip_writer(f"{uri}/{staged}", member, names, encoding, member_rows), columns).collect()
     for info in there:
         if info.base_name.endswith(".zip"):
             filesystem.delete_file(info.path)
