@@ -4,14 +4,16 @@ from .quality import STOP_WORDS
 
 _WORDS = r"regexp_extract_all({t}, '[^\x20\x09-\x0D]+')"
 _STOPS = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+_LANGS = ", ".join(f"'{k}'" for k in STOP_WORDS)
 
 
 def quality_sql(source: str, columns: str) -> str:
-    """The quality rules over ``source`` (doc_id, text, ...)."""
+    """The quality rules over ``source`` (doc_id, text, lang, ...)."""
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS rid, * FROM {source}),
 base AS (
   SELECT rid, doc_id, coalesce(text, '') AS t,
+         lower(regexp_extract(coalesce(lang, ''), '^[A-Za-z]+')) IN ({_LANGS}) AS has_list,
          {_WORDS.format(t="coalesce(text, '')")} AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)),
                      lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
@@ -25,12 +27,13 @@ covered AS (
   SELECT rid, count(DISTINCT i + o) AS n
   FROM again, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
 m AS (
-  SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  SELECT rid, doc_id, has_list, CAST(len(w) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
          CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
          len(l) AS n_lines,
-         len(list_distinct(list_filter(w, lambda x: x IN ({_STOPS})))) AS n_stop_words,
+         len(list_distinct(list_filter(list_transform(w, lambda x: lower(x)),
+                                       lambda x: x IN ({_STOPS})))) AS n_stop_words,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM base LEFT JOIN covered USING (rid)),
 judged AS (
@@ -40,8 +43,8 @@ judged AS (
          CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_lines
   FROM m),
 ruled AS (
-  SELECT *, NOT base_failed AND n_words <= 1000000 AND mean_chars BETWEEN 2 AND 20
-         AND symbols <= 0.1 AND n_stop_words >= 2 AND dup_lines <= 0.5 AS kept
+  SELECT *, NOT base_failed AND mean_chars BETWEEN 2 AND 20 AND symbols <= 0.1
+         AND (n_stop_words >= 2 OR NOT has_list) AND dup_lines <= 0.5 AS kept
   FROM judged)
 SELECT {columns}"""
 

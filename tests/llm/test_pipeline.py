@@ -15,15 +15,16 @@ from parcelrisk.llm.queries import WORD_BPE, tokenizer_file
 from tokenizers import Tokenizer
 
 
-def plain_quality(docs):
+def plain_quality(docs, langs):
     stops = {w for ws in quality.STOP_WORDS.values() for w in ws}
     out = {}
     for i, t in docs.items():
         n, chars, symbols, dup, repeat = test_quality.plain(t)
         lines = [x for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-        words = set(re.findall(r"[^\x20\x09-\x0D]+", t))
+        words = {w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)}
+        listed = re.match("[A-Za-z]*", langs[i] or "")[0].lower() in quality.STOP_WORDS
         if n >= 50 and repeat <= 0.5 * n and 2 <= chars / n <= 20 and symbols / n <= 0.1 \
-                and len(words & stops) >= 2 and dup / len(lines) <= 0.5:
+                and (len(words & stops) >= 2 or not listed) and dup / len(lines) <= 0.5:
             out[i] = t
     return out
 
@@ -55,10 +56,11 @@ def plain_decontaminate(docs, items):
 
 
 def stages(spark):
-    docs = {r.doc_id: r.text for r in table(spark, SF_SMALL, "documents").collect()}
+    rows = table(spark, SF_SMALL, "documents").collect()
+    docs, langs = ({r.doc_id: r[c] for r in rows} for c in ("text", "lang"))
     items = [(r.item_id, r.text) for r in table(spark, SF_SMALL, "benchmark").collect()]
     yield docs
-    for f in (plain_quality, plain_lines, plain_simhash, lambda d: plain_decontaminate(d, items)):
+    for f in (lambda d: plain_quality(d, langs), plain_lines, plain_simhash, lambda d: plain_decontaminate(d, items)):
         docs = f(docs)
         yield docs
 
