@@ -9,8 +9,10 @@ can still get is opened.  That is tried with every permitted length as the
 smallest to open; each bin is then downsized to the smallest length that holds
 its contents, and the plan of least total cost is taken.
 
+The plan depends on the ids and lengths only, not on how the table is partitioned.
+
 Edge cases: documents of null or no length are returned unplaced (null bin).
-Ties in length go by id, piece and row, ties between bins to the fullest and
+Ties in length go by id, piece and the document's length, ties between bins to the fullest and
 then the oldest, ties in cost to the smaller length.  Rows of one id or a null
 id are placed each for itself.  Other input columns are not read.  An empty
 table gives an empty result.
@@ -33,6 +35,7 @@ from .common import col, written
 from .token_ids import token_counts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
+_ALIKE = 10_000              # rows of one id and length that are made at a time
 
 
 def sequence_cost(capacity: int) -> float:
@@ -94,16 +97,22 @@ def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "
     capacities = tuple(sorted(set(capacities)))
     top = capacities[-1]
     src = written(lengths.select(
-        col(id_col).alias("id"), F.coalesce(col(length_col), F.lit(0)).cast("long").alias("n"),
-        F.monotonically_increasing_id().alias("place")), "packing-lengths")
-    cut = src.filter("n > 0").select(
-        "id", "place", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {top}"))
-                                      ).alias("piece"))
-    cut = cut.select("id", "place", "piece", (F.col("piece") * top).alias("start"),
+        col(id_col).alias("id"), F.coalesce(col(length_col), F.lit(0)).cast("long").alias("n")),
+        "packing-lengths")
+    # rows of one id and length are alike; they are numbered, however the table is
+    # partitioned, and made again in groups that no task holds whole
+    alike = src.filter("n > 0").groupBy("id", "n").agg(F.count(F.lit(1)).alias("rows"))
+    tens = alike.select("id", "n", "rows", F.explode(F.sequence(
+        F.lit(0), F.expr(f"(rows - 1) div {_ALIKE}"))).alias("ten"))
+    cut = tens.select("id", "n", F.explode(F.sequence(
+        F.col("ten") * _ALIKE, F.least(F.col("ten") * _ALIKE + _ALIKE, F.col("rows")) - 1)).alias("place"))
+    cut = cut.select("id", "place", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {top}"))
+                                                   ).alias("piece"))
+    cut = cut.select("id", "place", "n", "piece", (F.col("piece") * top).alias("start"),
                      F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
     n_pieces = src.filter("n > 0").agg(F.sum(F.expr(f"(n - 1) div {top} + 1"))).first()[0] or 0
     shards = max(1, -(-n_pieces // shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "place"), F.lit(shards)))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "n", "place"), F.lit(shards)))
     id_field = T.StructField("id", src.schema["id"].dataType)
     schema = T.StructType([id_field, *(T.StructField(c, T.LongType()) for c in (
         "piece", "start", "length", "bin_id", "bin_offset", "capacity", "bin_used"))])
@@ -111,7 +120,7 @@ def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "
     def pack(group: pa.Table) -> pa.Table:
         order = pc.sort_indices(group, sort_keys=[
             ("length", "descending"), ("id", "ascending"), ("piece", "ascending"),
-            ("place", "ascending")])
+            ("n", "ascending"), ("place", "ascending")])
         group = group.take(order)
         sizes = group["length"].to_pylist()
         where, used, final = best_fit(sizes, capacities, cost)
@@ -127,7 +136,7 @@ def pack_lengths(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "
             "bin_offset": np.array(offsets, np.int64), "capacity": np.array(final, np.int64)[at],
             "bin_used": np.array(used, np.int64)[at]})
 
-    placed = dealt.select("shard", "id", "place", F.col("piece").cast("long"), "start",
+    placed = dealt.select("shard", "id", "n", "place", F.col("piece").cast("long"), "start",
                           "length").groupBy("shard").applyInArrow(pack, schema)
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     unplaced = src.filter("n <= 0").select(

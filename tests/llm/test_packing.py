@@ -81,3 +81,12 @@ def test_documents_nulls_repeats_and_empty(spark):
         (True, 0, 0, 4), (True, 0, 0, 4)]
     assert len({(r.bin_id, r.bin_offset) for r in rows}) == len(rows)
     assert P.pack_documents(documents(spark, []), path).count() == 0
+
+
+def test_the_plan_does_not_depend_on_the_partitions(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(60) if i % 7 else None, rng.randrange(1, 3000)) for i in range(400)]
+    rows += [(5, 700)] * 90 + [(None, 9000)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    plans = [sorted(map(str, P.pack_lengths(df.repartition(n), shard_pieces=60).collect())) for n in (1, 3, 7)]
+    assert plans[0] == plans[1] == plans[2] and len(plans[0]) >= 495
