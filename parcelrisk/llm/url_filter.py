@@ -4,17 +4,22 @@ Mining: a URL's tokens (host labels, path segments, file kind, query names)
 and the label of its page form one transaction; Spark's FP-growth finds the
 frequent token sets.  A set X becomes a block rule when X with the bad label
 reaches the support, and its share of X the confidence.  All labelled URLs
-are used.
-
-Matching: an inverted index posts each rule under its rarest token; distinct
-URLs meet it by token, and a posted rule is verified against all tokens.
+are used.  Tokens that occur in exactly the same URLs (a site's host, its labels,
+a path that only it has) say the same, so they are one item for the mining; a
+rule holds such a class where any token of it would make the rule.  A rule that
+contains another one never changes a verdict and is left out.  So the sets that
+are mined don't multiply with the parts of a path.
+
+Matching: an inverted index posts each rule under the tokens of its rarest class;
+distinct URLs meet it by token, and a posted rule is verified against all tokens.
 Common tokens therefore carry no postings unless a rule has no rarer one.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path and
 no tokens, fits no rule and is allowed.  Rows are judged one by one, so null
 ids and repeated rows need no rule; the longest fixed rule (host and path
 together) wins.  Labels with null id or value don't count.  Without labelled
-rows nothing is mined.  Other columns of the input are not read.
+rows nothing is mined; an empty table of pages gives an empty result.  Other
+columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -94,22 +99,46 @@ def url_tokens(url: Column) -> Column:
     return F.when(host != "", F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
+def _merged(bags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bags with one item for tokens of the same bags, (item, tokens) of the items).
+
+    Tokens are of the same bags when two 64-bit sums and two 64-bit parities over the
+    hashes of their bags, and the number of these, are the same."""
+    at = bags.select("bag", F.explode("items").alias("token"))
+    h1, h2 = F.xxhash64("bag"), F.xxhash64(F.lit(1), "bag")
+    same = at.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"),
+        F.sum(h1.cast("decimal(20,0)")).alias("s1"), F.sum(h2.cast("decimal(20,0)")).alias("s2"))
+    # the label is an item of its own, whatever occurs with it
+    classes = same.groupBy("n", "x1", "x2", "s1", "s2", F.col("token") == _BAD).agg(
+        F.sort_array(F.collect_list("token")).alias("tokens"))
+    classes = written(classes.select(F.get("tokens", F.lit(0)).alias("item"), "tokens"), "url-items")
+    items = classes.select("item", F.explode("tokens").alias("token"))
+    merged = at.join(items, "token").groupBy("bag").agg(F.collect_set("item").alias("items"))
+    return merged, classes
+
+
 def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
                min_support: float = 0.001, min_confidence: float = 0.6) -> DataFrame:
-    """(tokens, post, support, confidence): token sets whose URLs are bad.
+    """(tokens, alternatives, post, support, confidence): the least token sets whose
+    URLs are bad.
 
     ``labelled`` has URLs and a boolean; ``min_support`` is the least share of
-    all rows that have the whole set and are bad; ``post`` is the rarest token."""
+    all rows that have the whole set and are bad; ``tokens`` has the first token of each
+    class of the rule and ``alternatives`` all of them, of which one has to be there;
+    ``post`` is the rarest of ``tokens``."""
     spark = labelled.sparkSession
     bags = labelled.filter(col(bad_col).isNotNull()).select(F.concat(
         url_tokens(col(url_col)), F.when(col(bad_col), F.array(F.lit(_BAD))).otherwise(
             F.array().cast("array<string>"))).alias("items")).filter(F.size("items") > 0)
-    bags = written(bags, "url-bags")
+    bags = written(bags.withColumn("bag", F.monotonically_increasing_id()), "url-bags")
     n = bags.count()
-    schema = "tokens array<string>, post string, support double, confidence double"
+    schema = "tokens array<string>, alternatives array<array<string>>, post string, support double, confidence double"
     if not n:
         return spark.createDataFrame([], schema)
-    sets = written(FPGrowth(itemsCol="items", minSupport=min_support).fit(bags).freqItemsets.select(
+    merged, classes = _merged(bags)
+    sets = written(FPGrowth(itemsCol="items", minSupport=min_support).fit(
+        written(merged, "url-merged")).freqItemsets.select(
         F.sort_array("items").alias("items"), "freq"), "url-sets")
     bad = sets.filter(F.array_contains("items", _BAD) & (F.size("items") > 1)).select(
         F.array_remove("items", _BAD).alias("items"), F.col("freq").alias("n_bad"))
@@ -119,20 +148,34 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     rules = rules.filter(F.col("confidence") >= min_confidence)
     single = sets.filter(F.size("items") == 1).select(
         F.get("items", F.lit(0)).alias("token"), F.col("freq").alias("n_token"))
-    posted = rules.withColumn("token", F.explode("tokens")).join(single, "token")
+    posted = rules.withColumn("token", F.explode("tokens")).join(single, "token").join(
+        classes.select(F.col("item").alias("token"), F.col("tokens").alias("any")), "token")
     post = posted.groupBy("tokens", "support", "confidence").agg(
-        F.min(F.struct("n_token", "token"))["token"].alias("post"))
-    return post.select("tokens", "post", "support", "confidence")
+        F.min(F.struct("n_token", "token"))["token"].alias("post"),
+        F.transform(F.sort_array(F.collect_list(F.struct("token", "any"))),
+                    lambda x: x["any"]).alias("alternatives"))
+    return _least(written(post.select("tokens", "alternatives", "post", "support", "confidence"), "url-rules"))
+
+
+def _least(rules: DataFrame) -> DataFrame:
+    """The rules that contain no other one: those that do meet it by its rarest item."""
+    within = rules.select(F.col("tokens").alias("less"), "post")
+    met = rules.select("tokens", F.explode("tokens").alias("post")).join(within, "post").filter(
+        (F.size("less") < F.size("tokens")) & (F.size(F.array_except("less", "tokens")) == 0))
+    return rules.join(met.select("tokens").distinct(), "tokens", "left_anti").select(*rules.columns)
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """(url): the different URLs that at least one mined rule matches."""
     tokened = urls.select(col(url_col).alias("url")).filter("url is not null").distinct().select(
         "url", url_tokens(F.col("url")).alias("have"))
-    index = rules.select("post", F.col("tokens").alias("need"))
+    if "alternatives" not in rules.columns:          # each token stands for itself
+        rules = rules.withColumn("alternatives", F.transform("tokens", lambda x: F.array(x)))
+    at = F.array_position("tokens", F.col("post")).cast("int") - 1
+    index = rules.select(F.explode(F.get("alternatives", at)).alias("post"), F.col("alternatives").alias("need"))
     posted = tokened.select("url", "have", F.explode("have").alias("post"))
-    return posted.join(index, "post").filter(
-        F.size(F.array_except("need", "have")) == 0).select("url").distinct()
+    return posted.join(index, "post").filter(F.forall(
+        "need", lambda one: F.arrays_overlap(one, F.col("have")))).select("url").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",

@@ -1,7 +1,7 @@
 import random
 import re
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 from helpers import SF_SMALL, ascii_lower
 from parcelrisk.llm import url_filter as U
@@ -55,23 +55,36 @@ def tokens(spark, urls):
     return [r.t for r in df.select(U.url_tokens(df.url).alias("t")).collect()]
 
 
-def test_mined_rules_equal_plain_counts(spark):
-    rows = sample(spark)
-    got = U.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.02,
-                       min_confidence=0.6).collect()
-    bags = list(zip((set(t) for t in tokens(spark, [u for u, _ in rows])), (b for _, b in rows)))
-    seen, bad, single = Counter(), Counter(), Counter()
+def plain_rules(bags, min_support, min_confidence):
+    """All token sets that reach both limits: {set: (support, confidence)}."""
+    seen, bad = Counter(), Counter()
     for bag, b in bags:
-        single.update(bag)
         for k in range(1, len(bag) + 1):
             for c in combinations(sorted(bag), k):
                 seen[c] += 1
                 bad[c] += b
-    want = {c: (bad[c] / 400, bad[c] / n) for c, n in seen.items()
-            if bad[c] >= 0.02 * 400 and bad[c] / n >= 0.6}
-    assert {tuple(r.tokens): (r.support, r.confidence) for r in got} == want and want
+    return {c: (bad[c] / len(bags), bad[c] / n) for c, n in seen.items()
+            if bad[c] >= min_support * len(bags) and bad[c] / n >= min_confidence}
+
+
+def test_mined_rules_equal_plain_counts(spark):
+    rows = sample(spark)
+    got = U.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), min_support=0.02,
+                       min_confidence=0.6).collect()
+    bags = list(zip((set(t) for t in tokens(spark, [u for u, _ in rows])), (b for _, b in rows)))
+    every = plain_rules(bags, 0.02, 0.6)
+    least = {c: v for c, v in every.items() if not any(set(o) < set(c) for o in every)}
+    spelled = {}
+    for r in got:
+        assert [a[0] for a in r.alternatives] == r.tokens and r.post in r.tokens
+        for c in product(*r.alternatives):
+            spelled[tuple(sorted(c))] = (r.support, r.confidence)
+    assert spelled == least and least
+    single = Counter(t for bag, _ in bags for t in bag)
     for r in got:
         assert r.post == min(r.tokens, key=lambda t: (single[t], t))
+        for a in r.alternatives:           # a class: tokens of the same URLs
+            assert len({frozenset(i for i, (bag, _) in enumerate(bags) if t in bag) for t in a}) == 1
 
 
 def test_index_equals_plain_match(spark):
@@ -79,16 +92,33 @@ def test_index_equals_plain_match(spark):
     df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)] + [(None, None, True)] * 2,
                                "page_id long, url string, bad boolean").selectExpr("*", "1 as id", "2 as host")
     rules = U.mine_rules(df, min_support=0.02)
-    sets = [set(r.tokens) for r in rules.collect()]
-    got = U.judge_urls(df, rules)
     have = tokens(spark, [u for u, _ in rows])
+    every = [set(c) for c in plain_rules([(set(t), b) for t, (_, b) in zip(have, rows)] + [({"label"}, True)] * 2,
+                                         0.02, 0.6) if c != ("label",)]
+    more = ["http://spam.site.org/other/9", "http://x.site.org/xx/1", "http://spam/yy"]      # not labelled
+    got = U.judge_urls(df.unionByName(spark.createDataFrame(
+        [(1000 + i, u) for i, u in enumerate(more)], "page_id long, url string"), allowMissingColumns=True), rules)
+    have = dict(enumerate(have)) | {1000 + i: t for i, t in enumerate(tokens(spark, more))}
     for r in got.filter("page_id is not null").collect():
-        assert r.mined == any(s <= set(have[r.page_id]) for s in sets)
+        assert r.mined == any(s <= set(have[r.page_id]) for s in every), r
         assert r.verdict == ("block" if r.mined else "allow")
     assert got.filter("page_id is null").count() == 2
     assert got.filter("mined").count() > 20
 
 
+def test_long_paths_of_one_site_make_one_rule(spark):
+    path = "/".join(f"part{i}" for i in range(25))
+    rows = [(f"http://bad.site.org/{path}", True)] * 20 + [(f"http://ok.site.org/{i}", i % 9 == 0) for i in range(980)]
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = U.mine_rules(df, min_support=0.01).collect()
+    assert len(rules) == 1 and len(rules[0].tokens) == 1 and rules[0].support == 0.02
+    assert {f"path:part{i}" for i in range(25)} <= set(rules[0].alternatives[0])
+    asked = [f"http://bad.site.org/{path}", "http://bad.site.org/", "http://ok.site.org/part7", "http://ok.site.org/1"]
+    got = U.judge_urls(pages(spark, asked), U.mine_rules(df, min_support=0.01))
+    # what all 2 ** 27 sets of these tokens would say
+    assert [r.mined for r in got.orderBy("page_id").collect()] == [True, True, True, False]
+
+
 def test_empty_tables(spark):
     rules = U.mine_rules(spark.createDataFrame([], "url string, bad boolean"))
     assert rules.count() == 0
