@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.functions.scalars import bool_to_int, flag, nan_to_null
-from parcelrisk.operators.ranking import null_safe, row_numbers
+from parcelrisk.operators.ranking import null_safe
+from parcelrisk.session import checkpoint_dir
 
 
 def flag_columns(df: DataFrame, cols: Sequence[str], true_value="Y") -> DataFrame:
@@ -65,15 +66,26 @@ def row_at(df: DataFrame, order_cols: Sequence[str], n: int) -> DataFrame:
     is not defined in Spark, so the order is explicit).  Ties are ordered by a
     hash of the whole row, so there is one row for every n below the row count.
 
-    Only the order columns and the hash are numbered, by a distributed sort;
-    the one key at position n then picks its row by a null-safe semi join."""
+    The order columns and the hash are dealt to ranges of the order and counted;
+    only the range that holds position n is sorted, and the one key found there
+    picks its row by a null-safe semi join."""
     order = _order(order_cols, True)
-    plain = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
+    plain = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
+             for f in df.schema]
     h = {"_pr_h1": F.xxhash64(*plain), "_pr_h2": F.xxhash64(F.lit(1), *plain)}
     keys = [*order_cols, *h]
     tagged = df.withColumns(h)
-    at = row_numbers(tagged.select(*dict.fromkeys(keys)), [*order, *h], "_pr_pos") \
-        .where(F.col("_pr_pos") == F.lit(n))
+    checkpoint_dir(df.sparkSession)
+    # checkpointed: the bounds of the ranges come from a sample
+    ranges = tagged.select(*dict.fromkeys(keys)).repartitionByRange(*order, *h) \
+        .withColumn("_pr_range", F.spark_partition_id()).checkpoint(eager=True)
+    before, holds = 0, -1
+    for r in ranges.groupBy("_pr_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_pr_range").collect():
+        if n < before + r["n"]:                                    # one row per range
+            holds = r["_pr_range"]
+            break
+        before += r["n"]
+    at = ranges.where(F.col("_pr_range") == F.lit(holds)).orderBy(*order, *h).offset(max(n - before, 0)).limit(1)
     at = at.select(*[F.col(c).alias(f"_pr_at{i}") for i, c in enumerate(keys)])
     on = null_safe(tagged, at, [(c, f"_pr_at{i}") for i, c in enumerate(keys)])
     # exact repeats of the row have the same key: one of them is the result

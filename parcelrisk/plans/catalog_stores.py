@@ -4,10 +4,12 @@ as sketches, wide sparse features, and models."""
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parcelrisk.operators import features as feat
 from parcelrisk.operators import folds, model_store, sketches
+from parcelrisk.operators.schema import ColumnRoles, other_columns
 from parcelrisk.plans.catalog import LABELS_SQL, _w
 from parcelrisk.plans.catalog_io import CUSTOMER_SCHEMA
 from parcelrisk.plans.catalog_models import CUSTOMER_ROLES, customer_table
@@ -15,7 +17,7 @@ from parcelrisk.plans.registry import query, t
 from parcelrisk.session import scratch_dir
 from parcelrisk.sources.archives import read_zip_members
 from parcelrisk.sources.rejects import read_with_rejects
-from parcelrisk.sources.sinks import write_delimited, write_zipped_delimited
+from parcelrisk.sources.sinks import write_delimited, write_run, write_zipped_delimited
 
 
 # ---------------------------------------------------------------- sources
@@ -84,6 +86,32 @@ def q_limited_rows(spark, sf):
                     F.lit(none.count()).cast("int").alias("n_header_only"))
 
 
+@query("extract_tables", """
+SELECT 'units' AS extract, CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS v FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT 'buildings', o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 1""")
+def q_extract_tables(spark, sf):
+    """The unit and the building extract as they are, one zipped and one plain."""
+    from parcelrisk.plans.recipes import residential_buildings, units_table
+    base = scratch_dir(spark, "extracts")
+    o = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("v"))
+    # a folder may be named like an archive: both readers take folders
+    write_zipped_delimited(o.where("k % 2 = 0"), f"{base}/units.zip").collect()         # one row per archive
+    write_delimited(o.where("k % 2 = 1"), f"{base}/buildings.csv")
+    units = units_table(spark, f"{base}/units.zip", "k bigint, v bigint")
+    buildings = residential_buildings(spark, f"{base}/buildings.csv", "k bigint, v bigint")
+    return units.select(F.lit("units").alias("extract"), "k", "v").unionByName(
+        buildings.select(F.lit("buildings").alias("extract"), "k", "v"))
+
+
+@query("run_overwritten", "SELECT o_orderkey, o_totalprice FROM orders")
+def q_run_overwritten(spark, sf):
+    """A feature table written twice under one run id, the second time in place of the first."""
+    base = scratch_dir(spark, "runs")
+    o = t(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    write_run(o.where("o_orderkey % 2 = 0"), base, run_id="features")
+    return spark.read.parquet(write_run(o, base, run_id="features", mode="overwrite"))
+
+
 # ---------------------------------------------------------------- profiles
 
 @query("merged_profiles", """
@@ -140,6 +168,27 @@ def q_features_sparse_wide(spark, sf):
                     F.round(F.col("v.values")[1], 6).alias("price"))
 
 
+@query("other_columns_vector", """
+WITH d AS (SELECT stddev_samp(l_quantity) AS q, stddev_samp(l_discount) AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / d.q, 6) AS quantity,
+       round(l_discount / d.e, 6) AS discount, round(l_extendedprice, 6) AS price, round(l_tax, 6) AS tax
+FROM lineitem, d""")
+def q_other_columns_vector(spark, sf):
+    """A side vector of all columns that are not named (scaled), joined with the vector of the
+    named ones (as they are) into one."""
+    ids = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    li = t(spark, sf, "lineitem").select(*ids, "l_quantity", "l_discount", "l_extendedprice", "l_tax")
+    rest = other_columns(li, [*ids, "l_extendedprice", "l_tax"])
+    roles = ColumnRoles(key=ids[0], identity=tuple(ids[1:]), numeric=tuple(rest),
+                        passthrough=("l_extendedprice", "l_tax"))
+    side, _ = feat.build_features(li, roles, out="side")
+    both = feat.combine_vectors(feat.combine_vectors(side, ["l_extendedprice", "l_tax"], "named"),
+                                ["side", "named"], "v")
+    v = vector_to_array("v")
+    return both.select(*ids, *[F.round(v[i], 6).alias(n) for i, n in enumerate(
+        ("quantity", "discount", "price", "tax"))])
+
+
 # ---------------------------------------------------------------- models
 
 def _small_forest(label: str, seed: int = 7) -> RandomForestClassifier:

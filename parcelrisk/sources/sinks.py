@@ -8,6 +8,7 @@ import time
 import uuid
 import zipfile
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import chain
 
 from py4j.protocol import Py4JJavaError
@@ -70,7 +71,7 @@ def save_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
 
 def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", prefix: str = "EXTR_",
                        database: str | None = None, schema=None, schema_only: bool = False,
-                       **read_opts) -> DataFrame:
+                       parallelism: int = 8, **read_opts) -> DataFrame:
     """Create one catalog table per top-level entry of ``path`` (a file, or
     a folder of part files), named from the entry.  Every entry is reported
     and none stops the others: ``created``; ``exists`` (the table is left
@@ -80,24 +81,34 @@ def register_directory(spark: SparkSession, path: str, glob: str = "*.csv", pref
     ``schema`` may be a dict by table name.  With ``schema_only`` the tables
     are created empty, with the columns (and types) of the files.  Returns
     (entry, table_name, status) rows."""
-    status, made = [], set()
-    for entry in directory_entries(spark, path, glob):          # one row per entry
-        name = entry_table_name(entry, prefix)
+    def create(entry: str, name: str) -> tuple[str, str, str]:
         full = name if database is None else f"{database}.{name}"
-        if name in made:
-            status.append((entry, name, "clash"))
-            continue
         try:
             own = schema.get(name) if isinstance(schema, dict) else schema
             src = read_delimited(spark, f"{path.rstrip('/')}/{entry}", schema=own, glob=glob, **read_opts)
             (src.limit(0) if schema_only else src).write.mode("errorifexists").saveAsTable(full)
-            made.add(name)
-            status.append((entry, name, "created"))
+            return entry, name, "created"
         except (PySparkException, Py4JJavaError, ValueError) as e:     # the entry's fault
             known = isinstance(e, AnalysisException) and (
                 "ALREADY_EXISTS" in str(e) or "already exists" in str(e))
             said = " ".join(str(e).split("\n", 1)[0].split())[:300]
-            status.append((entry, name, "exists" if known else f"failed: {type(e).__name__}: {said}"))
+            return entry, name, "exists" if known else f"failed: {type(e).__name__}: {said}"
+
+    # the entries of one name go one after the other, until one makes the table; names
+    # go side by side, a few at a time (each is a job of its own)
+    entries: dict[str, list[str]] = {}
+    for entry in directory_entries(spark, path, glob):          # one row per entry
+        entries.setdefault(entry_table_name(entry, prefix), []).append(entry)
+
+    def create_one(name: str) -> list[tuple[str, str, str]]:
+        out, made = [], False
+        for entry in entries[name]:
+            out.append((entry, name, "clash") if made else create(entry, name))
+            made = made or out[-1][2] == "created"
+        return out
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        status = [row for rows in pool.map(create_one, entries) for row in rows]
     return spark.createDataFrame(status, "entry string, table_name string, status string")
 
 
