@@ -10,21 +10,28 @@ Words that the items do not use cannot be part of a match, nor can pairs of
 words that no item has side by side, so only runs of known pairs that are long
 enough enter the automaton; the run search is vectorised and loses no match.
 
-The automaton is broadcast.  Its size is bounded by ``max_words`` item words;
-a larger test set is cut into groups of at most that many (long items with an
-overlap, so that no window is lost), and the documents are read once per group.
+The automaton is broadcast in arrays.  Its size is bounded by ``max_words`` item
+words (some 40 bytes each, and about 700 while the driver builds it); a larger test
+set is cut into groups of at most that many (long items with an overlap, so that no
+window is lost).  The documents are then written once and read once per group, and
+what the groups found is joined to them by row.  The item texts pass through the
+driver, one group at a time.
 
 Edge cases: a null or empty text has no words.  Items without words have no
 window; item rows with a null id mark words but are not listed; repeated items
 count once.  Rows are judged one by one, so null document ids, repeated rows
 and ties need no rule; a very long text is read in segments.  Other columns
-pass through whatever their names.  An empty item table hits nothing.
+pass through whatever their names.  An empty item table hits nothing; an empty
+table of documents gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -55,47 +62,23 @@ def normal_words(text: str | None) -> Iterator[list[bytes]]:
         start = end
 
 
-class SuffixAutomaton:
-    """Generalised suffix automaton over the words of test items."""
+class _Builder:
+    """The states of the automaton while items are added."""
 
-    def __init__(self, items: Iterable[tuple[str | None, list[bytes], bool]], window: int):
-        """``items``: (id, words, whole); a part of a cut item is not whole."""
-        self.window = window
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        coded = [(name, [self.vocab.setdefault(w, len(self.vocab)) for w in words])
-                 for name, words, _ in items if words]
-        for _, word_ids in coded:
-            last = 0
-            for w in word_ids:
-                last = self._extend(last, w)
-        self.windows: dict[int, set] = {}          # state of a full window -> items
-        self.shorter: dict[int, list] = {}         # state of a short item -> (words, item)
-        self.least = window
-        for name, word_ids in coded:
-            state = 0
-            for i, w in enumerate(word_ids):
-                state = self._suffix(self.next[state][w], min(i + 1, window))
-                if i + 1 >= window:
-                    self.windows.setdefault(state, set()).add(name)
-            if len(word_ids) < window:
-                self.shorter.setdefault(state, []).append((len(word_ids), name))
-                self.least = min(self.least, len(word_ids))
-        # the nearest state with short items on each state's suffix chain
-        self.up = [-1] * len(self.link)
-        if self.shorter:
-            for s in sorted(range(len(self.link)), key=self.length.__getitem__):
-                self.up[s] = s if s in self.shorter else self.up[self.link[s]] if s else -1
-        self.size = len(self.vocab)
-        pairs = {a * self.size + b for _, ids in coded for a, b in zip(ids, ids[1:])}
-        self.pairs = np.array(sorted(pairs), np.int64)
+        self.link, self.length = array("i", [-1]), array("i", [0])
+
+    def add(self, word_ids: list[int]) -> None:
+        last = 0
+        for w in word_ids:
+            last = self._extend(last, w)
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
             q = self.next[last][w]
             return q if self.length[q] == self.length[last] + 1 else self._split(last, w, q)
-        new = self._add({}, self.length[last] + 1, 0)
+        new = self._state({}, self.length[last] + 1, 0)
         p = last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = new
@@ -106,19 +89,96 @@ class SuffixAutomaton:
         return new
 
     def _split(self, p: int, w: int, q: int) -> int:
-        copy = self._add(dict(self.next[q]), self.length[p] + 1, self.link[q])
+        copy = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = copy
             p = self.link[p]
         self.link[q] = copy
         return copy
 
-    def _add(self, nxt: dict, length: int, link: int) -> int:
+    def _state(self, nxt: dict, length: int, link: int) -> int:
         self.next.append(nxt)
         self.length.append(length)
         self.link.append(link)
         return len(self.link) - 1
 
+
+class _Lists:
+    """Lists of numbers by key, in three arrays."""
+
+    def __init__(self, lists: dict[int, list[int]]):
+        self.keys, self.first, self.values = array("i", sorted(lists)), array("i", [0]), array("i")
+        for k in self.keys:
+            self.values.extend(lists[k])
+            self.first.append(len(self.values))
+
+    def __contains__(self, key: int) -> bool:
+        at = bisect_left(self.keys, key)
+        return at < len(self.keys) and self.keys[at] == key
+
+    def of(self, key: int) -> array:
+        at = bisect_left(self.keys, key)
+        if at == len(self.keys) or self.keys[at] != key:
+            return self.values[:0]
+        return self.values[self.first[at]:self.first[at + 1]]
+
+
+class SuffixAutomaton:
+    """Generalised suffix automaton over the words of test items.
+
+    Once built it is held in arrays, the steps of a state side by side in the order
+    of their words: some 40 bytes per item word, besides the different words."""
+
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes], bool]], window: int):
+        """``items``: (id, words, whole); a part of a cut item is not whole."""
+        self.window = window
+        self.vocab: dict[bytes, int] = {}
+        coded = [(name, array("i", [self.vocab.setdefault(w, len(self.vocab)) for w in words]))
+                 for name, words, _ in items if words]
+        built = _Builder()
+        for _, word_ids in coded:
+            built.add(word_ids)
+        self.link, self.length = built.link, built.length
+        self.first, self.by, self.to = array("i", [0]), array("i"), array("i")
+        for state, nxt in enumerate(built.next):
+            for w in sorted(nxt):
+                self.by.append(w)
+                self.to.append(nxt[w])
+            self.first.append(len(self.by))
+            built.next[state] = None               # not held twice
+        del built
+        self.names: list[str | None] = list(dict.fromkeys(name for name, _ in coded))
+        number = {name: k for k, name in enumerate(self.names)}
+        windows: dict[int, list] = {}              # state of a full window -> items
+        shorter: dict[int, list] = {}              # state of a short item -> words, item, words, ...
+        self.least = window
+        for name, word_ids in coded:
+            state = 0
+            for i, w in enumerate(word_ids):
+                state = self._suffix(self.step(state, w), min(i + 1, window))
+                if i + 1 >= window:
+                    own = windows.setdefault(state, [])
+                    if number[name] not in own[-1:]:
+                        own.append(number[name])
+            if len(word_ids) < window:
+                shorter.setdefault(state, []).extend((len(word_ids), number[name]))
+                self.least = min(self.least, len(word_ids))
+        self.windows, self.shorter = _Lists(windows), _Lists(shorter)
+        # the nearest state with short items on each state's suffix chain
+        self.up = array("i", [-1]) * len(self.link)
+        if shorter:
+            for s in sorted(range(len(self.link)), key=self.length.__getitem__):
+                self.up[s] = s if s in shorter else self.up[self.link[s]] if s else -1
+        self.size = len(self.vocab)
+        pairs = {a * self.size + b for _, ids in coded for a, b in zip(ids, ids[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+
+    def step(self, state: int, w: int) -> int:
+        """The state after ``state`` and the word, -1 if there is none."""
+        end = self.first[state + 1]
+        at = bisect_left(self.by, w, self.first[state], end)
+        return self.to[at] if at < end and self.by[at] == w else -1
+
     def _suffix(self, state: int, length: int) -> int:
         """The state that holds the last ``length`` words of ``state``."""
         while self.length[self.link[state]] >= length:
@@ -154,26 +214,28 @@ class SuffixAutomaton:
                 start = min(start, spans.pop()[0])
             spans.append((start, end))
 
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        step, link, length, window = self.step, self.link, self.length, self.window
+        names = self.names
         for start, end in self.runs(ids):
             state = matched = 0
             for i, w in enumerate(ids[start:end].tolist(), start):
-                while state and w not in nxt[state]:
+                to = step(state, w)
+                while to < 0 and state:
                     state = link[state]
                     matched = length[state]
-                to = nxt[state].get(w)
-                if to is None:
+                    to = step(state, w)
+                if to < 0:
                     continue
                 state, matched = to, matched + 1
                 if matched >= window:
-                    state_w = self._suffix(state, window)
-                    items |= self.windows[state_w]
+                    items.update(names[k] for k in self.windows.of(self._suffix(state, window)))
                     hit(i + 1 - window, i + 1)
                 s = self.up[state]
                 while s >= 0:
-                    for n, name in self.shorter[s]:
+                    own = self.shorter.of(s)
+                    for n, k in zip(own[::2], own[1::2]):
                         if n <= matched:
-                            items.add(name)
+                            items.add(names[k])
                             hit(i + 1 - n, i + 1)
                     s = self.up[link[s]]
         return len(ids), spans, items
@@ -201,17 +263,6 @@ def _item_groups(items: DataFrame, id_col: str, text_col: str, window: int,
         yield group
 
 
-def _merge(a: list, b: list) -> list:
-    """The union of two lists of spans."""
-    out: list = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()),
                                    T.StructField("end", T.LongType())]))
 _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -221,19 +272,41 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str,
              window: int, max_words: int) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the word count, hit spans and items under unused names."""
     names = {k: fresh(docs, f"__d_{k}") for k in ("words", "spans", "items")}
-    df = docs
-    for k, group in enumerate(_item_groups(benchmark, item_id, item_text, window, max_words)):
-        df = written(df, "decontaminate") if k else df
-        df = _scan_group(df, SuffixAutomaton(group, window), text_col, names, k == 0)
-    if df is docs:       # no item at all: only the words are counted
-        df = _scan_group(df, SuffixAutomaton([], window), text_col, names, True)
-    return df, names
-
-
-def _scan_group(df: DataFrame, automaton: SuffixAutomaton, text_col: str, names: dict,
-                first: bool) -> DataFrame:
+    groups = _item_groups(benchmark, item_id, item_text, window, max_words)
+    group, ahead = next(groups, []), next(groups, None)
+    if ahead is None:
+        return _scan_group(docs, SuffixAutomaton(group, window), text_col, names), names
+    # several groups: the documents are written once, numbered; each group gives the
+    # rows with a hit (the first one all rows), and these are joined once
+    row = fresh(docs, "__d_row")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    found, first = [], True
+    while group is not None:
+        one = _scan_group(held.select(row, col(text_col)), SuffixAutomaton(group, window), text_col, names)
+        one = one.select(row, *names.values())
+        if not first:
+            one = one.filter(F.size(names["spans"]) > 0)
+        found.append(written(one, "decontaminate-hits"))
+        group, ahead, first = ahead, next(groups, None), False
+    every = reduce(DataFrame.unionByName, found).groupBy(row).agg(
+        F.max(names["words"]).alias(names["words"]),
+        F.sort_array(F.flatten(F.collect_list(names["spans"]))).alias(names["spans"]),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(names["items"])))).alias(names["items"]))
+    none = F.array().cast(_SPANS)
+    # ascending spans: one that touches the last is put together with it
+    joined = F.aggregate(F.col(names["spans"]), none, lambda out, s: F.when(
+        (F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["start"]),
+        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
+            F.element_at(out, -1)["start"].alias("start"),
+            F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end")))))
+        .otherwise(F.concat(out, F.array(s))))
+    every = every.withColumn(names["spans"], F.when(F.size(names["spans"]) > 0, joined).otherwise(none))
+    return held.join(every, row).drop(row), names
+
+
+def _scan_group(df: DataFrame, automaton: SuffixAutomaton, text_col: str, names: dict) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(automaton)
-    keep = [c for c in df.columns if c not in names.values()]
+    keep = df.columns
     schema = T.StructType([*(df.schema[c] for c in keep),
                            T.StructField(names["words"], T.LongType()),
                            T.StructField(names["spans"], _SPANS),
@@ -241,18 +314,14 @@ def _scan_group(df: DataFrame, automaton: SuffixAutomaton, text_col: str, names:
 
     def run(batches):
         for b in batches:
-            at = dict(zip(b.schema.names, b.columns))
             words, spans, items = [], [], []
-            before = zip(at[names["spans"]].to_pylist(), at[names["items"]].to_pylist()) \
-                if not first else iter(lambda: ((), ()), None)
-            for text, (old_spans, old_items) in zip(at[text_col].to_pylist(), before):
+            for text in b.column(keep.index(text_col)).to_pylist():
                 n, s, i = shared.value.scan(text)
                 words.append(n)
-                s = _merge(s, [(x["start"], x["end"]) for x in old_spans])
                 spans.append([{"start": x, "end": y} for x, y in s])
-                items.append(sorted({x for x in i if x is not None} | set(old_items)))
+                items.append(sorted(x for x in i if x is not None))
             yield pa.RecordBatch.from_arrays(
-                [*(at[c] for c in keep), pa.array(words, pa.int64()),
+                [*b.columns, pa.array(words, pa.int64()),
                  pa.array(spans, _SPANS_ARROW), pa.array(items, pa.list_(pa.string()))],
                 [*keep, *names.values()])
 
@@ -261,7 +330,7 @@ def _scan_group(df: DataFrame, automaton: SuffixAutomaton, text_col: str, names:
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                   window: int = 10, max_words: int = 2_000_000) -> DataFrame:
+                   window: int = 10, max_words: int = 500_000) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``spans`` (hit words,
     start and exclusive end) and ``items`` (ids as sorted strings)."""
     src = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
@@ -292,7 +361,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = 10,
-                  max_coverage: float = 0.5, max_words: int = 2_000_000) -> DataFrame:
+                  max_coverage: float = 0.5, max_words: int = 500_000) -> DataFrame:
     """``docs`` without hit spans; documents of which more than ``max_coverage``
     of the words are hit are dropped.  Texts without a hit stay as they are."""
     df, n = _scanned(docs, benchmark, text_col, item_id, item_text, window, max_words)

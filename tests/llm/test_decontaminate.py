@@ -101,3 +101,14 @@ def test_query_digest(spark):
         n, hit, names = plain(texts[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (
             n, len(hit), len(names), sha(",".join(names)), bool(hit))
+
+
+def test_the_automaton_is_held_in_arrays():
+    import pickle
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(4000)}".encode() for _ in range(30_000)]
+    a = D.SuffixAutomaton([(str(k), words[k * 300:k * 300 + 300], True) for k in range(100)], 10)
+    vocabulary = len(pickle.dumps(a.vocab))
+    assert len(pickle.dumps(a)) - vocabulary < 60 * len(words)
+    text = b" ".join([b"x", *words[40:60], b"y", *words[900:909], b"z"]).decode()
+    assert a.scan(text) == (32, [(1, 21)], {"0"})
