@@ -13,9 +13,11 @@
    three blocks.  Rows meet by cell; within a cell pairs below the Manhattan
    bound are verified by their exact bit distance.
 5. A cell returns a spanning forest of its links, not its pairs.  Cells above
-   ``cell_limit`` members aren't compared pairwise: their members meet by keys
-   that ignore one bit and flip at most one other (``_meeting_keys``), the work
-   of which is linear, and any two members of such a key are true links.
+   ``cell_limit`` members aren't compared pairwise: they are split by a second
+   projection, onto one part of the bits each (``_finer``).  What is above the limit
+   even then meets by keys that ignore one bit and flip at most one other
+   (``_meeting_keys``), the work of which is linear, and any two members of such a
+   key are true links.
 6. Components of the links: rounds of min-label contraction with checkpoints.
 
 Edge cases: null and blank texts have fingerprint zero and link like any other
@@ -129,22 +131,25 @@ def _forest(fp: np.ndarray, segment_bits: int, max_bits: int) -> tuple[list, lis
 
 def _links_in_cells(cells: DataFrame, segment_bits: int, max_bits: int,
                     cell_limit: int) -> DataFrame:
-    """(a, b, hot): links of the cells; members of cells above the limit are
-    handed on as (member, null, true)."""
-    def rows(a, b, hot):
+    """(a, b, hot, grid, cell): links of the cells; members of cells above the limit
+    are handed on as (member, null, true, grid, cell)."""
+    def rows(a, b, at):
+        n, hot = len(a), at is not None
         return pa.RecordBatch.from_arrays(
             [pa.array(np.array(a, np.uint64).view(np.int64)),
-             pa.nulls(len(a), pa.int64()) if b is None
-             else pa.array(np.array(b, np.uint64).view(np.int64)),
-             pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
+             pa.nulls(n, pa.int64()) if hot else pa.array(np.array(b, np.uint64).view(np.int64)),
+             pa.array(np.full(n, hot)),
+             pa.array(np.full(n, at[0], np.int32)) if hot else pa.nulls(n, pa.int32()),
+             pa.array(np.full(n, at[1], np.int64)) if hot else pa.nulls(n, pa.int64())],
+            ["a", "b", "hot", "grid", "cell"])
 
     def run(batches):
         held, key, hot = np.empty(0, np.uint64), None, False
 
         def close():
             if hot:
-                return rows(held, None, True)
-            return rows(*_forest(held, segment_bits, max_bits), False)
+                return rows(held, None, key)
+            return rows(*_forest(held, segment_bits, max_bits), None)
 
         for batch in batches:
             if not batch.num_rows:
@@ -158,7 +163,7 @@ def _links_in_cells(cells: DataFrame, segment_bits: int, max_bits: int,
                 held = np.concatenate([held, f[:ends[0]]])
                 starts, ends = starts[1:], ends[1:]
                 if len(held) > cell_limit:
-                    yield rows(held, None, True)
+                    yield rows(held, None, key)
                     held, hot = held[:0], True
             if len(starts):
                 if len(held) > 1 or hot:
@@ -168,22 +173,37 @@ def _links_in_cells(cells: DataFrame, segment_bits: int, max_bits: int,
                 x, y = f[two], f[two + 1]
                 near = (np.bitwise_count(embed(x, segment_bits) ^ embed(y, segment_bits))
                         <= max_bits) & (np.bitwise_count(x ^ y) <= max_bits)
-                yield rows(x[near], y[near], False)
+                yield rows(x[near], y[near], None)
                 for s, e in zip(starts[:-1][sizes > 2], ends[:-1][sizes > 2]):
                     if e - s > cell_limit:
-                        yield rows(f[s:e], None, True)
+                        yield rows(f[s:e], None, (g[s], c[s]))
                     else:
-                        yield rows(*_forest(f[s:e], segment_bits, max_bits), False)
+                        yield rows(*_forest(f[s:e], segment_bits, max_bits), None)
                 held, hot = f[starts[-1]:ends[-1]], False
                 key = (g[starts[-1]], c[starts[-1]])
                 if len(held) > cell_limit:
-                    yield rows(held, None, True)
+                    yield rows(held, None, key)
                     held, hot = held[:0], True
         if len(held) > 1 or hot:
             yield close()
 
     met = cells.repartition("grid", "cell").sortWithinPartitions("grid", "cell")
-    return met.mapInArrow(run, "a long, b long, hot boolean")
+    return met.mapInArrow(run, "a long, b long, hot boolean, grid int, cell long")
+
+
+def _finer(members: DataFrame, max_bits: int) -> DataFrame:
+    """(grid, cell, fp): the members of cells above the limit in cells within these.
+
+    A second projection: of the bits in ``max_bits + 1`` parts, two members within
+    ``max_bits`` bits have one in common, so they meet in it.  (A cell's number is a
+    hash of what it stands for; cells that share one are compared in vain.)"""
+    parts = [sum(1 << int(b) for b in p) for p in np.array_split(np.arange(64), max_bits + 1)]
+    masks = np.array(parts, np.uint64).view(np.int64).tolist()
+    own = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits"))
+                    for i, m in enumerate(masks)])
+    at = members.select("grid", "cell", "fp", F.explode(own).alias("p"))
+    return at.select((F.col("grid") * len(masks) + F.col("p.i")).cast("int").alias("grid"),
+                     F.xxhash64("cell", "p.bits").alias("cell"), "fp")
 
 
 def _meeting_keys(max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +257,15 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, segment_bits: int = 2,
     cells = _cells(fps.select("fp").distinct(), segment_bits, max_bits)
     found = written(_links_in_cells(cells, segment_bits, max_bits, cell_limit), "simhash-links")
     links = found.filter("not hot").select("a", "b").distinct()
-    members = found.filter("hot").select(F.col("a").alias("fp")).distinct()
-    if members.isEmpty():
+    dense = found.filter("hot").select("grid", "cell", F.col("a").alias("fp"))
+    if dense.isEmpty():
         return links
+    again = written(_links_in_cells(_finer(dense, max_bits), segment_bits, max_bits, cell_limit),
+                    "simhash-dense")
+    links = links.unionByName(again.filter("not hot").select("a", "b"))
+    members = again.filter("hot").select(F.col("a").alias("fp")).distinct()
+    if members.isEmpty():
+        return links.distinct()
     return links.unionByName(_links_by_keys(members, max_bits)).distinct()
 
 
