@@ -3,6 +3,13 @@ near-dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes the documents that its predecessor kept and returns
 documents; the last returns one row per packed piece.
+
+Edge cases: documents of null, empty or blank text have too few words and go in the
+first stage; very long texts are judged whole.  Rows without an id count as one
+document before all others for repeated lines, and come last among near-duplicates;
+of exactly repeated rows one stays.  An empty table gives an empty result; an empty
+benchmark cuts nothing.  Extra columns pass through all stages but the last, whatever
+their names; ``n_chars`` is counted anew where it may have changed.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelrisk.llm import decontaminate, line_dedup, packing, quality, simhash
-from parcelrisk.llm.common import table, written
+from parcelrisk.llm.common import delete, scratch, scratch_scope, table
 from parcelrisk.llm.queries import WORD_BPE, tokenizer_file
 
 
@@ -21,7 +28,8 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the threshold table."""
+    """Documents that pass the base rules (50 words, not mostly repeats) and the
+    threshold table."""
     return quality.keep_documents(docs)
 
 
@@ -58,8 +66,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other, each written and read again.  What a stage
+    wrote on the way is deleted when it is done, its result when the next one is;
+    the last stage's tables stay, as the result reads them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            done = stage(spark, docs, sf_dir)
+            done.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +43,40 @@ def split_words(c: Column) -> Column:
         F.split(bare, r"[\x20\x09-\x0D]+", -1))
 
 
+_SCOPES: list[list[str]] = []        # the scratch tables of the scopes that are open
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder of ``spark.checkpoint.dir``; Spark's
-    writers create it."""
-    return f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    writers create it, and an open ``scratch_scope`` deletes it at its end."""
+    path = f"{checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table, through Spark's file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """The scratch tables that operators write within it are deleted at its end.
+    Results are lazy and read them, so write the result before that:
+
+        with scratch_scope(spark):
+            near_duplicates(docs).write.parquet(target)
+    """
+    own: list[str] = []
+    _SCOPES.append(own)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        for path in own:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

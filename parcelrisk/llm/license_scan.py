@@ -22,6 +22,7 @@ templates of one word have the word itself as their only bigram; passages need
 templates of two words or more.  Ties in
 score go to the template whose name sorts first.  Rows are scanned one by one,
 so null ids and repeated rows need no rule.  Other input columns are not read.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

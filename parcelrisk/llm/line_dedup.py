@@ -13,7 +13,8 @@ and exact repeats get the same.  Rows with a null id count as one document
 that precedes all others.  Lines are only compared by key, so ties do not
 arise; within the keeping document all lines of a key stay.  Other columns of
 the input are not read by ``line_keep_bitmaps`` and pass through
-``drop_repeated_lines`` whatever their names.
+``drop_repeated_lines`` whatever their names.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations

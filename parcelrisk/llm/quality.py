@@ -11,7 +11,7 @@ language (``lang_col``) has a list; without that column, in every document.
 Rows are judged one by one, so null ids, repeated rows and
 ties need no rule.  Extra columns pass through; a column that has the name of
 a measure keeps its values in ``keep_documents`` and is replaced in
-``quality_measures``.
+``quality_measures``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

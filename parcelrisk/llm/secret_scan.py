@@ -12,7 +12,8 @@ shuffle, and texts without a match skip the work.
 Edge cases: a null or empty text has no spans.  Rows are scanned one by one,
 so null ids, repeated rows and ties need no rule; positions count code points.
 Spans of different kinds may overlap and are all reported.  Input columns
-other than id and text are not read, so their names cannot clash.
+other than id and text are not read, so their names cannot clash.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

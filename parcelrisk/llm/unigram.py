@@ -16,7 +16,8 @@ its different words once, all words of similar length together.
 Edge cases: a null or empty text has no pieces.  Rows are counted one by one,
 so null ids, repeated rows and ties between rows need no rule.  Words too long
 to be worth a batch go through the same search one by one.  Other input
-columns pass through; one named like a result is replaced.
+columns pass through; one named like a result is replaced.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
