@@ -143,8 +143,7 @@ def _prepared(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> Da
     src = rows.select(col(conv).alias("conv"), col(turn).cast("long").alias("turn"),
                       F.coalesce(col(role).cast("string"), F.lit(" ")).alias("role"),
                       F.coalesce(col(text).cast("string"), F.lit(" ")).alias("text"))
-    src = written(src.groupBy("conv", "turn", "role", "text").agg(
-        F.count(F.lit(1)).alias("copies")), "conversation-rows")
+    src = src.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     at = F.struct(F.col("turn").isNotNull().alias("has"), "turn")
     first = src.groupBy(F.col("conv").alias("c"), F.col("role").alias("r"),
                         F.col("text").alias("t")).agg(F.min(at).alias("first"))
