@@ -3,7 +3,7 @@ as sketches, wide sparse features, and models."""
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -220,16 +220,17 @@ def q_stored_models(spark, sf):
 SELECT fold, count(*) AS n_rows, TRUE AS blind, bool_or(fold > 0) AS moved FROM f GROUP BY fold"""))
 def q_oof_leakage(spark, sf):
     """No model sees its own fold: with all labels of fold 0 turned round, the scores of
-    fold 0 stay as they are to the last bit, those of the other folds move."""
+    fold 0 stay as they are (up to the order of sums), those of the other folds move."""
     c = customer_table(spark, sf)
     turned = folds.assign_folds(c, "c_custkey", 3, 0, "_f").withColumn(
         "TARGET", F.when(F.col("_f") == 0, 1 - F.col("TARGET")).otherwise(F.col("TARGET"))).drop("_f")
+    plain = LogisticRegression(featuresCol=model_store.FEATURES, labelCol="TARGET", regParam=0.1, tol=1e-10)
     scores = []
     for table, name in ((c, "a"), (turned, "b")):
-        fitted = model_store.fit_fold_models(table, CUSTOMER_ROLES, 3, estimator=_small_forest("TARGET"))
+        fitted = model_store.fit_fold_models(table, CUSTOMER_ROLES, 3, estimator=plain)
         scores.append(model_store.score_known(fitted, table).select("c_custkey", "fold", F.col("prob1").alias(name)))
     both = scores[0].join(scores[1].drop("fold"), "c_custkey")
-    same = F.col("a") == F.col("b")
+    same = F.abs(F.col("a") - F.col("b")) < 1e-6
     return both.groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bool_and((F.col("fold") > 0) | same).alias("blind"), F.bool_or(~same).alias("moved"))
