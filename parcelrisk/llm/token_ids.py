@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import col, written
 
-_CHUNK = 8 << 20             # bytes encoded at a time
+_CHUNK = 2 << 20             # bytes encoded at a time
 _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 #: Data bytes of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
@@ -104,7 +104,7 @@ class WordTokenizer:
     ones known here, a plain word is cut into its pre-tokens first: these are
     encoded independently, and far fewer of them differ."""
 
-    WORDS, PIECES = 100_000, 150_000         # so many are kept, in each of two generations
+    WORDS, PIECES = 40_000, 80_000           # so many are kept, in each of two generations
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -220,8 +220,7 @@ def load(path: str) -> WordTokenizer:
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(rows, texts) of about ``_CHUNK`` bytes; a longer text comes in segments
     that end at white space."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
-    size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     long = size > _CHUNK
     part = np.cumsum(np.where(long, 0, size)) // _CHUNK
     new = (part[1:] != part[:-1]) | long[1:] | long[:-1]
@@ -231,7 +230,8 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
             for segment in _segments(texts[s].as_py()):
                 yield np.array([s]), pa.array([segment], pa.large_string())
         elif e > s:
-            yield np.arange(s, e), texts.slice(s, e - s)
+            yield np.arange(s, e), pc.fill_null(texts.slice(s, e - s), "").cast(pa.large_string())
+            pa.default_memory_pool().release_unused()
 
 
 def _segments(text: str) -> Iterator[str]:
