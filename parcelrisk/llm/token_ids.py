@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import col, written
 
-_CHUNK = 2 << 20             # bytes encoded at a time
+_CHUNK = 1 << 20             # bytes encoded at a time
 _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 #: Data bytes of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
