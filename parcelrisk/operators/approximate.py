@@ -1,6 +1,13 @@
 """Approximate matching of texts (old addresses with a slip in them) by edit
 distance, without comparing all pairs.
 
+Two texts within ``distance`` edits of each other become the same when each loses
+what the other lacks and the characters that are exchanged are blotted out.  The
+lengths say how many of either go together, so texts meet by the hash of what is left,
+however alike they all are: numbers in a row share nearly every gram, but meet in this
+way only where they are near.  That makes ``distance`` out of the length many rows of
+a text, so longer texts meet by grams.
+
 Two texts within ``distance`` edits of each other share nearly all ``q``-grams, at
 places that differ by ``distance`` at most: an edit spoils ``q`` of them at most.
 Sort the grams of each text in one common order.  The first that is common to
@@ -9,15 +16,16 @@ stands before it was spoiled.  So a text meets others by these grams only.  The
 order goes by rarity in the universe: a frequent gram makes a large block only
 for texts that consist of such grams, and no block is cut off.  Two texts too
 short for that to say anything (``q * (distance + 1) - 1`` characters or fewer)
-meet through what is left of them after up to ``distance`` deletions.  What meets
-is compared by its exact edit distance, so the result is that of all pairs.
+always meet by what is left of them.  What meets is compared by its exact edit
+distance, so the result is that of all pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelrisk.operators.match import _SALT, Normaliser, _left_keys, _norm
@@ -40,45 +48,86 @@ def _rarest(grams: DataFrame, seen: DataFrame, n: int) -> DataFrame:
     return first.select("text", F.explode("gs").alias("g")).select("text", "g.gram", "g.place")
 
 
-def _without(c: Column, distance: int) -> Column:
-    """All that is left of a text after up to ``distance`` deletions."""
-    left = F.array(c)
+def _brief(distance: int, q: int) -> int:
+    """The length up to which texts meet by what is left of them: 2 ** 14 characters in
+    all ways to choose ``distance`` places."""
+    n = 1
+    while (n + 1) * math.comb(n + 1, distance) <= 1 << 14:
+        n += 1
+    return max(n, q * (distance + 1) - 1)
+
+
+def _losses(other: DataFrame, distance: int) -> DataFrame:
+    """(size, longest, drop, blot): how many characters a text of a size loses, and has
+    blotted out, to meet the texts of ``other`` with which the longer has the size
+    ``longest``."""
+    near = other.select(F.length("text").alias("o")).distinct().select(
+        "o", F.explode(F.sequence(F.greatest(F.col("o") - distance, F.lit(0)), F.col("o") + distance)).alias("size"))
+    apart, shorter = F.abs(F.col("o") - F.col("size")), F.least("o", "size")
+    ways = near.withColumn("lost", F.explode(F.sequence(F.lit(0), F.least(
+        shorter, F.floor((F.lit(distance) - apart) / 2).cast("int")))))          # by the shorter
+    return ways.select(
+        "size", F.greatest("o", "size").alias("longest"),
+        (F.col("lost") + F.greatest(F.col("size") - F.col("o"), F.lit(0))).alias("drop"),
+        F.least(F.lit(distance) - apart - 2 * F.col("lost"), shorter - F.col("lost")).alias("blot")).distinct()
+
+
+def _left_over(texts: DataFrame, other: DataFrame, distance: int, name: str) -> DataFrame:
+    """(``name``, rest): the hash of what is left of each text, in all ways in which it
+    may meet a text of ``other``."""
+    # few bytes of text make many rows: they are dealt anew, and not coalesced by their size
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.repartition(tasks, F.xxhash64("text")).withColumn("size", F.length("text"))
+    rows = dealt.join(F.broadcast(_losses(other, distance)), "size").select(
+        F.col("text").alias(name), "longest", "drop", "blot", F.col("blot").alias("blots"),
+        F.col("text").alias("rest"), F.lit(0).alias("at"))
     for _ in range(distance):
-        def fewer(s):
-            return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(
-                F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        left = F.array_distinct(F.concat(left, F.flatten(F.transform(
-            F.filter(left, lambda s: F.length(s) > 0), fewer))))
-    return left
-
-
-def near_texts(left: DataFrame, right: DataFrame, distance: int, q: int = 2) -> DataFrame:
-    """(left_text, right_text, distance): all pairs of the distinct texts (column
-    ``text``, not null) within ``distance`` edits."""
+        drops, blots = F.col("drop") > 0, (F.col("drop") == 0) & (F.col("blot") > 0)
+        to = F.when(drops, F.length("rest") - F.col("drop")) \
+            .when(blots, F.length("rest") - F.col("blot")).otherwise(F.col("at"))
+        # places ascend, and of the characters of a run the first ones are lost
+        rows = rows.withColumn("i", F.explode(F.sequence("at", to))).where(~drops | (F.col("i") == F.col("at")) | (
+            F.substring("rest", F.col("i"), F.lit(1)) != F.substring("rest", F.col("i") + 1, F.lit(1))))
+        before, after = (F.substring("rest", F.lit(1), F.col("i")),
+                         F.substring("rest", F.col("i") + 2, F.length("rest")))
+        rows = rows.select(
+            name, "longest", "blots", F.greatest(F.col("drop") - 1, F.lit(0)).alias("drop"),
+            F.when(blots, F.col("blot") - 1).otherwise(F.col("blot")).alias("blot"),
+            F.when(drops, F.concat(before, after)).when(blots, F.concat(before, F.lit("\0"), after))
+            .otherwise(F.col("rest")).alias("rest"),
+            F.when(F.col("drop") > 1, F.col("i")).when(drops, F.lit(0)).otherwise(F.col("i") + 1).alias("at"))
+    return rows.select(name, F.xxhash64("rest", "longest", "blots").alias("rest"))
+
+
+def _near_pairs(left: DataFrame, right: DataFrame, distance: int, q: int) -> DataFrame:
+    """The pairs of ``near_texts``, some of them repeated."""
     if distance < 0 or q < 1:
         raise ValueError("distance must be 0 or more, q 1 or more")
     a, b = left.select("text").distinct(), right.select("text").distinct()
-    n, short = q * distance + 1, q * (distance + 1) - 1
-    ga, gb = _grams(a, q), _grams(b, q)
+    n, brief = q * distance + 1, _brief(distance, q)
+    la, lb = (d.where(F.length("text") > brief - distance) for d in (a, b))
+    ga, gb = _grams(la, q), _grams(lb, q)
     seen = gb.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
     pa = _rarest(ga, seen, n).select(F.col("text").alias("left_text"), "gram",
                                      F.col("place").alias("left_place"))
     pb = _rarest(gb, seen, n).select(F.col("text").alias("right_text"), "gram",
                                      F.col("place").alias("right_place"))
+    sizes = F.length("left_text"), F.length("right_text")
     met = pa.join(pb, "gram").where(
         (F.abs(F.col("left_place") - F.col("right_place")) <= distance)
-        & (F.abs(F.length("left_text") - F.length("right_text")) <= distance)) \
-        .select("left_text", "right_text")
-
-    def brief(df: DataFrame, name: str) -> DataFrame:
-        s = df.where(F.length("text") <= short)
-        return s.select(F.col("text").alias(name), F.explode(_without(F.col("text"), distance)).alias("rest"))
-
-    few = brief(a, "left_text").join(brief(b, "right_text"), "rest").select("left_text", "right_text")
+        & (F.abs(sizes[0] - sizes[1]) <= distance) & (F.greatest(*sizes) > brief)).select("left_text", "right_text")
+    sa, sb = (d.where(F.length("text") <= brief) for d in (a, b))
+    few = _left_over(sa, sb, distance, "left_text").join(
+        _left_over(sb, sa, distance, "right_text"), "rest").select("left_text", "right_text")
     # the distance first: fewer pairs are left to make distinct
-    pairs = met.unionByName(few).withColumn(
+    return met.unionByName(few).withColumn(
         "distance", F.levenshtein("left_text", "right_text", distance)).where("distance >= 0")
-    return pairs.distinct()
+
+
+def near_texts(left: DataFrame, right: DataFrame, distance: int, q: int = 2) -> DataFrame:
+    """(left_text, right_text, distance): all pairs of the distinct texts (column
+    ``text``, not null) within ``distance`` edits."""
+    return _near_pairs(left, right, distance, q).distinct()
 
 
 def _nearest(texts: DataFrame, known: DataFrame, distance: int, q: int) -> DataFrame:
@@ -87,7 +136,7 @@ def _nearest(texts: DataFrame, known: DataFrame, distance: int, q: int) -> DataF
         same = known.select(F.col("text").alias("right_text"))
         return texts.join(same, F.col("text") == F.col("right_text")).select(
             "text", F.lit(0).alias("distance"), "right_text")
-    best = near_texts(texts, known, distance, q).groupBy("left_text").agg(
+    best = _near_pairs(texts, known, distance, q).groupBy("left_text").agg(
         F.min(F.struct("distance", "right_text")).alias("best"))
     return best.select(F.col("left_text").alias("text"), "best.distance", "best.right_text")
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from parcelrisk.operators.approximate import near_texts, nearest_text
+from parcelrisk.operators.approximate import _left_over, near_texts, nearest_text
 
 
 def edits(a, b):
@@ -62,3 +62,26 @@ def test_blocks_go_by_the_rarest_grams(spark):
     grams = left.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(22)), lambda i: F.substring(
         "text", i, F.lit(2)))).alias("g")).groupBy("g").count()
     assert grams.agg(F.max("count")).first()[0] >= 600           # which would be one block of all
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_numbers_in_a_row_meet_only_near_ones(spark, distance):
+    # every gram is in hundreds of these texts
+    names = [f"customer#{i:09d}" for i in range(0, 4000, 7)]
+    slips = [n.replace("om", "mo") if i % 2 else n[:12] + "x" + n[12:] for i, n in enumerate(names[::9])] + names[::9]
+    want = {(x, y, edits(x, y)) for x in slips for y in names if abs(len(x) - len(y)) <= distance
+            and sum(a != b for a, b in zip(x[-4:], y[-4:])) <= distance * 2 and edits(x, y) <= distance}
+    left, right = texts_of(spark, slips), texts_of(spark, names)
+    assert {tuple(r) for r in near_texts(left, right, distance).collect()} == want
+    met = _left_over(left, right, distance, "l").join(_left_over(right, left, distance, "r"), "rest")
+    assert met.select("l", "r").distinct().count() == len(want)
+
+
+def test_long_and_short_texts_meet(spark):
+    # 32 characters is where texts cease to meet by what is left of them (two edits)
+    rng = random.Random(5)
+    right = ["".join(rng.choice("ab0 ") for _ in range(n)) for n in range(29, 38) for _ in range(6)]
+    left = [slipped(rng, x, rng.randint(0, 3)) for x in right * 2]
+    want = {(x, y, edits(x, y)) for x in left for y in right if edits(x, y) <= 2}
+    got = near_texts(texts_of(spark, left), texts_of(spark, right), 2)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
