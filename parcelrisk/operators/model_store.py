@@ -26,6 +26,7 @@ from parcelrisk.operators.features import feature_pipeline, prepare, spread_for_
 from parcelrisk.operators.folds import assign_folds, fold_test, fold_train
 from parcelrisk.operators.model import _fits, default_forest, split_probability
 from parcelrisk.operators.schema import ColumnRoles
+from parcelrisk.session import checkpoint_dir
 
 FEATURES = "features"
 
@@ -86,9 +87,12 @@ def load_fold_models(spark: SparkSession, path: str) -> FoldModels:
 
 
 def score_known(fitted: FoldModels, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows whose keys were in the fit: each scored by the model of its fold."""
+    """Rows whose keys were in the fit: each scored by the model of its fold.  ``df`` is
+    written once and read by every model: a union of as many copies of its plan may
+    run in the same tasks, with the memory of all of them."""
+    checkpoint_dir(df.sparkSession)
     data = assign_folds(_table(df, fitted.roles, fitted.fill_numeric, False), fitted.roles.key,
-                        fitted.k, fitted.seed, "_fold")
+                        fitted.k, fitted.seed, "_fold").checkpoint()
     scored = [split_probability(m.transform(fold_test(data, i, "_fold"))) for i, m in enumerate(fitted.models)]
     return union_all([s.select(*dict.fromkeys([fitted.roles.key, *keep]), F.col("_fold").alias("fold"),
                                "prob0", "prob1") for s in scored])

@@ -165,6 +165,19 @@ def test_models_are_saved_and_loaded(spark):
         model_store.save_fold_models(fitted, path)              # a set is not overwritten
 
 
+def test_known_rows_are_scored_from_one_written_table(spark):
+    # the models' scans were a union of copies of the table's whole plan
+    df = _table(spark)
+    joined = df.join(df.groupBy("id").count().withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i", "count")
+    lr = LogisticRegression(featuresCol=model_store.FEATURES, labelCol="y", regParam=0.1)
+    fitted = model_store.fit_fold_models(df, ROLES, 3, seed=5, estimator=lr)
+    got = model_store.score_known(fitted, joined)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Exchange" not in plan
+    want = {(r["id"], r["fold"], r["prob1"]) for r in model_store.score_known(fitted, df).collect()}
+    assert {(r["id"], r["fold"], r["prob1"]) for r in got.collect()} == want and len(want) == 300
+
+
 def test_one_period_and_histogram_without_values(spark):
     from parcelrisk.operators.model import walk_forward_score
     from parcelrisk.operators.profile import histogram
