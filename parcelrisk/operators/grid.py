@@ -34,12 +34,18 @@ def neighbours(df: DataFrame, x: str, y: str, x0: float, y0: float, radius: floa
     return df.where(box).withColumn("distance", d).where(F.col("distance") <= radius)
 
 
+_PART_ROWS = 4096            # a fuller cell is dealt into parts
+_TASK_PAIRS = 1 << 24        # rows that meet in a task, on average
+
+
 def neighbours_of(points: DataFrame, df: DataFrame, x: str, y: str, radius: float,
                   point_key: str, key: str) -> DataFrame:
     """(``point_key`` as ``point``, ``key`` as ``neighbour``, ``distance``):
     the rows of ``df`` within ``radius`` of each point.  Cells have the side
     ``radius``, so a point meets its own cell and the eight around it; rows of
-    other cells are never paired."""
+    other cells are never paired.  The rows of a full cell are dealt into parts by
+    their hash, and the pairs that will meet are counted first: there are as many
+    tasks as they need, however few bytes the rows have."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
                        for i in (-1, 0, 1) for j in (-1, 0, 1)])
     p = points.select(F.col(point_key).alias("point"), F.col(x).alias("_px"), F.col(y).alias("_py"),
@@ -47,10 +53,25 @@ def neighbours_of(points: DataFrame, df: DataFrame, x: str, y: str, radius: floa
                       F.explode(around).alias("_o"))
     p = p.select("point", "_px", "_py", (F.col("_ci") + F.col("_o.i")).alias("_ci"),
                  (F.col("_cj") + F.col("_o.j")).alias("_cj"))
+    plain = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
     d = df.select(F.col(key).alias("neighbour"), F.col(x).alias("_x"), F.col(y).alias("_y"),
-                  cell(x, radius).alias("_ci"), cell(y, radius).alias("_cj"))
+                  cell(x, radius).alias("_ci"), cell(y, radius).alias("_cj"), F.xxhash64(*plain).alias("_h"))
+    at = ["_ci", "_cj"]
+    checkpoint_dir(df.sparkSession)
+    # a row per cell that has both
+    met = d.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).join(
+        p.groupBy(*at).agg(F.count(F.lit(1)).alias("_m")), at).checkpoint()
+    pairs = met.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0.0         # one number
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / _TASK_PAIRS))
+    full = met.where(F.col("_n") > _PART_ROWS).select(
+        *at, F.ceil(F.col("_n") / _PART_ROWS).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    p = p.join(full, at, "left").select("point", "_px", "_py", *at, F.explode(
+        F.sequence(F.lit(0), parts - 1)).alias("_part")).repartition(tasks, *at, "_part")
+    d = d.join(full, at, "left").select("neighbour", "_x", "_y", *at, F.pmod("_h", parts).cast("int").alias(
+        "_part")).repartition(tasks, *at, "_part")
     gap = F.sqrt((F.col("_x") - F.col("_px")) ** 2 + (F.col("_y") - F.col("_py")) ** 2)
-    return p.join(d, ["_ci", "_cj"]).withColumn("distance", gap).where(
+    return p.join(d, [*at, "_part"]).withColumn("distance", gap).where(
         F.col("distance") <= radius).select("point", "neighbour", "distance")
 
 

@@ -2,8 +2,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from parcelrisk.operators.grid import nearest_k
+from parcelrisk.operators.grid import nearest_k, neighbours_of
 
 
 def plain(points, rows, k, exclude_self):
@@ -50,3 +51,18 @@ def test_rows_meet_by_cells_only(spark):
     df = spark.createDataFrame(rows, "id int, x double, y double")
     p = nearest_k(df.where("id < 5"), df, "x", "y", 3, "id", "id")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in p and "Cartesian" not in p
+
+
+def test_neighbours_of_a_full_cell_are_dealt_to_many_tasks(spark):
+    rows = [(i, random.Random(i).random() * 3, random.Random(-i).random()) for i in range(9000)]
+    rows += [(1, .5, .5)] * 3 + [(None, .5, .5), (9001, None, .5), (9002, float("nan"), .5)]
+    points = [(k, px, py) for k, px, py in rows[:40]] + rows[-4:]
+    schema = "id int, x double, y double"
+    got = neighbours_of(spark.createDataFrame(points, schema).coalesce(1),
+                        spark.createDataFrame(rows, schema).coalesce(1), "x", "y", 1.0, "id", "id")
+    near = [(k, q) for k, px, py in points for q, x, y in rows if None not in (px, x)
+            and math.sqrt((x - px) ** 2 + (y - py) ** 2) <= 1.0]
+    order = lambda r: tuple((v is None, v or 0) for v in r)                              # noqa: E731
+    assert sorted([(r[0], r[1]) for r in got.collect()], key=order) == sorted(near, key=order)
+    work = got.select("neighbour", F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+    assert len(work) >= 3 and max(r["count"] for r in work) < 0.7 * len(near)
