@@ -178,6 +178,18 @@ def test_known_rows_are_scored_from_one_written_table(spark):
     assert {(r["id"], r["fold"], r["prob1"]) for r in got.collect()} == want and len(want) == 300
 
 
+def test_two_score_tables_meet_without_their_sources(spark):
+    df = _table(spark)
+    joined = df.join(df.groupBy("id").count().withColumnRenamed("id", "i"), F.col("id") == F.col("i")).drop("i", "count")
+    lr = LogisticRegression(featuresCol=model_store.FEATURES, labelCol="y", regParam=0.1)
+    fitted = model_store.fit_fold_models(joined, ROLES, 3, seed=5, estimator=lr)
+    a, b = (model_store.score_known(fitted, joined).select("id", F.col("prob1").alias(n)) for n in "ab")
+    both = a.join(b, "id")
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    assert both.where("a = b").count() == 300
+
+
 def test_one_period_and_histogram_without_values(spark):
     from parcelrisk.operators.model import walk_forward_score
     from parcelrisk.operators.profile import histogram
