@@ -37,6 +37,8 @@ from pyspark.sql import types as T
 from .common import col, written
 
 _CHUNK = 1 << 20             # bytes encoded at a time
+_GROUP = 8                   # so many chunks look up their words at once
+_SLICE = 1 << 14             # texts that are Python strings at a time
 _BLOCK_IDS = 1 << 20         # a block is closed when it has so many ids
 #: Data bytes of the four values that a control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4))[None, :]) % 4 + 1
@@ -61,40 +63,57 @@ _BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not
 del _BYTE_LETTERS[0x0A]      # ends a line here, and is part of no word
 
 
-#: Stands for the end of a word among the codes of pieces, which have an even length.
-_END = b"\n"
+def _binaries(offsets: np.ndarray, data: pa.Buffer | None) -> pa.Array:
+    """The values of ``data`` between the offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [
+        None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data or pa.py_buffer(b"")])
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where the values of a large binary begin and the last ends in its data."""
+    at = values.buffers()[1]
+    return np.frombuffer(at, np.int64)[values.offset:values.offset + len(values) + 1] if at else np.zeros(1, np.int64)
+
+
+_NONE = pa.array([], pa.large_binary())
+
+
+def _slices(texts: pa.Array) -> Iterator[list[str]]:
+    for at in range(0, len(texts), _SLICE):
+        yield texts.slice(at, _SLICE).to_pylist()
 
 
 class _Lately:
-    """Codes (ids as bytes) of the texts used of late: ``index``, and the generation
-    before it.  A text of that is taken over when it is used again; an index beyond
-    the limit becomes the generation before."""
+    """Codes (ids as bytes) of the texts seen most of late.  They are Arrow arrays,
+    which take a tenth of the memory of a dict."""
 
     def __init__(self):
-        self.index: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def codes(self, texts: list[str], encode, limit: int) -> list[bytes]:
-        """The code of each text; different ones that are new are encoded."""
-        if len(self.index) > limit:
-            self.index, self.before = {}, self.index
-        index, before = self.index, self.before
-        out = list(map(index.get, texts))
-        new: dict[str, None] = {}
-        later = []
-        for i in [i for i, code in enumerate(out) if code is None]:
-            t = texts[i]
-            code = before.get(t)
-            if code is None:
-                new[t] = None
-                later.append(i)
-            else:
-                out[i] = index[t] = code
-        if later:
-            index.update(zip(new, encode(list(new))))
-            for i in later:
-                out[i] = index[texts[i]]
-        return out
+        self.texts = pa.array([], pa.large_string())
+        self.codes = pa.array([], pa.large_binary())
+        self.seen = np.zeros(0, np.int64)        # how often, what is past at half its weight
+
+    @property
+    def index(self) -> dict[str, bytes]:
+        return dict(zip(self.texts.to_pylist(), self.codes.to_pylist()))
+
+    def look_up(self, chunks: list[pa.DictionaryArray], encode, limit: int) -> tuple[list[pa.Array], pa.Array]:
+        """(places of each chunk's texts among the codes, codes); different texts
+        that are not kept are encoded once for all chunks."""
+        n = len(self.texts)
+        kept = pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), self.texts)
+        chunks = pa.chunked_array([kept, *chunks]).unify_dictionaries().chunks[1:]
+        texts = chunks[0].dictionary             # the kept ones are the first
+        codes = pa.concat_arrays([self.codes, encode(texts.slice(n))])
+        seen = np.zeros(len(texts), np.int64)
+        seen[:n] = self.seen // 2
+        for c in chunks:
+            seen += np.bincount(c.indices.to_numpy(), minlength=len(seen))
+        if len(texts) > limit:
+            most = np.sort(np.argpartition(-seen, limit)[:limit])
+            self.texts, self.codes, self.seen = texts.take(pa.array(most)), codes.take(pa.array(most)), seen[most]
+        else:
+            self.texts, self.codes, self.seen = texts, codes, seen
+        return [c.indices for c in chunks], codes
 
 
 class WordTokenizer:
@@ -104,7 +123,7 @@ class WordTokenizer:
     ones known here, a plain word is cut into its pre-tokens first: these are
     encoded independently, and far fewer of them differ."""
 
-    WORDS, PIECES = 40_000, 80_000           # so many are kept, in each of two generations
+    WORDS, PIECES = 80_000, 100_000          # so many are kept
 
     def __init__(self, path: str, delimiter: str = "<|endoftext|>"):
         from tokenizers import Tokenizer
@@ -122,12 +141,11 @@ class WordTokenizer:
         self.width = np.dtype(self.dtype).itemsize
         self.words, self.pieces = _Lately(), _Lately()
 
-    def _cut(self, lengths: np.ndarray, ids: np.ndarray) -> list[bytes]:
+    def _cut(self, lengths: np.ndarray, ids: np.ndarray) -> pa.Array:
         """The codes of texts that have so many ids each."""
-        raw, ends = ids.astype(self.dtype).tobytes(), (np.cumsum(lengths) * self.width).tolist()
-        return [raw[s:e] for s, e in zip([0, *ends], ends)]
+        return _binaries(np.r_[0, np.cumsum(lengths)] * self.width, pa.py_buffer(ids.astype(self.dtype).tobytes()))
 
-    def _encode(self, texts: list[str], group: int = 4096) -> list[bytes]:
+    def _encode(self, texts: list[str], group: int = 4096) -> pa.Array:
         """The code of each text.
 
         Many are encoded at once, parted by a special token, which tokenizers
@@ -155,56 +173,71 @@ class WordTokenizer:
                 run.append(t)
         if run:
             close()
-        return self._cut(np.concatenate(lengths), np.concatenate(ids)) if lengths else []
+        return self._cut(np.concatenate(lengths), np.concatenate(ids)) if lengths else _NONE
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: pa.Array) -> pa.Array:
         """As ``_encode``, by the file's model alone: plain pieces are in lower
-        case and one pre-token each, so only the byte alphabet is left to do."""
-        spelled = list(pieces)
-        wide = [i for i, p in enumerate(pieces) if not p.isascii()]
-        if wide:
-            text = "\n".join([pieces[i] for i in wide]).encode().decode("latin-1")
-            for i, p in zip(wide, text.translate(_BYTE_LETTERS).split("\n")):
-                spelled[i] = p
-        got = list(map(self.tokenizer.model.tokenize, spelled))
-        out = self._cut(np.fromiter(map(len, got), np.int64, len(got)),
-                        np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64))
-        if "\n" in pieces:
-            out[pieces.index("\n")] = _END
+        case and one pre-token each, so only the byte alphabet is left to do.
+        The end of a line has no ids."""
+        out = [_NONE]
+        for some in _slices(pieces):
+            spelled = ["" if p == "\n" else p for p in some]
+            wide = [i for i, p in enumerate(some) if not p.isascii()]
+            if wide:
+                text = "\n".join([some[i] for i in wide]).encode().decode("latin-1")
+                for i, p in zip(wide, text.translate(_BYTE_LETTERS).split("\n")):
+                    spelled[i] = p
+            got = list(map(self.tokenizer.model.tokenize, spelled))
+            out.append(self._cut(
+                np.fromiter(map(len, got), np.int64, len(got)),
+                np.fromiter(map(attrgetter("id"), chain.from_iterable(got)), np.int64)))
+        return pa.concat_arrays(out)
+
+    def _encode_plain(self, words: list[pa.DictionaryArray]) -> list[pa.Array]:
+        """The codes of the words of each list, which stand as their pieces, each
+        word with the end of a line behind it."""
+        if not words:
+            return []
+        ends = [np.flatnonzero(w.indices.to_numpy() == w.dictionary.index("\n").as_py()) for w in words]
+        places, codes = self.pieces.look_up(words, self._encode_pieces, self.PIECES)
+        out = []
+        for at, end in zip(places, ends):
+            taken = codes.take(at)
+            out.append(_binaries(_offsets(taken)[np.r_[0, end + 1]], taken.buffers()[2]))
         return out
 
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        codes = self.pieces.codes(_PIECES("\n".join(words).lower() + "\n"), self._encode_pieces,
-                                  self.PIECES)
-        out, word = [], b""
-        for code in codes:
-            if code is _END:
-                out.append(word)
-                word = b""
+    def _encode_words(self, words: pa.Array) -> pa.Array:
+        plain, pieces, hard = [], [], [_NONE]
+        for some in _slices(words):
+            text = "\n".join(some)
+            if not self.known:
+                of = np.zeros(len(some), bool)
+            elif _PLAIN(text) and self.mark not in text:
+                of = np.ones(len(some), bool)
             else:
-                word += code
-        return out
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        if not self.known:
-            return self._encode(words)
-        text = "\n".join(words)
-        if _PLAIN(text) and self.mark not in text:
-            return self._encode_plain(words)
-        plain = [bool(_PLAIN(w)) and self.mark not in w for w in words]
-        easy = iter(self._encode_plain([w for w, p in zip(words, plain) if p]) if any(plain) else ())
-        hard = iter(self._encode([w for w, p in zip(words, plain) if not p]))
-        return [next(easy) if p else next(hard) for p in plain]
-
-    def codes(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as bytes; the words should differ."""
-        return self.words.codes(words, self._encode_words, self.WORDS)
+                of = np.array([bool(_PLAIN(w)) and self.mark not in w for w in some])
+                text = "\n".join([w for w, p in zip(some, of) if p])
+            if of.any():
+                pieces.append(pa.array(_PIECES(text.lower() + "\n"), pa.large_string()).dictionary_encode())
+            if not of.all():
+                hard.append(self._encode([w for w, p in zip(some, of) if not p]))
+            plain.append(of)
+        codes = pa.concat_arrays([*self._encode_plain(pieces), *hard])
+        if len(hard) == 1:
+            return codes
+        # the plain words' codes are the first, those of the others follow
+        place = np.argsort(np.argsort(~np.concatenate(plain), kind="stable"), kind="stable")
+        return codes.take(pa.array(place))
+
+    def codes(self, words: list[pa.DictionaryArray]) -> tuple[list[pa.Array], pa.Array]:
+        """(places of each chunk's words among the codes, the ids of each word as bytes)."""
+        return self.words.look_up(words, self._encode_words, self.WORDS)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of words, one after the other."""
-        codes = self.codes(words)
-        return np.fromiter(map(len, codes), np.int64, len(codes)) // self.width, \
-            np.frombuffer(b"".join(codes), self.dtype)
+        (places,), codes = self.codes([pa.array(words, pa.large_string()).dictionary_encode()])
+        taken = codes.take(places)
+        return np.diff(_offsets(taken)) // self.width, np.frombuffer(taken.buffers()[2] or b"", self.dtype)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -251,23 +284,33 @@ def encode_texts(tok: WordTokenizer, texts: list[str | None] | pa.Array) -> Iter
     """(rows, lengths, ids) for lists of texts or segments; a row may come in several."""
     for rows, bounds, codes, places in _coded(tok, texts):
         taken = codes.take(places)
-        _, offsets, data = taken.buffers()
-        at = np.frombuffer(offsets, np.int64)[:len(taken) + 1][bounds] // tok.width
-        ids = np.frombuffer(data, tok.dtype) if data else np.empty(0, tok.dtype)
+        at = _offsets(taken)[bounds] // tok.width
+        ids = np.frombuffer(taken.buffers()[2] or b"", tok.dtype)
         yield rows, np.diff(at), ids[at[0]:at[-1]]
 
 
 def _coded(tok: WordTokenizer, texts) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]]:
     """(rows, where each begins and the last ends among the words, the codes of the
-    different words, which of them the words are)."""
+    different words, which of them the words are).  Words are looked up for
+    several chunks at once, each of which is held as numbers of words only."""
     if not isinstance(texts, pa.Array):
         texts = pa.array(texts, pa.large_string())
+    held = []
+
+    def coded():
+        places, codes = tok.codes([words for _, _, words in held])
+        for (rows, bounds, _), at in zip(held, places):
+            yield rows, bounds, codes, at
+        held.clear()
+
     for rows, some in _chunks(texts):
         split = pc.ascii_split_whitespace(some)
-        words = split.flatten().dictionary_encode()
-        codes = pa.array(tok.codes(words.dictionary.to_pylist()), pa.large_binary())
         at = split.offsets.to_numpy()
-        yield rows, at - at[0], codes, words.indices
+        held.append((rows, at - at[0], split.flatten().dictionary_encode()))
+        if len(held) == _GROUP:
+            yield from coded()
+    if held:
+        yield from coded()
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",

@@ -96,3 +96,22 @@ def test_stores_trim_to_the_texts_seen_most(monkeypatch):
         assert [x.tolist() for x in got] == [
             whole.encode(w, add_special_tokens=False).ids for w in words]
     assert "the" in t.words.index and len(t.words.index) <= 30 + 28
+
+
+def test_words_of_several_chunks_are_encoded_once(monkeypatch):
+    seen = []
+    encode = K.WordTokenizer._encode_words
+    monkeypatch.setattr(K.WordTokenizer, "_encode_words",
+                        lambda self, words: seen.extend(map(str, words)) or encode(self, words))
+    monkeypatch.setattr(K.WordTokenizer, "WORDS", 5)
+    monkeypatch.setattr(K.WordTokenizer, "PIECES", 5)
+    monkeypatch.setattr(K, "_CHUNK", 200)
+    words = [f"Éa{i}b, <|{i} 漢" for i in range(20)]
+    texts = [" ".join(words[i % 3::3]) for i in range(6)]
+    t, whole = K.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    got = {}
+    for rows, lengths, ids in K.encode_texts(t, texts):
+        for row, part in zip(rows, np.split(ids, np.cumsum(lengths)[:-1])):
+            got.setdefault(int(row), []).extend(part.tolist())
+    assert [got[i] for i in range(6)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(seen) == len(set(seen)) == 41
