@@ -56,7 +56,7 @@ def q_label_withdrawal(spark, sf):
         records.write.parquet(f"{base}/in/wave={wave}")
         q = label_withdrawal_stream(
             spark, f"{base}/in", records.schema, "o_orderkey", "address", "at",
-            F.col("status") != "Closed", f"{base}/log", f"{base}/checkpoint")
+            F.col("status") != "Closed", f"{base}/log", f"{base}/checkpoint", grouped=True)
         q.awaitTermination()
         as_of = q.lastProgress["batchId"]
         after.append(labelled_entities(customers, "c_name", f"{base}/log", as_of).where("TARGET = 1")

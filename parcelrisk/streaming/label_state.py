@@ -9,6 +9,11 @@ the watermark has passed its time, when no older record of it can still be let
 in; then its state goes.  So the state holds the open events and those closed
 of late, never the history.
 
+The state is one row per event, which suits small arrivals: Spark calls Python
+once for each event that is heard of.  ``grouped`` keeps it by groups of events
+instead, with the same labels: calls are at most ``GROUPS`` in a batch, however
+many events come, and a group that is heard of is written whole.
+
 The sink is a log of changes, one folder per batch, added up per address
 beforehand.  A batch that is run again rewrites its own folder, so the log is
 right after any restart.  An address is labelled while its changes sum to more
@@ -28,19 +33,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelrisk.operators.match import flag_membership
 
+GROUPS = 4096           # a checkpoint with grouped state is bound to this number
 _STATE = "at long, open boolean, address string"
+_GROUP_STATE = "key array<string>, at array<long>, open array<boolean>, address array<string>"
 _CHANGE = "address string, change long"
 _LOG = "address string, change long, batch long"
 _BASE = "address string, change long, upto long"
 
 
 def status_changes(events: DataFrame, key: str, address: str, at: str, is_open: Column,
-                   late_by: str = "1 day") -> DataFrame:
+                   late_by: str = "1 day", grouped: bool = False) -> DataFrame:
     """(address, change) of a stream of event records: ``key`` names the event,
     ``at`` (a timestamp) orders its records, ``is_open`` says whether a record
     leaves it open.  Of records of one time a closing one counts as the later.
     Records without a key or a time are left out; an open event without an
-    address labels nothing."""
+    address labels nothing.  With ``grouped`` the changes of an address come
+    added up by group, and events are told apart by their key as a string."""
     import pandas as pd
 
     moment = F.col(at).cast("timestamp")
@@ -70,6 +78,38 @@ def status_changes(events: DataFrame, key: str, address: str, at: str, is_open:
         if newest[2] != was_for:
             yield pd.DataFrame(out, columns=["address", "change"])
 
+    def group_changed(_group, frames: Iterator["pd.DataFrame"], state: GroupState):
+        held, sums = {}, {}                    # key: (time, closed, address); address: change
+        if state.exists:
+            held = {k: (us, not opened, where) for k, us, opened, where in zip(*state.get)}
+        for pdf in () if state.hasTimedOut else frames:
+            for k, us, opened, where in zip(*(pdf[c].tolist() for c in ("key", "us", "open", "address"))):
+                was = held.get(k)
+                if was is not None and (us, not opened) <= was[:2]:
+                    continue                   # older than what is known
+                now = held[k] = (us, not opened, where if opened and isinstance(where, str) else None)
+                for a, n in ((None if was is None else was[2], -1), (now[2], 1)):
+                    if a is not None:
+                        sums[a] = sums.get(a, 0) + n
+        mark = state.getCurrentWatermarkMs()   # nothing older can come to what is closed before it
+        held = {k: v for k, v in held.items() if not v[1] or v[0] // 1000 + 1 >= mark}
+        if held:
+            state.update((list(held), [v[0] for v in held.values()], [not v[1] for v in held.values()],
+                          [v[2] for v in held.values()]))
+            closed = min((v[0] for v in held.values() if v[1]), default=None)
+            if closed is not None:
+                state.setTimeoutTimestamp(max(closed // 1000, mark) + 1)
+        else:
+            state.remove()
+        out = [(a, n) for a, n in sums.items() if n]
+        if out:
+            yield pd.DataFrame(out, columns=["address", "change"])
+
+    if grouped:
+        rows = rows.withColumn("key", F.col("key").cast("string")) \
+            .withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int"))
+        return rows.groupBy("group").applyInPandasWithState(
+            group_changed, _CHANGE, _GROUP_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return rows.groupBy("key").applyInPandasWithState(
         changed, _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
@@ -77,13 +117,16 @@ def status_changes(events: DataFrame, key: str, address: str, at: str, is_open:
 def label_withdrawal_stream(spark: SparkSession, events_dir: str, schema: T.StructType | str, key: str,
                             address: str, at: str, is_open: Column, log_dir: str, checkpoint: str,
                             fmt: str = "parquet", late_by: str = "1 day", available_now: bool = True,
-                            max_files_per_trigger: int | None = None) -> StreamingQuery:
+                            max_files_per_trigger: int | None = None,
+                            grouped: bool = False) -> StreamingQuery:
     """Start the query that follows ``events_dir`` and writes the log of changes
-    below ``log_dir``.  ``available_now`` takes what is there and stops."""
+    below ``log_dir``.  ``available_now`` takes what is there and stops.
+    ``grouped`` (for large arrivals) keeps the state by groups of events; a
+    checkpoint goes on as it began."""
     reader = spark.readStream.schema(schema).format(fmt).option("recursiveFileLookup", True)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    changes = status_changes(reader.load(events_dir), key, address, at, is_open, late_by)
+    changes = status_changes(reader.load(events_dir), key, address, at, is_open, late_by, grouped)
 
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy("address").agg(F.sum("change").alias("change")).where("change <> 0") \

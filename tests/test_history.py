@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parcelrisk.operators.asof import asof_join, yearly_state
 from parcelrisk.session import scratch_dir
 from parcelrisk.sources.sinks import write_partitions
+from parcelrisk.streaming import label_state
 from parcelrisk.streaming import compact_labels, label_withdrawal_stream, labelled_addresses, labelled_entities
 
 RECORD = "permit long, address string, status string, at timestamp_ntz"
@@ -83,6 +84,59 @@ def test_log_is_added_up_and_batches_are_idempotent(spark):
     assert {(r["k"], r["TARGET"]) for r in labelled_entities(homes, "a", log).collect()} == {(1, 1), (2, 0), (3, 0)}
 
 
+class GroupedPermits(Permits):
+    """The same with a state kept by groups of events."""
+
+    def run(self):
+        q = label_withdrawal_stream(self.spark, f"{self.base}/in", RECORD, "permit", "address", "at",
+                                    F.col("status") != "Closed", f"{self.base}/log", f"{self.base}/ckpt",
+                                    late_by="2 days", grouped=True)
+        q.awaitTermination()
+        return {r["address"]: r["open_events"] for r in labelled_addresses(self.spark, f"{self.base}/log").collect()}
+
+    def groups(self):
+        return [[int(k) for k in r["value"]["groupState"]["key"]]
+                for r in self.spark.read.format("statestore").load(f"{self.base}/ckpt").collect()]
+
+
+def test_grouped_state_needs_few_calls_and_drops_closed_events(spark, monkeypatch):
+    monkeypatch.setattr(label_state, "GROUPS", 5)
+    p = GroupedPermits(spark)
+    p.arrive(*[(k, f"{k} St", "Issued", 0) for k in range(40)])
+    assert len(p.groups()) == 5                               # rows of state, each one call
+    assert sorted(sum(p.groups(), [])) == [*range(40)]
+    assert len(p.arrive(*[(k, f"{k} St", "Closed", 1 + k / 100) for k in range(30)])) == 10
+    p.arrive((100, "X St", "Issued", 30))                     # the watermark passes the closings
+    assert p.arrive((101, "Y St", "Issued", 30), (30, "Z St", "Closed", 30)) == {
+        **{f"{k} st": 1 for k in range(31, 40)}, "x st": 1, "y st": 1}
+    assert sorted(sum(p.groups(), [])) == [*range(30, 40), 100, 101]
+    late = {f"{k} st": 1 for k in range(31, 40)}
+    assert p.arrive((100, "X St", "Closed", 40), (101, "Y St", "Closed", 40)) == late
+    p.arrive(*[(k, None, "Closed", 50) for k in range(31, 40)])
+    assert p.arrive((200, "W St", "Issued", 90)) == {"w st": 1}
+    assert p.groups() == [[200]]                              # groups without events are gone
+
+
+def test_grouped_state_gives_the_labels_of_the_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(label_state, "GROUPS", 3)
+    rng, p, newest = random.Random(5), GroupedPermits(spark), {}
+    for n in range(5):
+        rows = []
+        for _ in range(60):
+            k, d = rng.choice([None, *range(30)]), rng.choice([None, *(n + i / 4 for i in range(8))])
+            status = rng.choice(["Issued", "Closed", "Closed", None])
+            rows.append((k, None if k is None or k % 7 == 0 else f"S {(k + int(4 * (d or 0))) % 9}", status, d))
+        for k, a, s, d in rows:
+            if k is not None and d is not None:
+                closed = s in ("Closed", None)                # an unknown status is not open
+                newest[k] = max(newest.get(k, (-1,)), (d, closed, "" if closed or a is None else a.lower()))
+        want = {}
+        for _, _, a in newest.values():
+            if a:
+                want[a] = want.get(a, 0) + 1
+        assert p.arrive(*rows) == want
+
+
 def plain_asof(left, right, strict):
     by = {}
     for k, at, v in right:
